@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import sharding, url_filter
+from tessera.llm import packing, sharding, token_counts, url_filter
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
     "op5_sharding": sharding.op5_sharding,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {"op10_url_filter": url_filter.ORACLE}
