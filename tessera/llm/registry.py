@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, packing, quality, sharding, token_counts, url_filter
+from tessera.llm import decontamination, jaccard_join, packing, quality, sharding, token_counts, url_filter
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_sharding": sharding.op5_sharding,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_quality": quality.op7_quality,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-ORACLES = {"op10_url_filter": url_filter.ORACLE}
+ORACLES = {"op6_jaccard_join": jaccard_join.ORACLE, "op10_url_filter": url_filter.ORACLE}
