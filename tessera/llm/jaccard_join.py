@@ -119,6 +119,8 @@ class _Keys:
 
     def split(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
         """Sorted keys by bucket."""
+        if not len(keys):
+            return
         buckets = (keys >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(buckets, prepend=-1))
         for a, b in zip(cuts, np.append(cuts[1:], len(keys)), strict=True):

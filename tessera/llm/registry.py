@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, jaccard_join, packing, quality, sharding, token_counts, url_filter
+from tessera.llm import decontamination, jaccard_join, packing, quality, sharding, substring_dedup, token_counts, url_filter
 
 QUERIES = {
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_packing": packing.op3_packing,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_sharding": sharding.op5_sharding,
