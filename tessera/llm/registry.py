@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, jaccard_join, packing, quality, sharding, substring_dedup, token_counts, url_filter
+from tessera.llm import decontamination, jaccard_join, lm_scoring, packing, quality, sharding, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_quality": quality.op7_quality,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {"op6_jaccard_join": jaccard_join.ORACLE, "op10_url_filter": url_filter.ORACLE}
