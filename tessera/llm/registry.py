@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, jaccard_join, lm_scoring, packing, quality, sharding, substring_dedup, token_counts, url_filter
+from tessera.llm import decontamination, html_extraction, jaccard_join, lm_scoring, packing, quality, sharding, substring_dedup, token_counts, url_filter
 
 QUERIES = {
+    "op1_html_extraction": html_extraction.op1_html_extraction,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_packing": packing.op3_packing,
     "op4_decontamination": decontamination.op4_decontamination,
