@@ -162,15 +162,21 @@ def _rows(keys: pa.Array, key: str, verdicts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([keys, *columns], [key, *_COLUMNS])
 
 
+def _small_index(items: DataFrame, broadcast_bytes: int):
+    """The items' index as a broadcast if their texts hold at most broadcast_bytes, else None. items: (item, content)."""
+    held = items.agg(F.coalesce(F.sum(F.length("content") + 16), F.lit(0))).first()[0]
+    if held > broadcast_bytes:
+        return None
+    return items.sparkSession.sparkContext.broadcast(ItemIndex((r.item, bytes(r.content)) for r in items.collect()))
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
-    spark = docs.sparkSession
     items = items.select(F.col(item).alias("item"), F.col(item_text).cast("binary").alias("content")).filter("content IS NOT NULL")
-    held = items.agg(F.coalesce(F.sum(F.length("content") + 16), F.lit(0))).first()[0]
     kind = dict(docs.dtypes)[key]
-    if held > broadcast_bytes:
+    index = _small_index(items, broadcast_bytes)
+    if index is None:
         return _joined(docs, items, key, text, kind)
-    index = spark.sparkContext.broadcast(ItemIndex((r.item, bytes(r.content)) for r in items.collect()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches, text):
@@ -234,6 +240,25 @@ def _joined(docs: DataFrame, items: DataFrame, key: str, text: str, kind: str) -
     return joined.mapInArrow(run, f"`{key}` {kind}, {_SCHEMA}")
 
 
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that are not contaminated, with all their columns; without a shuffle if the items are broadcast.
+
+    Beyond that documents go by key, so rows that share a contaminated row's key go too.
+    """
+    own = items.select(F.col(item).alias("item"), F.col(item_text).cast("binary").alias("content")).filter("content IS NOT NULL")
+    index = _small_index(own, broadcast_bytes)
+    if index is None:
+        found = decontaminate(docs, items, broadcast_bytes, key, text, item, item_text)
+        return docs.join(found.filter("contaminated").select(key), key, "left_anti").select(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow.slices(batches, text):
+            words = [words_of(x) for x in arrow.octets(batch.column(text))]
+            yield batch.filter(pa.array([not _verdict(len(w), *f)[-1] for w, f in zip(words, index.value.compare(words), strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
