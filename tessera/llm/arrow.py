@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -17,7 +18,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 8 <<
             yield batch
             continue
         start, held = 0, 0
-        for i, length in enumerate(pa.compute.binary_length(column).fill_null(0).to_pylist()):
+        for i, length in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
             if held and held + length > most_bytes:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
