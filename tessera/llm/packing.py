@@ -21,7 +21,9 @@ long texts are cut over many sequences, nothing is dropped; further columns are
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +39,7 @@ LENGTH, END_ID = 2048, 1
 SENTENCE_CUT, FORCED_CUT, LONGEST_SEGMENT = 2.0, 6.0, 32
 BLOCK = 500_000
 #: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 
 
 class WordIds(dict):
@@ -45,20 +47,55 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.stops = np.array([i for i in (self.tokenizer.token_to_id(c + "</w>") for c in ".!?") if i is not None], np.uint32)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encode(self, words: list[str]) -> None:
+        for start in range(0, len(words), 20_000):
+            part = words[start : start + 20_000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self[word] = array("I", found.ids).tobytes()
+
+    def _encode_letters(self, words: list[str]) -> None:
+        """Words that are one pre-token each: many go as one text, and their last tokens tell them apart."""
+        for start in range(0, len(words), 2000):
+            part = words[start : start + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            packed, at = ids.tobytes(), 0
+            for word, to in zip(part, (4 * cuts).tolist(), strict=True):
+                self[word] = packed[at:to]
+                at = to
 
     def learn(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self]
+        """Letters and a full stop or comma after them are pre-tokens of their own, so those words need their letters only."""
+        missing = words - self.keys()
         if len(self) + len(missing) > REMEMBERED:
             self.clear()
-            missing = list(words)
-        for start in range(0, len(missing), 20_000):
-            part = missing[start : start + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[word] = np.array(found.ids, "<u4").tobytes()
+            missing = words
+        if "." not in self:
+            self._encode([".", ","])
+        parted, needed, single = [], set(), set()
+        for word in missing:
+            core = word[:-1] if word[-1:] in (".", ",") else word
+            letters = core.lower() if core.isascii() else core
+            plain = core.isalpha() and max(core) < "\u0100"
+            if not plain:
+                letters = core = word  # anything else is left to the library as it is
+            if letters is not word:
+                parted.append((word, letters, word[len(core) :]))
+            if letters not in self:
+                (single if plain else needed).add(letters)
+        self._encode_letters(list(single))
+        self._encode(list(needed))
+        for word, letters, tail in parted:
+            self[word] = self[letters] + self[tail] if tail else self[letters]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [text.replace("\n", " ").split(" ") for text in texts]
@@ -74,16 +111,22 @@ def word_ids(path: str) -> WordIds:
 def candidates(ids: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidate cuts of a document (tokens before each, the last being its length) and their penalties."""
     n = len(ids)
-    ends = np.unique(np.append(np.flatnonzero(np.isin(ids[:-1], stops)) + 1, n))
+    stop = np.zeros(n, bool)
+    for i in stops:
+        stop |= ids == i
+    stop[-1] = True
+    ends = np.flatnonzero(stop) + 1
     gaps = np.diff(ends, prepend=0)
-    if gaps.max() > LONGEST_SEGMENT:
-        forced = np.concatenate([np.arange(e - g, e, LONGEST_SEGMENT)[1:] for e, g in zip(ends, gaps, strict=True) if g > LONGEST_SEGMENT])
-    else:
-        forced = np.empty(0, np.int64)
-    cuts = np.concatenate([ends, forced])
-    penalty = np.concatenate([np.where(ends == n, 0.0, SENTENCE_CUT), np.full(len(forced), FORCED_CUT)])
-    order = np.argsort(cuts, kind="stable")
-    return cuts[order], penalty[order]
+    penalty = np.full(len(ends), SENTENCE_CUT)
+    penalty[-1] = 0.0
+    longer = gaps > LONGEST_SEGMENT
+    if not longer.any():
+        return ends, penalty
+    extra = np.where(longer, (gaps - 1) // LONGEST_SEGMENT, 0)  # cuts inside each sentence
+    before = np.repeat(np.cumsum(extra) - extra, extra)
+    forced = np.repeat(ends - gaps, extra) + LONGEST_SEGMENT * (np.arange(int(extra.sum())) - before + 1)
+    at = np.repeat(np.arange(len(ends)), extra)
+    return np.insert(ends, at, forced), np.insert(penalty, at, FORCED_CUT)
 
 
 def best_cuts(at: list[int], penalty: list[float], length: int) -> list[int]:
