@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import dedup
+from tessera.plans import annotations, curation, dedup, features, metrics, streams, temporal
 
-MODULES = [dedup]
+MODULES = [dedup, curation, annotations, temporal, metrics, features, streams]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
