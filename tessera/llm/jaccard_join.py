@@ -418,10 +418,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 ORACLE = f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce({_W}, []::VARCHAR[]) AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
-p AS (SELECT doc_id, len(s) AS n, s, hash(list_sort(s)) AS h FROM s),
-rep AS (SELECT h, min(doc_id) AS doc_id, any_value(n) AS n FROM p WHERE n > 0 GROUP BY h),
-e AS (SELECT doc_id, n, unnest(s) AS t FROM p WHERE doc_id IN (SELECT doc_id FROM rep)),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::UBIGINT[] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: hash(array_to_string(w[i:i + 4], ' ')))) END AS s FROM w),
+p AS MATERIALIZED (SELECT doc_id, len(s) AS n, s, hash(list_sort(s)) AS h FROM s),
+rep AS MATERIALIZED (SELECT h, min(doc_id) AS doc_id, any_value(n) AS n FROM p WHERE n > 0 GROUP BY h),
+e AS MATERIALIZED (SELECT doc_id, n, unnest(s) AS t FROM p WHERE doc_id IN (SELECT doc_id FROM rep)),
 l AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
 u AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l UNION ALL SELECT r.doc_id, p.doc_id FROM p JOIN rep r USING (h) WHERE p.n > 0 AND p.doc_id <> r.doc_id
