@@ -12,7 +12,7 @@ need no place of their own in the order: their strings are settled by the cover
    inside them are unsettled; a context that occurs often is stood for by one of its places.
 3. Unsettled strings are bucketed by their hashes, sorted, and found to occur once or more often.
 
-Equal texts are stood for by one of them in steps 2 and 3. Memory is bounded by a bucket or a slice of texts. Prefixes,
+Equal texts count as one in steps 2 and 3: what they send is merged by the text's name and place. Memory is bounded by a bucket or a slice of texts. Prefixes,
 contexts and strings are told apart by 64-bit hashes (prefixes by 32 bits and the bucket, which the later steps make good).
 
 Defined cases: a null text has no bytes; texts shorter than LENGTH keep everything; repeated rows are texts that start
@@ -39,8 +39,10 @@ LENGTH = 400
 PERIOD = 273
 #: A perfect difference cover of 273: every residue is the difference of one pair.
 COVER = [1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256]
-#: Bits of the filter of repeated prefixes (8 MB); if it fills up, more texts are compared, with the same result.
-FILTER_BITS = 26
+#: Bits of the filter of repeated prefixes (16 MB), and marks a key; if it fills up, more is compared, with the same result.
+FILTER_BITS, MARKS = 27, 4
+#: Text bytes that are looked at together; each takes some 50 bytes of memory.
+SLICE = 1 << 20
 ONCE, SETTLED, SETTLED_AND_SHOWN, UNSETTLED = range(4)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -120,15 +122,22 @@ class Slice:
         return np.flatnonzero(np.cumsum(marks) > 0)
 
 
-def _bits(keys: np.ndarray) -> np.ndarray:
-    return (keys * _MIX) >> np.uint64(64 - FILTER_BITS)
+PART = 1 << (FILTER_BITS - 8)
+
+
+def _bits(keys: np.ndarray) -> list[np.ndarray]:
+    """A key's places in the filter."""
+    mixed = keys * _MIX
+    mixed ^= mixed >> np.uint64(31)
+    step = (mixed * np.uint64(_BASE)) | np.uint64(1)
+    return [(mixed + np.uint64(i) * step) >> np.uint64(64 - FILTER_BITS) for i in range(MARKS)]
 
 
 def _repeated_prefixes(docs: DataFrame, keys: _Keys, length: int) -> DataFrame:
-    """(bits): places in the filter of prefixes that occur twice."""
+    """(part, offsets): places in the filter of prefixes that occur twice, by the filter's 256 parts."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, "content", 4 << 20):
+        for batch in arrow.slices(batches, "content", SLICE):
             texts = Slice(arrow.octets(batch.column("content")), length)
             found, n = np.unique(keys.of(texts.prefixes(texts.samples()[0])), return_counts=True)
             rows = [(b, _pack((found[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), np.packbits(n[s] > 1).tobytes()) for b, s in keys.split(found)]
@@ -146,38 +155,41 @@ def _repeated_prefixes(docs: DataFrame, keys: _Keys, length: int) -> DataFrame:
         begins = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
         often = np.add.reduceat(twice.astype(np.int64) + 1, begins) > 1
         full = (np.uint64(group[0].as_py()) << np.uint64(32)) | places[begins][often].astype(np.uint64)
-        return pa.table({"bits": pa.array([np.unique(_bits(full)).astype(np.uint32).tobytes()], pa.binary())})
+        bits = np.unique(np.concatenate(_bits(full))).astype(np.uint32)
+        parts, starts = np.unique(bits // np.uint32(PART), return_index=True)
+        offsets = [_pack(inside % np.uint32(PART)) for inside in np.split(bits, starts[1:])] if len(bits) else []
+        return pa.table({"part": pa.array(parts.astype(np.int64)), "offsets": pa.array(offsets, pa.binary())})
 
     packed = docs.select("content").mapInArrow(sample, "bucket long, places binary, twice binary")
-    return packed.groupBy("bucket").applyInArrow(sort, "bits binary")
+    return packed.groupBy("bucket").applyInArrow(sort, "part long, offsets binary")
 
 
 def _filter(found: DataFrame) -> np.ndarray:
-    """The filter as packed bits, gathered in parts: 2**FILTER_BITS bits at most come to the driver."""
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(1 << FILTER_BITS, np.uint8)
-        for batch in batches:
-            for own in batch.column("bits").to_pylist():
-                marks[np.frombuffer(own, np.uint32)] = 1
-        packed = np.packbits(marks).reshape(256, -1)
-        used = np.flatnonzero(packed.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([packed[i].tobytes() for i in used], pa.binary())], ["part", "marks"])
+    """The filter as packed bits: 2**FILTER_BITS of them come to the driver, whatever the input."""
 
     def merge(table: pa.Table) -> pa.Table:
-        marks = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("marks").to_pylist()])
-        return pa.table({"part": table.column("part")[:1], "marks": pa.array([marks.tobytes()], pa.binary())})
+        marks = np.zeros(PART, np.uint8)
+        for own in table.column("offsets").to_pylist():
+            marks[_unpack(own)] = 1
+        return pa.table({"part": table.column("part")[:1], "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
 
-    parts = found.coalesce(8).mapInArrow(gather, "part long, marks binary").groupBy("part").applyInArrow(merge, "part long, marks binary")
-    packed = np.zeros((256, 1 << (FILTER_BITS - 11)), np.uint8)
-    for r in parts.collect():
+    packed = np.zeros((256, PART // 8), np.uint8)
+    for r in found.groupBy("part").applyInArrow(merge, "part long, marks binary").collect():
         packed[r.part] = np.frombuffer(r.marks, np.uint8)
     return packed.ravel()
 
 
 def _passes(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bits = _bits(keys)
-    return (marks[bits >> np.uint64(3)] >> (np.uint64(7) - (bits & np.uint64(7))).astype(np.uint8)) & 1 > 0
+    found = np.ones(len(keys), bool)
+    for bits in _bits(keys):
+        found &= (marks[bits >> np.uint64(3)] >> (np.uint64(7) - (bits & np.uint64(7))).astype(np.uint8)) & 1 > 0
+    return found
+
+
+def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A batch's rows with each text once."""
+    _, first = np.unique(batch.column("content_id").to_numpy(), return_index=True)
+    return batch.take(pa.array(np.sort(first)))
 
 
 def _hex(text: bytes) -> str:
@@ -187,11 +199,11 @@ def _hex(text: bytes) -> str:
 _RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _settle(stood: DataFrame, keys: _Keys, marks, length: int) -> DataFrame:
+def _settle(met: DataFrame, keys: _Keys, marks, length: int) -> DataFrame:
     """(content_id, places, states): what contexts say of the cover suffixes of each text, as int64 and uint8."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, "content", 4 << 20):
+        for batch in map(_once, arrow.slices(batches, "content", SLICE)):
             texts = Slice(arrow.octets(batch.column("content")), length)
             at, text = texts.samples()
             prefix = keys.of(texts.prefixes(at))
@@ -220,6 +232,7 @@ def _settle(stood: DataFrame, keys: _Keys, marks, length: int) -> DataFrame:
             places.append(np.frombuffer(row["places"], np.uint32))
         prefixes, contexts, names, places = map(np.concatenate, (prefixes, contexts, names, places))
         order = np.lexsort((places, names, contexts, prefixes))
+        order = order[np.append(True, (np.diff(names[order]) != 0) | (np.diff(places[order].astype(np.int64)) != 0))]
         prefixes, contexts, names, places = prefixes[order], contexts[order], names[order], places[order]
         fresh = np.append(True, prefixes[1:] != prefixes[:-1])  # a prefix begins
         wide = fresh | np.append(True, contexts[1:] != contexts[:-1])  # a context begins
@@ -237,7 +250,7 @@ def _settle(stood: DataFrame, keys: _Keys, marks, length: int) -> DataFrame:
         cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())
         return pa.table({"content_id": pa.array(names[begins], pa.int64()), "places": cut(places), "states": cut(state)})
 
-    packed = stood.select("content_id", "content").mapInArrow(sample, "bucket long, prefixes binary, contexts binary, texts binary, names binary, places binary")
+    packed = met.select("content_id", "content").mapInArrow(sample, "bucket long, prefixes binary, contexts binary, texts binary, names binary, places binary")
     return packed.groupBy("bucket").applyInArrow(sort, "content_id long, places binary, states binary")
 
 
@@ -253,57 +266,79 @@ def _known(batch: pa.RecordBatch, length: int) -> tuple[Slice, np.ndarray, np.nd
     texts = Slice(arrow.octets(batch.column("content")), length)
     at, text, state = [], [], []
     for i, (p, s) in enumerate(zip(batch.column("places").to_pylist(), batch.column("states").to_pylist(), strict=True)):
-        own, states = _suffixes(p, s, int(texts.starts[i]))
+        own, states = _suffixes(p or [], s or [], int(texts.starts[i]))
         at.append(own)
         state.append(states)
         text.append(np.full(len(own), i))
     return texts, *map(np.concatenate, (at, text, state))
 
 
+def _wide(batch: pa.RecordBatch, length: int) -> tuple[Slice, np.ndarray, np.ndarray, np.ndarray]:
+    """The batch's texts, and the starts, texts and hashes of the strings that are shown."""
+    texts, at, text, state = _known(batch, length)
+    shown = state >= SETTLED_AND_SHOWN
+    starts = texts.strings(at[shown], text[shown])
+    settled = texts.strings(at[state != UNSETTLED], text[state != UNSETTLED])
+    ask = ~np.isin(starts, settled, assume_unique=True)
+    return texts, starts, ask, texts.hashes(starts, starts + length) >> np.uint64(_DROPPED)
+
+
+#: Strings are told apart by 64 - _DROPPED bits: the bucket, 32 and 24.
+_DROPPED = 4
+
+
 def _unsettled(known: DataFrame, keys: _Keys, length: int) -> DataFrame:
-    """(content_id, starts): unsettled strings that turn out to occur twice."""
+    """(content_id, strings): hashes of unsettled strings that turn out to occur twice."""
+    low_bits = np.uint64(64 - _DROPPED - 32 - keys.bits)
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, "content", 2 << 20):
-            texts, at, text, state = _known(batch, length)
-            settled = texts.strings(at[state != UNSETTLED], text[state != UNSETTLED])
-            shown = state >= SETTLED_AND_SHOWN
-            starts = texts.strings(at[shown], text[shown])
-            ask = ~np.isin(starts, settled, assume_unique=True)
-            own = texts.hashes(starts, starts + length)
-            order = np.argsort(own, kind="stable")
-            starts, own, ask = starts[order], own[order], ask[order]
+        for batch in map(_once, arrow.slices(batches, "content", SLICE)):
+            texts, starts, ask, own = _wide(batch, length)
             text = np.searchsorted(texts.starts, starts, "right") - 1
-            place = starts - texts.starts[text]
+            order = np.lexsort((text, own))
+            own, text, ask = own[order], text[order], ask[order]
+            begins = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (text[1:] != text[:-1]))) if len(own) else np.empty(0, np.int64)
+            twice = np.diff(np.append(begins, len(own))) > 1  # inside one text
+            flags = twice + 2 * (np.maximum.reduceat(ask, begins) if len(begins) else ask)
+            own, text, flags = own[begins], text[begins], flags.astype(np.uint8)
             names = batch.column("content_id").to_numpy().astype(np.int64)
-            low = (own & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # two halves, the upper sorted
+            high = own >> low_bits
             rows = []
-            for bucket, s in keys.split(keys.of(own)):
+            for bucket, s in keys.split(high):
                 used, index = np.unique(text[s], return_inverse=True)
-                high = (keys.of(own[s]) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                rows.append((bucket, _pack(high), low[s].tobytes(), index.astype(np.uint32).tobytes(), names[used].tobytes(), (place[s] * 2 + ask[s]).astype(np.uint32).tobytes()))
+                low = (own[s] & ((np.uint64(1) << low_bits) - np.uint64(1))).astype(np.uint32)
+                planes = np.ascontiguousarray(low.view(np.uint8).reshape(-1, 4).T).tobytes()
+                packed_index = index.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes()
+                rows.append((bucket, _pack((high[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), planes, packed_index, names[used].tobytes(), np.packbits(flags[s] & 1).tobytes(), np.packbits(flags[s] >> 1).tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["bucket", "highs", "lows", "texts", "names", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["bucket", "highs", "lows", "texts", "names", "twice", "ask"])
 
-    def sort(table: pa.Table) -> pa.Table:
-        own, names, places = [], [], []
+    def sort(group: tuple, table: pa.Table) -> pa.Table:
+        own, names, twice, ask = [], [], [], []
         for row in table.to_pylist():
-            own.append(_unpack(row["highs"]).astype(np.uint64) << np.uint64(32) | np.frombuffer(row["lows"], np.uint32))
-            names.append(np.frombuffer(row["names"], np.int64)[np.frombuffer(row["texts"], np.uint32)])
-            places.append(np.frombuffer(row["places"], np.uint32))
-        own, names, places = map(np.concatenate, (own, names, places))
-        order = np.argsort(own, kind="stable")
-        own, names, places = own[order], names[order], places[order]
-        same = own[1:] == own[:-1]
-        found = (np.append(same, False) | np.append(False, same)) & (places & 1 == 1)
-        names, places = names[found], (places[found] >> 1).astype(np.uint32)
+            high = _unpack(row["highs"]).astype(np.uint64) | np.uint64(group[0].as_py()) << np.uint64(32)
+            low = np.ascontiguousarray(np.frombuffer(row["lows"], np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+            own.append(high << low_bits | low)
+            ids = np.frombuffer(row["names"], np.int64)
+            names.append(ids[np.frombuffer(row["texts"], np.uint16 if len(ids) < 65536 else np.uint32)])
+            for to, column in ((twice, "twice"), (ask, "ask")):
+                to.append(np.unpackbits(np.frombuffer(row[column], np.uint8))[: len(high)].astype(bool))
+        own, names, twice, ask = map(np.concatenate, (own, names, twice, ask))
+        order = np.lexsort((names, own))
+        own, names, twice, ask = own[order], names[order], twice[order], ask[order]
+        begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        held = np.diff(np.append(begins, len(own)))
+        several = np.append(False, (names[1:] != names[:-1]) & (own[1:] == own[:-1]))
+        often = np.logical_or.reduceat(twice | several, begins)
+        found = np.repeat(often, held) & ask
+        names, own = names[found], own[found]
         order = np.argsort(names, kind="stable")
-        names, places = names[order], places[order]
+        names, own = names[order], own[order]
         begins = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.empty(0, np.int64)
         ends = np.append(begins[1:], len(names)) if len(begins) else begins
-        return pa.table({"content_id": pa.array(names[begins], pa.int64()), "strings": pa.array([places[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())})
+        return pa.table({"content_id": pa.array(names[begins], pa.int64()), "strings": pa.array([own[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())})
 
-    packed = known.select("content_id", "content", "places", "states").mapInArrow(show, "bucket long, highs binary, lows binary, texts binary, names binary, places binary")
+    packed = known.select("content_id", "content", "places", "states").mapInArrow(show, "bucket long, highs binary, lows binary, texts binary, names binary, twice binary, ask binary")
     return packed.groupBy("bucket").applyInArrow(sort, "content_id long, strings binary")
 
 
@@ -344,7 +379,7 @@ def _apply(docs: DataFrame, key: str, text: str, length: int, schema: str, make)
 
     def route(untouched: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in arrow.slices(batches, "content", 4 << 20):
+            for batch in arrow.slices(batches, "content", SLICE):
                 contents = arrow.octets(batch.column("content"))
                 texts = Slice(contents, length)
                 at, text = texts.samples()
@@ -362,46 +397,35 @@ def _apply(docs: DataFrame, key: str, text: str, length: int, schema: str, make)
     passed = docs.mapInArrow(route(True), f"doc {kind}, {schema}")
     met = docs.mapInArrow(route(False), f"doc {kind}, content binary").withColumn("content_id", F.xxhash64("content"))
     met = scratch.save(met, "met")
-    # Equal texts (equal bytes, by a 64-bit name) are stood for by one.
-    counted = scratch.save(met.groupBy("content_id").agg(F.count("*").alias("copies")), "counted")
-    stood = scratch.save(met.dropDuplicates(["content_id"]).select("content_id", "content"), "stood")
-    settled = _settle(stood, keys, marks, length).groupBy("content_id").agg(F.collect_list("places").alias("places"), F.collect_list("states").alias("states"))
-    known = scratch.save(stood.join(settled, "content_id"), "known")
-    scratch.drop("stood")
-    strings = scratch.save(_unsettled(known, keys, length).groupBy("content_id").agg(F.collect_list("strings").alias("strings")), "strings")
-    every = known.join(strings, "content_id", "left")
-
-    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, "content", 4 << 20):
+    # Equal texts (equal bytes, by a 64-bit name) share what is found of them.
+    counted = met.groupBy("content_id").agg(F.count("*").alias("copies"))
+    settled = _settle(met, keys, marks, length).groupBy("content_id").agg(F.collect_list("places").alias("places"), F.collect_list("states").alias("states"))
+    known = scratch.save(met.join(counted, "content_id").join(settled, "content_id", "left"), "known")
+    scratch.drop("met")
+    strings = _unsettled(known, keys, length).groupBy("content_id").agg(F.collect_list("strings").alias("strings"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrow.slices(batches, "content", SLICE):
+            contents = arrow.octets(batch.column("content"))
             texts, at, text, state = _known(batch, length)
             found = [texts.strings(at[state != UNSETTLED], text[state != UNSETTLED])]
-            for i, own in enumerate(batch.column("strings").to_pylist()):
-                found += [np.frombuffer(x, np.uint32).astype(np.int64) + texts.starts[i] for x in own or ()]
+            _, starts, _, own = _wide(batch, length)
+            begins = np.searchsorted(starts, texts.starts)
+            for i, strings in enumerate(batch.column("strings").to_pylist()):
+                if strings:
+                    mine = slice(begins[i], begins[i + 1])
+                    found.append(starts[mine][np.isin(own[mine], np.concatenate([np.frombuffer(x, np.uint64) for x in strings]))])
             gone = _removed(texts, np.unique(np.concatenate(found)), length)
-            runs = []
-            for a, b in zip(texts.starts[:-1], texts.starts[1:], strict=True):
-                steps = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0))
-                runs.append(steps.astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("content_id"), pa.array(runs, pa.binary())], ["content_id", "runs"])
-
-    runs = every.select("content_id", "content", "places", "states", "strings").mapInArrow(starts, "content_id long, runs binary")
-    runs = scratch.save(counted.select("content_id", "copies").join(runs, "content_id", "left"), "runs")
-    scratch.drop("known", "strings", "counted")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, "content", 4 << 20):
             rows = []
-            for content, copies, own in zip(arrow.octets(batch.column("content")), batch.column("copies").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                removed = np.zeros(len(content), bool)
+            for i, (content, copies) in enumerate(zip(contents, batch.column("copies").to_pylist(), strict=True)):
+                removed = gone[texts.starts[i] : texts.starts[i + 1]]
                 if copies > 1 and len(content) >= length:
-                    removed[:] = True
-                elif own:
-                    for a, b in np.frombuffer(own, np.uint32).reshape(-1, 2).tolist():
-                        removed[a:b] = True
+                    removed = np.ones(len(content), bool)
                 rows.append(make(*_cut(content, removed)))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *map(pa.array, zip(*rows, strict=True))], ["doc", *names])
 
-    touched = met.join(runs, "content_id").select("doc", "content", "copies", "runs").mapInArrow(finish, f"doc {kind}, {schema}")
+    every = known.join(strings, "content_id", "left").select("doc", "content", "copies", "places", "states", "strings")
+    touched = every.mapInArrow(finish, f"doc {kind}, {schema}")
     return passed.union(touched).withColumnRenamed("doc", key)
 
 
