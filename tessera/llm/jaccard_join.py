@@ -54,7 +54,8 @@ BLOCK = 2_000_000
 #: Document pivots whose distances are kept.
 PIVOTS = 8
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_REMEMBERED = 400_000
+#: Words whose hashes a worker remembers, text bytes that are looked at together, and text bytes for each bucket.
+_REMEMBERED, SLICE, BUCKET = 150_000, 3 << 20, 6 << 20
 _words: dict[bytes, int] = {}
 
 
@@ -127,14 +128,11 @@ class _Keys:
             yield int(buckets[a]), slice(a, b)
 
 
-_MEGABYTE = 1 << 20
-
-
 def _frequent(docs: DataFrame, text: str, keys: _Keys, dense: int) -> DataFrame:
     """(key, n): shingle keys in more than `dense` documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, text):
+        for batch in arrow.slices(batches, text, SLICE):
             sets = shingle_sets(arrow.octets(batch.column(text)))
             found, n = np.unique(keys.of(np.concatenate([np.empty(0, np.uint64), *sets])), return_counts=True)
             rows = [(b, _pack((found[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), np.minimum(n[s], 1 << 30).astype(np.uint32).tobytes()) for b, s in keys.split(found)]
@@ -209,7 +207,7 @@ def _candidates(docs: DataFrame, text: str, keys: _Keys, window, dense: int) ->
     """(u, v): pairs of set ids that must be in one cluster."""
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, text):
+        for batch in arrow.slices(batches, text, SLICE):
             sets = {set_id(s): s for s in shingle_sets(arrow.octets(batch.column(text))) if len(s)}
             ids = np.array(list(sets), np.int64)
             own, owner, frequent, sizes, n_dense = window.value.entries(list(sets.values()))
@@ -218,19 +216,20 @@ def _candidates(docs: DataFrame, text: str, keys: _Keys, window, dense: int) ->
             rows = []
             for bucket, s in keys.split(own):
                 used, index = np.unique(owner[s], return_inverse=True)
-                about = np.concatenate([ids[used], sizes[used], n_dense[used]]).tobytes()
-                rows.append((bucket, _pack((own[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), index.astype(np.uint32).tobytes(), np.packbits(frequent[s]).tobytes(), about))
+                about = ids[used].tobytes() + sizes[used].astype(np.int32).tobytes() + n_dense[used].astype(np.int32).tobytes()
+                rows.append((bucket, _pack((own[s] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), index.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), np.packbits(frequent[s]).tobytes(), about))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["bucket", "places", "sets", "frequent", "about"])
 
     def meet(group: tuple, table: pa.Table) -> pa.Table:
         places, ids, sizes, n_dense, frequent = [], [], [], [], []
         for row in table.to_pylist():
-            own, about = _unpack(row["places"]), np.frombuffer(row["about"], np.int64).reshape(3, -1)
-            index = np.frombuffer(row["sets"], np.uint32)
+            own, n = _unpack(row["places"]), len(row["about"]) // 16
+            index = np.frombuffer(row["sets"], np.uint16 if n < 65536 else np.uint32)
             places.append(own)
-            for to, column in zip((ids, sizes, n_dense), about, strict=True):
-                to.append(column[index])
+            ids.append(np.frombuffer(row["about"], np.int64, n)[index])
+            sizes.append(np.frombuffer(row["about"], np.int32, n, 8 * n)[index])
+            n_dense.append(np.frombuffer(row["about"], np.int32, n, 12 * n)[index])
             frequent.append(np.unpackbits(np.frombuffer(row["frequent"], np.uint8))[: len(own)].astype(bool))
         places, ids, sizes, n_dense, frequent = map(np.concatenate, (places, ids, sizes, n_dense, frequent))
         order = np.lexsort((ids, places))
@@ -252,7 +251,7 @@ def _candidates(docs: DataFrame, text: str, keys: _Keys, window, dense: int) ->
                 break
             b = a + step
             small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-            near = LIKE[1] * small >= LIKE[0] * large
+            near = LIKE[1] * small.astype(np.int64) >= LIKE[0] * large.astype(np.int64)
             a, b, small = a[near], b[near], small[near]
             wanted = np.maximum(_demand(small) - np.minimum(n_dense[a], n_dense[b]), 1)
             out.append((ids[a], ids[b], wanted))
@@ -368,10 +367,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("content"))
     kind = dict(docs.dtypes)["doc"]
     held = docs.agg(F.coalesce(F.sum(F.octet_length("content").cast("long")), F.lit(0))).first()[0]
-    keys = _Keys(int(np.clip(np.log2(max(held, 1) / (16 * _MEGABYTE)), 3, 20)))
+    keys = _Keys(int(np.clip(np.log2(max(held, 1) / BUCKET), 3, 20)))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, "content"):
+        for batch in arrow.slices(batches, "content", SLICE):
             sets = shingle_sets(arrow.octets(batch.column("content")))
             ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), ids, pa.array([len(s) for s in sets], pa.int64())], ["doc", "set_id", "n_shingles"])
@@ -384,7 +383,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     chosen = named.join(clusters, "set_id").groupBy("set_id", "cluster").agg(F.min("doc").alias("doc"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, "content"):
+        for batch in arrow.slices(batches, "content", SLICE):
             sets = [s.tobytes() for s in shingle_sets(arrow.octets(batch.column("content")))]
             yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("set_id"), pa.array(sets, pa.binary())], ["cluster", "set_id", "content"])
 
