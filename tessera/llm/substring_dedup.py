@@ -402,7 +402,8 @@ def _apply(docs: DataFrame, key: str, text: str, length: int, schema: str, make)
     settled = _settle(met, keys, marks, length).groupBy("content_id").agg(F.collect_list("places").alias("places"), F.collect_list("states").alias("states"))
     known = scratch.save(met.join(counted, "content_id").join(settled, "content_id", "left"), "known")
     scratch.drop("met")
-    strings = _unsettled(known, keys, length).groupBy("content_id").agg(F.collect_list("strings").alias("strings"))
+    # Each text gets a row from each bucket that holds strings of it, so this step has half as many, larger buckets.
+    strings = _unsettled(known, _Keys(max(keys.bits - 1, 3)), length).groupBy("content_id").agg(F.collect_list("strings").alias("strings"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches, "content", SLICE):
