@@ -54,8 +54,9 @@ BLOCK = 2_000_000
 #: Document pivots whose distances are kept.
 PIVOTS = 8
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Words whose hashes a worker remembers, text bytes that are looked at together, and text bytes for each bucket.
-_REMEMBERED, SLICE, BUCKET = 150_000, 3 << 20, 6 << 20
+#: Words whose hashes a worker remembers, text bytes that are looked at together, and text bytes for each bucket. A pair
+#: comes from each bucket in which it meets, so buckets are as large as memory allows.
+_REMEMBERED, SLICE, BUCKET = 150_000, 3 << 20, 16 << 20
 _words: dict[bytes, int] = {}
 
 
