@@ -361,11 +361,12 @@ def _fine_links(members: DataFrame, block: int) -> DataFrame:
     return pairs.groupBy("call", "a", "b").applyInArrow(join, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", dense: int = DENSE, most_dense: int = MOST_DENSE, block: int = BLOCK) -> DataFrame:
-    """key, n_shingles, component_id (the least key of the component) for each document."""
+def _classes(docs: DataFrame, scratch: Scratch, dense: int, most_dense: int, block: int) -> DataFrame:
+    """(row, doc, n_shingles, point) for each of docs (row, doc, content); rows of one component share a point, null for empty sets.
+
+    docs must be a written table in which each row has a number of its own: rows are found again by that, not by doc.
+    """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(key).alias("doc"), F.col(text).alias("content"))
     kind = dict(docs.dtypes)["doc"]
     held = docs.agg(F.coalesce(F.sum(F.octet_length("content").cast("long")), F.lit(0))).first()[0]
     keys = _Keys(int(np.clip(np.log2(max(held, 1) / BUCKET), 3, 20)))
@@ -374,40 +375,48 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         for batch in arrow.slices(batches, "content", SLICE):
             sets = shingle_sets(arrow.octets(batch.column("content")))
             ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), ids, pa.array([len(s) for s in sets], pa.int64())], ["doc", "set_id", "n_shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), ids, pa.array([len(s) for s in sets], pa.int64())], ["row", "doc", "set_id", "n_shingles"])
 
-    named = scratch.save(docs.mapInArrow(name, f"doc {kind}, set_id long, n_shingles long"), "named")
+    named = scratch.save(docs.select("row", "doc", "content").mapInArrow(name, f"row long, doc {kind}, set_id long, n_shingles long"), "named")
     frequent = scratch.save(_frequent(docs, "content", keys, dense), "frequent")
     window = spark.sparkContext.broadcast(_Window(keys, *_order_table(frequent, most_dense)))
     met = scratch.save(_candidates(docs, "content", keys, window, dense), "met")
     clusters = components(met, scratch, "clusters").select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
-    chosen = named.join(clusters, "set_id").groupBy("set_id", "cluster").agg(F.min("doc").alias("doc"))
+    chosen = named.join(clusters, "set_id").groupBy("set_id", "cluster").agg(F.min("row").alias("row"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches, "content", SLICE):
             sets = [s.tobytes() for s in shingle_sets(arrow.octets(batch.column("content")))]
             yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("set_id"), pa.array(sets, pa.binary())], ["cluster", "set_id", "content"])
 
-    # A key that several rows share could bring other texts: the set's own id decides.
-    def load_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in load(batches):
-            own = [set_id(np.frombuffer(c, np.uint64)) for c in batch.column("content").to_pylist()]
-            yield batch.filter(pa.array(np.array(own, np.int64) == batch.column("set_id").to_numpy()))
-
-    members = docs.join(chosen, "doc").select("cluster", "set_id", "content").mapInArrow(load_own, "cluster long, set_id long, content binary").dropDuplicates(["cluster", "set_id"])
+    members = docs.join(chosen, "row").select("cluster", "set_id", "content").mapInArrow(load, "cluster long, set_id long, content binary")
     links = scratch.save(_fine_links(scratch.save(members, "members"), block), "links")
     scratch.drop("members", "met")
     roots = components(links, scratch, "roots")
     joined = named.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    joined = joined.withColumn("point", F.coalesce("root", "set_id"))
-    least = joined.filter("point IS NOT NULL").groupBy("point").agg(F.min("doc").alias("least"))
-    return joined.join(least, "point", "left").select(F.col("doc").alias(key), "n_shingles", F.coalesce("least", "doc").alias("component_id"))
+    return joined.select("row", "doc", "n_shingles", F.coalesce("root", "set_id").alias("point"))
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", dense: int = DENSE, most_dense: int = MOST_DENSE, block: int = BLOCK) -> DataFrame:
+    """key, n_shingles, component_id (the least key of the component) for each document."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc"), F.col(text).alias("content"))
+    found = _classes(scratch.save(rows, "rows"), scratch, dense, most_dense, block)
+    least = found.filter("point IS NOT NULL").groupBy("point").agg(F.min("doc").alias("least"))
+    return found.join(least, "point", "left").select(F.col("doc").alias(key), "n_shingles", F.coalesce("least", "doc").alias("component_id"))
+
+
+_ROW = "_jaccard_row"
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: its least key, with all columns. Documents with empty sets or null keys all stay."""
-    found = jaccard_components(docs, key, text)
-    return docs.join(found.filter(F.col(key) != F.col("component_id")).select(key), key, "left_anti").select(docs.columns)
+    """One row of each component, with all columns: its least key, null last; of rows that share it any one. Empty sets all stay."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows = scratch.save(docs.withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    found = _classes(rows.select(F.col(_ROW).alias("row"), F.col(key).alias("doc"), F.col(text).alias("content")), scratch, DENSE, MOST_DENSE, BLOCK)
+    first = found.filter("point IS NOT NULL").groupBy("point").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "row"))["row"].alias("first"))
+    gone = found.join(first, "point").filter("row != first").select(F.col("row").alias(_ROW))
+    return rows.join(gone, _ROW, "left_anti").select(docs.columns)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

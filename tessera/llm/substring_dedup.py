@@ -17,7 +17,8 @@ contexts and strings are told apart by 64-bit hashes (prefixes by 32 bits and th
 
 Defined cases: a null text has no bytes; texts shorter than LENGTH keep everything; repeated rows are texts that start
 again, so all of theirs goes if they are LENGTH bytes or longer; an empty table gives no rows; long texts are read whole;
-further columns are ignored. Rows are told apart by key and text; repeated rows come out as often as they went in.
+further columns are carried with their row or ignored; no row is found again by its key, so repeated rows come out as often
+as they went in, and null and shared keys are as any others.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import arrow
@@ -366,11 +367,11 @@ def _clean(kept: bytes, n_removed: int, n_spans: int) -> tuple:
     return (kept.decode("utf-8", "ignore"),)
 
 
-def _apply(docs: DataFrame, key: str, text: str, length: int, schema: str, make) -> DataFrame:
-    """key and the columns `make` derives from (kept bytes, bytes removed, runs removed) of each document."""
+def _apply(docs: DataFrame, own: Column, text: str, length: int, schema: str, make) -> DataFrame:
+    """doc, the value of `own`, and the columns `make` derives from (kept bytes, bytes removed, runs removed) of each row."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
-    docs = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("content"))
+    docs = docs.select(own.alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("content"))
     kind = dict(docs.dtypes)["doc"]
     held = docs.agg(F.coalesce(F.sum(F.length("content").cast("long")), F.lit(0))).first()[0]
     keys = _Keys(int(np.clip(np.log2(max(held, 1) / (24 << 20)), 3, 20)))
@@ -427,18 +428,24 @@ def _apply(docs: DataFrame, key: str, text: str, length: int, schema: str, make)
 
     every = known.join(strings, "content_id", "left").select("doc", "content", "copies", "places", "states", "strings")
     touched = every.mapInArrow(finish, f"doc {kind}, {schema}")
-    return passed.union(touched).withColumnRenamed("doc", key)
+    return passed.union(touched)
 
 
 def repeated_substrings(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256 for each document."""
-    return _apply(docs, key, text, length, _RESULT, _digest)
+    return _apply(docs, F.col(key), text, length, _RESULT, _digest).withColumnRenamed("doc", key)
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with what repeats cut out of their texts; documents of which nothing is left stay, with empty texts."""
-    kept = _apply(docs, key, text, length, "_kept string", _clean)
-    return docs.join(kept, key).withColumn(text, F.when(F.col(text).isNull(), F.lit(None)).otherwise(F.col("_kept"))).select(docs.columns)
+def remove_repeated(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
+    """The documents with what repeats cut out of their texts; documents of which nothing is left stay, with empty texts.
+
+    A row's other columns travel with its text, so no key is needed: null, shared and repeated keys are rows like others.
+    """
+    others = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text}
+    own = F.struct(F.col(text).isNull().alias("empty"), *(F.col(c).alias(alias) for c, alias in others.items()))
+    kept = _apply(docs, own, text, length, "_kept string", _clean)
+    back = F.when(~F.col("doc.empty"), F.col("_kept")).alias(text)
+    return kept.select(*(back if c == text else F.col(f"doc.{others[c]}").alias(c) for c in docs.columns))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

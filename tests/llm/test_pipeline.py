@@ -1,10 +1,11 @@
 import random
+from collections import Counter
 
 import public_tokenizers
 
 import corpus_pipeline
 from tests.llm import test_decontamination, test_jaccard_join, test_packing, test_quality, test_substring_dedup
-from tests.llm.helpers import documents, odd_texts, prose
+from tests.llm.helpers import SCHEMA, documents, odd_texts, prose
 
 
 def case():
@@ -70,5 +71,17 @@ def test_stages_match_brute_force(spark, tmp_path):
     assert {r.doc_id for r in got} == {x[0] for x in want} and sum(r.length for r in got) == sum(x[2] for x in want)
 
 
+def test_stages_by_row_with_repeated_null_and_shared_ids(spark):
+    rng = random.Random(3)
+    near, other, lone, passage = (prose(rng, 100, 9999) for _ in range(4))
+    rows = [(5, near)] * 6 + [(6, near + " tail")] + [(None, other)] * 3 + [(7, lone), (7, passage), (None, passage + " end"), (8, ""), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == Counter([(5, near), (None, other), (7, lone), (7, passage), (8, ""), (8, "")])
+    cut = Counter((r.doc_id, r.text) for r in corpus_pipeline.repeated_passages(spark, docs, "").collect())
+    # repeated bytes go: all of the copies, and what their longer near copies share with them
+    assert cut == Counter([(5, "")] * 6 + [(6, " tail")] + [(None, "")] * 3 + [(7, lone), (7, ""), (None, " end"), (8, ""), (8, "")])
+
+
 def test_names():
     assert public_tokenizers.path("word_bpe_49k.json") and [n for n, _ in corpus_pipeline.STAGES][-1] == "packing"
