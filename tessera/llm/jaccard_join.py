@@ -1,4 +1,4 @@
-"""Exact n-gram Jaccard join in the metric space of shingle sets, and the components of its links.
+"""Exact n-gram Jaccard join in the metric space of shingle sets, with the components and numbers of its links.
 
 Distance is 1 - Jaccard; two sets link within EPSILON = 1/4. Equal sets are at distance 0 and count as one point.
 
@@ -11,9 +11,10 @@ their triangle-inequality windows would replicate everything.) Windows are a lit
 argument demands EXTRA common shingles and so drops sets that share a passage only.
 
 Fine regions. Sets that meet form candidate clusters; each cluster is joined by document pivots: distances to the first
-pivots give triangle-inequality windows | d(x,p) - d(y,p) | <= EPSILON, only pairs inside all windows are compared, and
-pairs already in one component are skipped, as only components are asked for. Every set is a pivot in turn against the
-sets that are left, so the join is exact. Clusters too large for a task are cut into blocks, and pairs of blocks joined.
+pivots give triangle-inequality windows | d(x,p) - d(y,p) | <= EPSILON, and all pairs inside all windows are compared.
+Every set is a pivot in turn against the sets after it, so the join is exact and counts each link once. Links leave a call
+as each set's number, equal sets weighted by their copies, and as the few that connect its sets. Clusters too large for a
+task are cut into blocks, and pairs of blocks joined.
 
 Frequent shingles. All shingles of all documents are counted. Those in more than DENSE documents come last in the order,
 rarest first; if they exceed MOST_DENSE, the bound of the table that is broadcast, the threshold is doubled until they fit
@@ -270,60 +271,78 @@ def _candidates(docs: DataFrame, text: str, keys: _Keys, window, dense: int) ->
     return met.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("wanted").alias("wanted")).filter("n >= wanted").select("u", "v")
 
 
-def join_cluster(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect what is connected: pairs of indices, exact by document pivots and windows.
+def link_cluster(sets: list[np.ndarray], side: np.ndarray | None = None, copies: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links that connect what is connected (pairs of indices), and the copies that each set links with.
 
-    side: if given, 0 or 1 for each set, and only pairs from different sides are joined.
+    Exact by document pivots and windows. side: if given, a number for each set, and only pairs from different sides are
+    joined. copies: how many rows each set stands for, 1 if not given.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
+    copies = np.ones(n, np.int64) if copies is None else copies
     numbers, shingles = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     marks = np.zeros(len(numbers), np.int32)
+    # The sets of each shingle: read instead of the sets themselves where they are fewer.
+    owners = np.repeat(np.arange(n, dtype=np.int32), sizes)[np.argsort(shingles, kind="stable")]
+    posts = np.concatenate([[0], np.cumsum(np.bincount(shingles, minlength=len(numbers)))])
     label = np.arange(n)
     epsilon = 1 - LIKE[0] / LIKE[1]
     kept: list[np.ndarray] = []
     links = []
+    n_links = np.zeros(n, np.int64)
+
+    def runs(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return np.repeat(begins - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
     def common(pivot: int, others: np.ndarray) -> np.ndarray:
         own = shingles[starts[pivot] : starts[pivot + 1]]
+        held = posts[own + 1] - posts[own]
+        if held.sum() < sizes[others].sum():
+            return np.bincount(owners[runs(posts[own], held)], minlength=n)[others]
         marks[own] = 1
-        if 4 * len(others) > n:
-            found = np.add.reduceat(marks[shingles], starts[:-1])[others]
-        else:
-            found = np.array([marks[shingles[starts[o] : starts[o + 1]]].sum() for o in others], np.int64)
+        found = np.add.reduceat(marks[shingles[runs(starts[others], sizes[others])]], np.cumsum(sizes[others]) - sizes[others])
         marks[own] = 0
-        return found
+        return found.astype(np.int64)
 
     everyone = np.arange(n)
     for pivot in range(n):
+        near = everyone > pivot  # earlier ones were joined when those were pivots
+        if side is not None:
+            near &= side != side[pivot]
+        near &= (LIKE[1] * sizes >= LIKE[0] * sizes[pivot]) & (LIKE[1] * sizes[pivot] >= LIKE[0] * sizes)
+        for distances in kept:
+            near &= np.abs(distances - distances[pivot]) <= epsilon + 1e-9
+        near = np.flatnonzero(near)
         if len(kept) < PIVOTS:
-            near = everyone
-        else:
-            near = label != label[pivot]
-            near[:pivot] = False  # joined when those were pivots
-            if side is not None:
-                near &= side != side[pivot]
-            near &= (LIKE[1] * sizes >= LIKE[0] * sizes[pivot]) & (LIKE[1] * sizes[pivot] >= LIKE[0] * sizes)
-            for distances in kept:
-                near &= np.abs(distances - distances[pivot]) <= epsilon + 1e-9
-            near = np.flatnonzero(near)
-            if not len(near):
-                continue
-        both = common(pivot, near)
-        either = sizes[near] + sizes[pivot] - both
-        if len(kept) < PIVOTS:
-            kept.append(1 - both / either)
-        linked = near[LIKE[1] * both >= LIKE[0] * either]
-        for other in linked.tolist():
-            if label[other] != label[pivot] and (side is None or side[other] != side[pivot]):
+            both = common(pivot, everyone)
+            kept.append(1 - both / (sizes + sizes[pivot] - both))
+            both = both[near]
+        elif len(near):
+            both = common(pivot, near)
+        if not len(near):
+            continue
+        linked = near[LIKE[1] * both >= LIKE[0] * (sizes[near] + sizes[pivot] - both)]
+        n_links[pivot] += copies[linked].sum()
+        n_links[linked] += copies[pivot]
+        for other in linked[label[linked] != label[pivot]].tolist():
+            if label[other] != label[pivot]:
                 links.append((pivot, other))
                 label[label == label[other]] = label[pivot]
-    return links
+    return links, n_links
+
+
+def join_cluster(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """The connecting links of link_cluster."""
+    return link_cluster(sets, side)[0]
 
 
 def _fine_links(members: DataFrame, block: int) -> DataFrame:
-    """(u, v): links within clusters. members: (cluster, set_id, content), content being the set's hashes."""
+    """(u, v, n_links): links that connect a cluster's sets, and rows without v that give copies that u links with.
+
+    members: (cluster, set_id, copies, content), content being the set's hashes. Each pair of a cluster's sets is compared in
+    one call only, so a set's rows without v add up to all it links with.
+    """
     blocks = (F.floor(F.sum(F.length("content").cast("long")) / (8 * block)) + 1).cast("int")
     sized = members.groupBy("cluster").agg(blocks.alias("blocks"))
     # Clusters of one block share calls, each of about a block: a call for each would cost more than the join.
@@ -336,12 +355,13 @@ def _fine_links(members: DataFrame, block: int) -> DataFrame:
         F.greatest("i", "j").alias("b"),
         "i",
         "set_id",
+        "copies",
         "content",
     )
 
     def join(table: pa.Table) -> pa.Table:
-        u, v = [], []
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("cluster", "set_id", "i", "a", "b")), range(table.num_rows), strict=True))
+        u, v, n = [], [], []
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("cluster", "set_id", "i", "a", "b", "copies")), range(table.num_rows), strict=True))
         content = table.column("content")
         start = 0
         while start < len(rows):
@@ -350,19 +370,25 @@ def _fine_links(members: DataFrame, block: int) -> DataFrame:
                 end += 1
             part = rows[start:end]
             if end - start > 1:
-                sets = [np.frombuffer(content[r[5]].as_py(), np.uint64) for r in part]
+                sets = [np.frombuffer(content[r[6]].as_py(), np.uint64) for r in part]
                 side = np.array([r[2] for r in part]) if part[0][3] != part[0][4] else None
-                for x, y in join_cluster(sets, side):
+                links, found = link_cluster(sets, side, np.array([r[5] for r in part], np.int64))
+                for x, y in links:
                     u.append(part[x][1])
                     v.append(part[y][1])
+                    n.append(None)
+                for x in np.flatnonzero(found).tolist():
+                    u.append(part[x][1])
+                    v.append(None)
+                    n.append(int(found[x]))
             start = end
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n_links": pa.array(n, pa.int64())})
 
-    return pairs.groupBy("call", "a", "b").applyInArrow(join, "u long, v long")
+    return pairs.groupBy("call", "a", "b").applyInArrow(join, "u long, v long, n_links long")
 
 
 def _classes(docs: DataFrame, scratch: Scratch, dense: int, most_dense: int, block: int) -> DataFrame:
-    """(row, doc, n_shingles, point) for each of docs (row, doc, content); rows of one component share a point, null for empty sets.
+    """(row, doc, n_shingles, point, n_links) for each of docs (row, doc, content); rows of one component share a point, null for empty sets.
 
     docs must be a written table in which each row has a number of its own: rows are found again by that, not by doc.
     """
@@ -382,28 +408,32 @@ def _classes(docs: DataFrame, scratch: Scratch, dense: int, most_dense: int, blo
     window = spark.sparkContext.broadcast(_Window(keys, *_order_table(frequent, most_dense)))
     met = scratch.save(_candidates(docs, "content", keys, window, dense), "met")
     clusters = components(met, scratch, "clusters").select(F.col("node").alias("set_id"), F.col("root").alias("cluster"))
-    chosen = named.join(clusters, "set_id").groupBy("set_id", "cluster").agg(F.min("row").alias("row"))
+    chosen = named.join(clusters, "set_id").groupBy("set_id", "cluster").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches, "content", SLICE):
             sets = [s.tobytes() for s in shingle_sets(arrow.octets(batch.column("content")))]
-            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("set_id"), pa.array(sets, pa.binary())], ["cluster", "set_id", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("set_id"), batch.column("copies"), pa.array(sets, pa.binary())], ["cluster", "set_id", "copies", "content"])
 
-    members = docs.join(chosen, "row").select("cluster", "set_id", "content").mapInArrow(load, "cluster long, set_id long, content binary")
+    members = docs.join(chosen, "row").select("cluster", "set_id", "copies", "content").mapInArrow(load, "cluster long, set_id long, copies long, content binary")
     links = scratch.save(_fine_links(scratch.save(members, "members"), block), "links")
     scratch.drop("members", "met")
-    roots = components(links, scratch, "roots")
-    joined = named.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-    return joined.select("row", "doc", "n_shingles", F.coalesce("root", "set_id").alias("point"))
+    roots = components(links.filter("v IS NOT NULL"), scratch, "roots").withColumnRenamed("node", "set_id")
+    # Rows with one set link with each other, and each with all that the set links with.
+    copies = named.filter("set_id IS NOT NULL").groupBy("set_id").agg((F.count("*") - 1).alias("copies"))
+    counted = links.filter("v IS NULL").groupBy(F.col("u").alias("set_id")).agg(F.sum("n_links").alias("others"))
+    sets = copies.join(roots, "set_id", "left").join(counted, "set_id", "left").select("set_id", "root", (F.col("copies") + F.coalesce("others", F.lit(0))).alias("n_links"))
+    joined = named.join(sets, "set_id", "left")
+    return joined.select("row", "doc", "n_shingles", F.coalesce("root", "set_id").alias("point"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", dense: int = DENSE, most_dense: int = MOST_DENSE, block: int = BLOCK) -> DataFrame:
-    """key, n_shingles, component_id (the least key of the component) for each document."""
+    """key, n_shingles, component_id (the least key of the component), n_links (other rows it links with) for each document."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc"), F.col(text).alias("content"))
     found = _classes(scratch.save(rows, "rows"), scratch, dense, most_dense, block)
     least = found.filter("point IS NOT NULL").groupBy("point").agg(F.min("doc").alias("least"))
-    return found.join(least, "point", "left").select(F.col("doc").alias(key), "n_shingles", F.coalesce("least", "doc").alias("component_id"))
+    return found.join(least, "point", "left").select(F.col("doc").alias(key), "n_shingles", F.coalesce("least", "doc").alias("component_id"), "n_links")
 
 
 _ROW = "_jaccard_row"

@@ -77,5 +77,23 @@ def test_clusters_match_brute_force():
         assert [label.index(x) for x in label] == [want.index(x) for x in want]
 
 
+def test_every_link_is_counted(spark):
+    rng = random.Random(8)
+    bases = [prose(rng, 90, 9999) for _ in range(4)]
+    texts = [None, "", "x", "x"] + bases * 2
+    for base in bases[:3] * 6:  # near copies link with their base, but not all with each other
+        copy = base.split()
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(9999)}"
+        texts.append(" ".join(copy))
+    sets = [shingles(t) for t in texts]
+    want = [sum(a != b and bool(s) and 100 * len(s & t) >= 75 * len(s | t) for b, t in enumerate(sets)) for a, s in enumerate(sets)]
+    assert len(set(want)) > 4
+    rows = j.jaccard_components(documents(spark, texts), block=300).collect()
+    assert {r.doc_id: r.n_links for r in rows} == dict(enumerate(want))
+    nulls = documents(spark, texts).selectExpr("CAST(NULL AS bigint) AS doc_id", "text")
+    assert sorted(r.n_links for r in j.jaccard_components(nulls).collect()) == sorted(want)
+
+
 def test_empty_table(spark):
     assert j.jaccard_components(documents(spark, [])).count() == 0
