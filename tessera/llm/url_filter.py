@@ -3,7 +3,8 @@
 Hosts whose pages an allow rule fits are trusted seeds, hosts whose pages a block rule fits are blocked seeds. Trust is
 personalised PageRank along links from the trusted seeds; distrust is personalised PageRank along reversed links from the
 blocked seeds (who links to a blocked host is suspect). A host whose distrust exceeds its trust by more than MARGIN is
-blocked, any other is allowed; so hosts that no propagation reaches are allowed.
+blocked, any other is allowed; so hosts that no propagation reaches are allowed. Both are carried on until no host is
+reached anew and the mass still to be delivered is at most TOLERANCE of all.
 
 Links are absolute (scheme://host) or scheme-relative (//host) href and src targets; a relative link stays on its host and
 carries nothing. Repeated links count once for each page pair of hosts: an edge's weight is its number of links.
@@ -21,7 +22,8 @@ from tessera.llm.scratch import Scratch
 
 #: (host, path, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-DAMPING, ITERATIONS, MARGIN = 0.85, 8, 0.0
+DAMPING, ITERATIONS, MARGIN = 0.85, 8, 0.0  # ITERATIONS: of the SQL twin, which writes its rounds out
+TOLERANCE = 1e-9
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>\\]+)"""
 
 
@@ -47,19 +49,27 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def _rank(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, iterations: int, damping: float) -> DataFrame:
-    """Personalised PageRank (host, mass) along edges (src, dst, share); mass without out-links is dropped."""
-    restart = seeds.withColumn("mass", F.lit(1.0 - damping) * F.col("weight")).select("host", "mass")
-    ranks = restart
-    for i in range(1, iterations + 1):
-        flow = edges.join(ranks.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        ranks = restart.union(flow).groupBy("host").agg(F.sum("mass").alias("mass"))
-        if i % 4 == 0:
-            ranks = scratch.save(ranks, f"{name}{i}")
-    return ranks
+def _rank(edges: DataFrame, seeds: DataFrame, scratch: Scratch, name: str, tolerance: float, damping: float) -> DataFrame:
+    """Personalised PageRank (host, mass) along edges (src, dst, share); mass without out-links is dropped.
 
+    A round delivers what the last one brought (fresh); all later rounds together bring damping / (1 - damping) of it at most.
+    """
+    edges = scratch.save(edges, f"{name}_edges")
+    restart = seeds.select("host", (F.lit(1.0 - damping) * F.col("weight")).alias("mass"))
+    ranks = scratch.save(restart.withColumn("fresh", F.col("mass")), f"{name}0")
+    i, reached = 0, -1
+    while True:
+        state = ranks.agg(F.count("*").alias("hosts"), F.coalesce(F.sum("fresh"), F.lit(0.0)).alias("fresh")).first()
+        if state.fresh * damping <= tolerance * (1.0 - damping) and (state.hosts == reached or not state.fresh):
+            return ranks.select("host", "mass")
+        reached, i = state.hosts, i + 1
+        flow = edges.join(ranks.filter("fresh > 0"), edges.src == ranks.host).select(F.col("dst").alias("host"), (F.col("fresh") * F.col("share") * damping).alias("mass"))
+        carried = ranks.select("host", "mass", F.lit(0.0).alias("fresh")).union(flow.select("host", "mass", F.col("mass").alias("fresh")))
+        ranks = scratch.save(carried.groupBy("host").agg(F.sum("mass").alias("mass"), F.sum("fresh").alias("fresh")), f"{name}{i}")
+        scratch.drop(f"{name}{i - 1}")
 
-def judge_urls(pages: DataFrame, rules=RULES, iterations: int = ITERATIONS, damping: float = DAMPING, margin: float = MARGIN) -> DataFrame:
+
+def judge_urls(pages: DataFrame, rules=RULES, tolerance: float = TOLERANCE, damping: float = DAMPING, margin: float = MARGIN) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust."""
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path("url")
@@ -81,7 +91,7 @@ def judge_urls(pages: DataFrame, rules=RULES, iterations: int = ITERATIONS, damp
         edges = links.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "links").join(out, "src").select("src", "dst", (F.col("links") / F.col("all")).alias("share"))
         total = hosts.agg(F.sum(seeds)).first()[0] or 1.0
         seeded = hosts.filter(F.col(seeds) > 0).select("host", (F.col(seeds) / F.lit(float(total))).alias("weight"))
-        return _rank(edges, seeded, scratch, name, iterations, damping).withColumnRenamed("mass", name)
+        return _rank(edges, seeded, scratch, name, tolerance, damping).withColumnRenamed("mass", name)
 
     trust = propagate("src", "dst", "allowed", "trust")
     distrust = propagate("dst", "src", "blocked", "distrust")
