@@ -8,7 +8,8 @@ word. An item of fewer than WINDOW words is one window, and its own fingerprint.
 
 The items' fingerprints and windows go to the executors as a broadcast if the items' texts hold at most BROADCAST_BYTES;
 beyond that, fingerprints of documents and items are joined as rows, and each document is then compared with the items it
-met. Both ways give the same result.
+met. There both are found again by row numbers from written tables, as ids may be null or shared. Both ways give the same
+result.
 
 Defined cases: a null or empty text has no words, is hit by nothing and not contaminated; an item without words has no
 window; repeated documents each give a row; equal items each count; an empty table of either kind gives no rows or no hits;
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import arrow
+from tessera.llm.scratch import Scratch
 
 WINDOW, GRAM = 13, 7
 BROADCAST_BYTES = 32 << 20
@@ -176,7 +178,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROA
     kind = dict(docs.dtypes)[key]
     index = _small_index(items, broadcast_bytes)
     if index is None:
-        return _joined(docs, items, key, text, kind)
+        scratch = Scratch(docs.sparkSession, "decontamination")
+        rows = scratch.save(docs.select(F.col(key).alias("doc"), F.col(text).alias("content"), F.monotonically_increasing_id().alias("row")), "docs")
+        return _joined(rows, items, scratch, kind).select(F.col("doc").alias(key), *_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches, text):
@@ -198,8 +202,12 @@ def _prints(texts: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     return out
 
 
-def _joined(docs: DataFrame, items: DataFrame, key: str, text: str, kind: str) -> DataFrame:
-    """The way for items that are too large to broadcast: fingerprints meet in an equi-join."""
+def _joined(docs: DataFrame, items: DataFrame, scratch: Scratch, kind: str) -> DataFrame:
+    """row, doc and the verdict's columns: the way for items that are too large to broadcast, where fingerprints meet in an equi-join.
+
+    docs: (row, doc, content), a written table in which each row has a number of its own.
+    """
+    items = scratch.save(items.withColumn("item_row", F.monotonically_increasing_id()), "items")
 
     def item_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,46 +218,48 @@ def _joined(docs: DataFrame, items: DataFrame, key: str, text: str, kind: str) -
                 owners += [i] * len(own)
                 sizes += [min(n, WINDOW)] * len(own)
                 prints.append(own)
-            rows = [batch.column("item").take(pa.array(owners, pa.int64())), pa.array(np.concatenate([np.empty(0, np.uint64), *prints]).view(np.int64)), pa.array(sizes, pa.int32())]
-            yield pa.RecordBatch.from_arrays(rows, ["item", "print", "size"])
+            rows = [batch.column("item_row").take(pa.array(owners, pa.int64())), pa.array(np.concatenate([np.empty(0, np.uint64), *prints]).view(np.int64)), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(rows, ["item_row", "print", "size"])
 
-    item_kind = dict(items.dtypes)["item"]
-    known = items.mapInArrow(item_prints, f"item {item_kind}, print long, size int")
+    known = items.mapInArrow(item_prints, "item_row long, print long, size int")
     lengths = sorted(r.size for r in known.filter(F.col("size") < WINDOW).select("size").distinct().collect())  # at most WINDOW - 1
 
     def doc_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, text):
-            prints = _prints(arrow.octets(batch.column(text)), lengths)
+        for batch in arrow.slices(batches, "content"):
+            prints = _prints(arrow.octets(batch.column("content")), lengths)
             owners = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
-            rows = [batch.column(key).take(pa.array(owners)), pa.array(np.concatenate([np.empty(0, np.uint64), *prints]).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(rows, [key, "print"])
+            rows = [batch.column("row").take(pa.array(owners)), pa.array(np.concatenate([np.empty(0, np.uint64), *prints]).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(rows, ["row", "print"])
 
-    met = docs.select(key, text).mapInArrow(doc_prints, f"`{key}` {kind}, print long").join(known.select("item", "print"), "print").select(key, "item").distinct()
-    near = met.join(items, "item").groupBy(key).agg(F.collect_list(F.struct("item", "content")).alias("near"))
-    joined = docs.select(key, text).join(near, key, "left")
+    met = docs.select("row", "content").mapInArrow(doc_prints, "row long, print long").join(known.select("item_row", "print"), "print").select("row", "item_row").distinct()
+    near = met.join(items, "item_row").groupBy("row").agg(F.collect_list(F.struct("item", "content")).alias("near"))
+    joined = docs.select("row", "doc", "content").join(near, "row", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrow.slices(batches, text):
+        for batch in arrow.slices(batches, "content"):
             verdicts = []
-            for content, own in zip(arrow.octets(batch.column(text)), batch.column("near").to_pylist(), strict=True):
+            for content, own in zip(arrow.octets(batch.column("content")), batch.column("near").to_pylist(), strict=True):
                 words = words_of(content)
                 found = ItemIndex((x["item"], x["content"]) for x in own).compare([words])[0] if own else (0, [])
                 verdicts.append(_verdict(len(words), *found))
-            yield _rows(batch.column(key), key, verdicts)
+            found = _rows(batch.column("doc"), "doc", verdicts)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *found.columns], ["row", *found.schema.names])
 
-    return joined.mapInArrow(run, f"`{key}` {kind}, {_SCHEMA}")
+    return joined.mapInArrow(run, f"row long, doc {kind}, {_SCHEMA}")
 
 
-def keep_uncontaminated(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with all their columns; without a shuffle if the items are broadcast.
+_ROW = "_decontamination_row"
 
-    Beyond that documents go by key, so rows that share a contaminated row's key go too.
-    """
+
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that are not contaminated, with all their columns; without a shuffle if the items are broadcast."""
     own = items.select(F.col(item).alias("item"), F.col(item_text).cast("binary").alias("content")).filter("content IS NOT NULL")
     index = _small_index(own, broadcast_bytes)
     if index is None:
-        found = decontaminate(docs, items, broadcast_bytes, key, text, item, item_text)
-        return docs.join(found.filter("contaminated").select(key), key, "left_anti").select(docs.columns)
+        scratch = Scratch(docs.sparkSession, "decontamination")
+        rows = scratch.save(docs.withColumn(_ROW, F.monotonically_increasing_id()), "docs")
+        found = _joined(rows.select(F.col(_ROW).alias("row"), F.col(key).alias("doc"), F.col(text).alias("content")), own, scratch, dict(docs.dtypes)[key])
+        return rows.join(found.filter("contaminated").select(F.col("row").alias(_ROW)), _ROW, "left_anti").select(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches, text):

@@ -3,7 +3,7 @@ import random
 import re
 
 from tessera.llm import decontamination as d
-from tests.llm.helpers import clashing, documents, odd_texts, prose
+from tests.llm.helpers import SCHEMA, clashing, documents, odd_texts, prose
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -49,6 +49,19 @@ def test_both_ways_match_brute_force(spark):
         assert [tuple(r)[1:] for r in rows] == brute(texts, items)
 
 
+def test_both_ways_with_null_and_repeated_ids(spark):
+    hit, clean, two = "a1 b2 c3 d4 e5", "x y z", "k l m n o p"
+    rows = [(None, hit), (None, hit), (None, clean), (4, hit), (4, clean), (5, clean), (6, two)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    items = [(None, hit), (1, two), (1, hit), (2, "not there")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(brute([t for _, t in rows], items))
+    for most in (d.BROADCAST_BYTES, 0):
+        assert sorted(tuple(r)[1:] for r in d.decontaminate(docs, table, most).collect()) == want
+        kept = sorted((str(r.doc_id), r.text) for r in d.keep_uncontaminated(docs, table, most).collect())
+        assert kept == [("4", clean), ("5", clean), ("None", clean)]
+
+
 def test_empty_tables(spark):
     docs, none = documents(spark, ["a b c"]), spark.createDataFrame([], "item_id long, text string")
     assert d.decontaminate(docs, none).collect()[0].n_hit == 0
