@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -34,3 +35,9 @@ def texts(column: pa.Array) -> list[str]:
 def octets(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes, with b"" for null."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values sorted, each once; sorting is several times faster here than numpy's own hashing."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
