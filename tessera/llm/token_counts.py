@@ -8,14 +8,17 @@ states, their maps compose by a parallel prefix scan, and so every chunk's true
 text in sequence; a second lockstep run then marks the beginnings. A separator that resets every state stands between
 texts, so that one scan serves a whole batch.
 
-The second reads a pre-token's bytes through a trie whose transitions carry the number of tokens emitted, which is
-negative where bytes merge into earlier tokens. A transition is compiled when it is first taken: the last token of the
-longer prefix is the one suffix t in the vocabulary for which (last token of the rest, t) is a pair that BPE leaves
-apart. Finished pre-tokens are remembered, in tables of bounded size.
+The second reads pre-tokens, each distinct one of a batch once, in lockstep, a byte at a time. Its state after a prefix is
+the prefix's last token, and a transition carries the tokens emitted, which are negative where bytes merge into earlier
+tokens: the last token of the longer prefix is the one token t at its end for which (last token of what is before, t) is
+a pair that BPE leaves apart, so the count is that of what is before plus one. Tokens, merges and compiled transitions are
+in hash tables of fixed size, looked up for whole arrays. The counts of the pre-tokens compose by a prefix sum, of which
+each text takes its part. Hashes of 64 bits tell tokens and pre-tokens apart.
 
 Strings of added special tokens inside a text count as one token and part the text, as in the library.
 
-Defined cases: null counts as empty, and an empty text has 0 tokens; a long text is read whole; repeated rows each give
+Defined cases: null counts as empty, and an empty text has 0 tokens; a long text is read whole, and so is a long run of letters, in memory in
+proportion to it; repeated rows each give
 their own row; an empty table gives no rows; further columns are ignored.
 """
 
@@ -25,18 +28,19 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import arrow
+from tessera.llm import arrow, hashing
 
 #: Code points in a chunk.
 CHUNK = 192
-#: Pre-tokens and trie nodes that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Pre-tokens that a worker remembers before it starts afresh, and pairs of tokens (a power of two).
+REMEMBERED, PAIRS = 2_000_000, 1 << 20
+#: Bytes of a pre-token that is read in lockstep with others, pre-tokens that are, and bytes of a longer one that are looked at together.
+SHORT, LOCKSTEP, LONG_PART = 48, 1 << 16, 1 << 16
 
 # Classes of code points.
 LETTER, NUMBER, SPACE, BLANK, OTHER, QUOTE, STMD, R_V, L, E, END = range(11)
@@ -143,83 +147,176 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class TokenTransducer(dict):
-    """From pre-token (str) to its number of tokens; a missing one is read through the trie.
+class TokenTransducer:
+    """Counts the tokens of pre-tokens, many at a time.
 
     Token numbers: a byte's value, then 256 + rank of the merge that makes it.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters = _byte_letters()
         plain = lambda s: bytes(letters[c] for c in s)
-        self.number = {bytes([b]): b for b in range(256)}
-        self.halves = [(b, b) for b in range(256)]
-        self.joins: dict[int, int] = {}
+        number = {bytes([b]): b for b in range(256)}
+        halves = [(b, b) for b in range(256)]
+        joins: dict[int, int] = {}
         for merge in spec["model"]["merges"]:
             left, right = map(plain, merge.split(" ") if isinstance(merge, str) else merge)
-            a, b = self.number[left], self.number[right]
-            self.joins[a << 17 | b] = len(self.halves)
-            self.number.setdefault(left + right, len(self.halves))
-            self.halves.append((a, b))
-        self.longest = max(map(len, self.number))
+            a, b = number[left], number[right]
+            joins[a << 17 | b] = len(halves)
+            number.setdefault(left + right, len(halves))
+            halves.append((a, b))
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.apart: dict[int, bool] = {}
-        self.nodes: dict[bytes, tuple[int, int]] = {b"": (-1, 0)}
-
-    def stay_apart(self, left: int, right: int) -> bool:
-        """Whether BPE leaves the two tokens as they are when they stand side by side.
+        self.halves = np.array(halves, np.int64).T
+        self.lengths = sorted({len(t) for t in number})
+        raw, begins = hashing.joined(list(number))
+        self.tokens = hashing.Table(len(number), np.int32)
+        self.tokens.add(hashing.Bytes(raw).hashes(begins[:-1], begins[1:] - 1), np.fromiter(number.values(), np.int32, len(number)))
+        self.joins = hashing.Table(len(joins), np.int64)
+        self.joins.add(np.fromiter(joins, np.uint64, len(joins)) + np.uint64(1), np.fromiter(joins.values(), np.int64, len(joins)))
+        self.join_of, self.parts, self.apart = joins, self.halves.tolist(), {}
+        self.pairs, self.fits = np.zeros(PAIRS, np.uint64), np.zeros(PAIRS, bool)
+        self.known = hashing.Table(REMEMBERED, np.int32)
+
+    def _stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether BPE leaves each two tokens as they are when they stand side by side.
 
         Merges are undone latest first; while two pieces touch, a merge across the border that is due before the one
         just undone would have come first. Of equal merges the one further left comes first.
         """
-        due = 1 << 60
+        out, rest = np.ones(len(left), bool), np.arange(len(left))
+        due = np.full(len(left), 1 << 60)
+        while len(rest):
+            across, joins = self.joins.find((left << 17 | right).astype(np.uint64) + np.uint64(1))
+            broken = joins & (across < due)
+            out[rest[broken]] = False
+            undo_left = (left > 255) & ((left > right) | (right <= 255))
+            undo_right = ~undo_left & (right > 255)
+            due = np.where(undo_left, left, right + 1)
+            left, right = np.where(undo_left, self.halves[1][left], left), np.where(undo_right, self.halves[0][right], right)
+            going = ~broken & (undo_left | undo_right)
+            rest, left, right, due = rest[going], left[going], right[going], due[going]
+        return out
+
+    def stay_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The same, remembered for the last pairs that fell to each of PAIRS places."""
+        pair = (left << 17 | right).astype(np.uint64) + np.uint64(1)
+        at = (pair * np.uint64(hashing.BASE)) >> np.uint64(64 - PAIRS.bit_length() + 1)
+        new = np.flatnonzero(self.pairs[at] != pair)
+        found = self.fits[at]
+        if len(new):
+            found[new] = self._stay_apart(left[new], right[new])
+            self.pairs[at[new]] = pair[new]
+            self.fits[at[new]] = found[new]
+            wrong = self.pairs[at[new]] != pair[new]  # two pairs fell to one place
+            self.pairs[at[new[wrong]]] = 0
+        return found
+
+    def read(self, text: hashing.Bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tokens of pre-tokens of at most SHORT bytes, read in lockstep, a byte at a time.
+
+        The last token of each prefix is the one token t at its end for which (last token of what is before, t) stay
+        apart; the transition adds one to the tokens emitted up to there.
+        """
+        order = np.argsort(-sizes)
+        starts, sizes = starts[order], sizes[order]
+        n, most = len(starts), int(sizes[0])
+        reading = np.searchsorted(-sizes, -np.arange(most + 1), "right")  # pre-tokens that have so many bytes
+        sums = np.zeros((most + 1, n), np.uint64)
+        inverse = hashing.power(hashing.INVERSE, len(text.sums))
+        for end in range(1, most + 1):
+            own = starts[: reading[end]]
+            sums[end, : len(own)] = (text.sums[own + end] - text.sums[own]) * inverse[own]
+        last, emitted = np.zeros((most + 1, n), np.int32), np.zeros((most + 1, n), np.uint8)
+        for end in range(1, most + 1):
+            rest = np.arange(reading[end])
+            for size in range(end, 0, -1):
+                if not len(rest):
+                    break
+                begin = end - size
+                token, hit = self.tokens.find(hashing.mixed((sums[end][rest] - sums[begin][rest]) * inverse[begin], size))
+                if begin:
+                    hit = np.flatnonzero(hit)
+                    hit = hit[self.stay_apart(last[begin][rest[hit]].astype(np.int64), token[hit].astype(np.int64))]
+                    fits = np.zeros(len(rest), bool)
+                    fits[hit] = True
+                else:
+                    fits = hit
+                done = rest[fits]
+                last[end, done] = token[fits]
+                emitted[end, done] = emitted[begin, done] + 1
+                rest = rest[~fits]
+        out = np.empty(n, np.int64)
+        out[order] = emitted[sizes, np.arange(n)]
+        return out
+
+    def read_long(self, text: hashing.Bytes, start: int, size: int) -> int:
+        """Tokens of one long pre-token: the tokens that may end at each byte are found for many bytes together."""
+        last, emitted = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        for low in range(0, size, LONG_PART):
+            ends = np.arange(low + 1, min(low + LONG_PART, size) + 1)
+            found = []
+            for length in self.lengths:
+                own = ends[ends >= length] + start
+                token, hit = self.tokens.find(text.hashes(own - length, own))
+                found.append(np.stack([own[hit] - start, np.full(hit.sum(), length), token[hit]]))
+            at, lengths, tokens = np.concatenate(found, 1)
+            order = np.lexsort((-lengths, at))
+            stop = 0
+            for end, length, token in zip(at[order].tolist(), lengths[order].tolist(), tokens[order].tolist(), strict=True):
+                begin = end - length
+                if end != stop and (not begin or self._fits(int(last[begin]), token)):
+                    last[end], emitted[end], stop = token, emitted[begin] + 1, end
+        return int(emitted[size])
+
+    def _fits(self, left: int, right: int) -> bool:
+        """_stay_apart for one pair, remembered."""
+        pair = left << 17 | right
+        fits = self.apart.get(pair)
+        if fits is not None:
+            return fits
+        due, (first, second), joins = 1 << 60, self.parts, self.join_of
         while True:
-            across = self.joins.get(left << 17 | right)
-            if across is not None and across < due:
-                return False
-            if left > right and left > 255:
-                due, left = left, self.halves[left][1]
+            if joins.get(left << 17 | right, due) < due:
+                fits = False
+                break
+            if left > 255 and (left > right or right <= 255):
+                due, left = left, second[left]
             elif right > 255:
-                due, right = right + 1, self.halves[right][0]
-            elif left > 255:
-                due, left = left, self.halves[left][1]
+                due, right = right + 1, first[right]
             else:
-                return True
-
-    def __missing__(self, pre_token: str) -> int:
-        if len(self) + len(self.nodes) > REMEMBERED:
-            self.clear()
-            self.nodes, self.apart = {b"": (-1, 0)}, {}
-        word = pre_token.encode("utf-8", "surrogatepass")
-        nodes, apart, number, size = self.nodes, self.apart, self.number, len(word)
-        first = size
-        while word[:first] not in nodes:
-            first -= 1
-        for end in range(first + 1, size + 1):  # a transition not taken before
-            for start in range(max(0, end - self.longest), end):
-                token = number.get(word[start:end])
-                if token is None:
-                    continue
-                last, count = nodes[word[:start]]
-                if last < 0:
-                    break
-                pair = last << 17 | token
-                fits = apart.get(pair)
-                if fits is None:
-                    fits = apart[pair] = self.stay_apart(last, token)
-                if fits:
-                    break
-            nodes[word[:end]] = (token, count + 1)
-        count = nodes[word][1]
-        if size > 48:  # long runs leave nothing behind
-            for end in range(max(first + 1, 48), size + 1):
-                nodes.pop(word[:end], None)
-        else:
-            self[pre_token] = count
-        return count
+                fits = True
+                break
+        if len(self.apart) > PAIRS:
+            self.apart.clear()
+        self.apart[pair] = fits
+        return fits
+
+    def counts(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of tokens of each pre-token raw[start:end]."""
+        text = hashing.Bytes(raw)
+        keys = text.hashes(starts, ends)
+        found, hit = self.known.find(keys)
+        missing = np.flatnonzero(~hit)
+        if len(missing):
+            order = missing[np.argsort(keys[missing])]
+            new = np.append(True, keys[order][1:] != keys[order][:-1])
+            first = order[new]
+            own = np.zeros(len(first), np.int64)
+            sizes = ends[first] - starts[first]
+            short = np.flatnonzero(sizes <= SHORT)
+            for part in np.array_split(short, -(-len(short) // LOCKSTEP)) if len(short) else []:
+                own[part] = self.read(text, starts[first[part]], sizes[part])
+            for i in np.flatnonzero(sizes > SHORT).tolist():
+                own[i] = self.read_long(text, int(starts[first[i]]), int(sizes[i]))
+            found = found.copy()
+            found[order] = own[np.cumsum(new) - 1]
+            if self.known.held + len(first) > REMEMBERED:
+                self.known = hashing.Table(REMEMBERED, np.int32)
+            kept = slice(0, REMEMBERED)
+            self.known.add(keys[first[kept]], own[kept])
+        return found.astype(np.int64)
 
 
 @lru_cache(2)
@@ -239,16 +336,19 @@ def count_tokens(texts: list[str], path: str) -> np.ndarray:
                 extra[i] = len(pieces) - 1
         parts += pieces
         owners += [i] * len(pieces)
-    joined = "\n".join(parts) + "\n"
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    together = "\n".join(parts) + "\n"
+    raw = np.frombuffer(together.encode("utf-8", "surrogatepass"), np.uint8)
+    codes = np.frombuffer(together.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     codes[ends] = 0x110000
     begins = beginnings(codes)
-    cuts = begins.tolist()
-    numbers = [machine[joined[a:b]] for a, b in pairwise(cuts)]
-    counts = np.array([*numbers, 0], np.int64)
-    counts[np.isin(begins, ends, assume_unique=True)] = 0  # separators
+    places = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # of code points among the bytes
+    separators = np.isin(begins, ends, assume_unique=True)
+    starts = places[begins]
+    counts = np.zeros(len(begins), np.int64)
+    words = np.flatnonzero(~separators)
+    counts[words] = machine.counts(raw, starts[words], np.append(starts, len(raw))[words + 1])
     sums = np.concatenate([[0], np.cumsum(counts)])
     at = np.searchsorted(begins, ends)
     totals = np.diff(np.concatenate([[0], sums[at]]))
