@@ -37,9 +37,9 @@ def check(rows, texts, length):
 
 def test_round_trip(spark, sf):
     texts = odd_texts() + ["x<|endoftext|>y it's á Σ"] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    for length in (2048, 64):
+    for length in (2048, 64, 16):
         rows = packing.pack(clashing(documents(spark, texts)), PATH, length).collect()
-        assert check(rows, texts, length) < (0.03 if length == 2048 else 0.3)
+        assert check(rows, texts, length) < (0.03 if length == 2048 else 0.3 if length == 64 else 1)
     assert packing.pack(documents(spark, []), PATH).count() == 0
 
 
@@ -56,3 +56,22 @@ def test_best_cuts_are_best():
 
         cuts = packing.best_cuts(at, penalty, 16)
         assert sum(16 - (at[b] - at[a]) + penalty[b] for a, b in zip(cuts, cuts[1:])) == least(12)
+
+
+def test_full_table_starts_afresh(monkeypatch, spark, sf):
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    encoder, library = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    texts = [t or "" for t in odd_texts()] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for start in range(0, len(texts), 20):
+        part = texts[start : start + 20]
+        ids, sizes = encoder.encode([t.encode() for t in part])
+        want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in part]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
+def test_repeated_and_null_keys(spark):
+    texts = ["a b c", "a b c", None, "d. e, F"]
+    docs = spark.createDataFrame(list(zip([None, None, 7, 7], texts, strict=True)), "doc_id long, text string").coalesce(1)
+    rows = packing.pack(docs, PATH).collect()
+    assert sorted(r.doc_tokens for r in rows if r.start == 0) == [1, 4, 4, 6]
+    assert sum(r.length for r in rows) == 15
