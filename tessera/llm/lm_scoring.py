@@ -24,11 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import arrow
+from tessera.llm import arrow, hashing
 from tessera.llm.scratch import Scratch
 
 ORDER = 5
@@ -39,41 +38,47 @@ END = 255
 GRAMS, WORDS, TOTALS = 0, 1, 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _END_WORD = 0x5EED
-_words: dict[bytes, int] = {}
-_REMEMBERED = 300_000
-
-
-def _word_keys(text: bytes) -> list[int]:
-    """Hashes of a lower-cased text's words, and the end token's."""
-    if len(_words) > _REMEMBERED:
-        _words.clear()
-    out = []
-    for w in text.split():
-        key = _words.get(w)
-        if key is None:
-            key = _words[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(key)
-    out.append(_END_WORD)
-    return out
-
-
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all (context, symbol) pairs, the nearest context byte first and the symbol last, and the pairs of each text."""
+#: Pairs that are worked on together.
+PART = 2 << 20
+
+
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text and its end token, and the tokens of each text."""
+    hashes, sizes = hashing.word_hashes(texts)
+    keys, words = np.full(len(hashes) + len(sizes), _END_WORD, np.uint64), np.ones(len(hashes) + len(sizes), bool)
+    words[np.cumsum(sizes + 1) - 1] = False
+    keys[words] = hashes
+    return keys, sizes + 1
+
+
+def grams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of all (context, symbol) pairs, the nearest context byte first and the symbol last, and the text of each.
+
+    Some at a time, so that a long text takes no more memory than many short ones.
+    """
     pad = bytes([END]) * ORDER
     raw = np.frombuffer(b"".join([pad + t + b"\xff" for t in texts]), np.uint8)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    kept = np.ones(len(raw), bool)
-    starts = np.concatenate([[0], np.cumsum(sizes + ORDER)])[:-1]
-    kept[(starts[:, None] + np.arange(ORDER)).ravel()] = False
-    at = np.flatnonzero(kept)
-    keys = raw[at].astype(np.uint64)
-    for i in range(1, ORDER + 1):
-        keys |= raw[at - i].astype(np.uint64) << np.uint64(8 * (ORDER + 1 - i))
-    return keys, sizes
+    starts = np.concatenate([[0], np.cumsum(sizes + ORDER)])
+    for low in range(0, len(raw), PART):
+        text = np.searchsorted(starts, np.arange(low, min(low + PART, len(raw))), "right") - 1
+        at = np.arange(low, low + len(text))
+        kept = at - starts[text] >= ORDER
+        at, text = at[kept], text[kept]
+        keys = raw[at].astype(np.uint64)
+        for i in range(1, ORDER + 1):
+            keys |= raw[at - i].astype(np.uint64) << np.uint64(8 * (ORDER + 1 - i))
+        yield keys, text
+
+
+def _counted(keys: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and how many of each train."""
+    found, trained = arrow.distinct(keys), np.sort(keys[trains])
+    return found, np.searchsorted(trained, found, "right") - np.searchsorted(trained, found)
 
 
 def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
     return keys[begins], np.add.reduceat(counts[order], begins) if len(keys) else counts
@@ -174,9 +179,9 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for batch in batches:
             for texts, trains in _texts_of(pa.Table.from_batches([batch])):
                 held += sum(map(len, texts))
-                keys, sizes = grams(texts)
-                keys = keys[np.repeat(trains, sizes)]
-                pairs += np.bincount((keys >> np.uint64(8 * ORDER) << np.uint64(8) | keys & np.uint64(255)).astype(np.int64), minlength=65536)
+                for keys, text in grams(texts):
+                    keys = keys[trains[text]]
+                    pairs += np.bincount((keys >> np.uint64(8 * ORDER) << np.uint64(8) | keys & np.uint64(255)).astype(np.int64), minlength=65536)
         used = np.flatnonzero(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(pairs[used], held))], ["pair", "n"])
 
@@ -191,19 +196,21 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     def ask(group: tuple, table: pa.Table) -> pa.Table:
         rows = []
         for what in (GRAMS, WORDS):
-            keys, counts = [], []
+            keys, counts, pending = [], [], 0
             for texts, trains in _texts_of(table):
                 if what == GRAMS:
-                    own, sizes = grams(texts)
+                    parts = ((own, trains[text]) for own, text in grams(texts))
                 else:
-                    lists = [_word_keys(t) for t in texts]
-                    own, sizes = np.array([k for x in lists for k in x], np.uint64), [len(x) for x in lists]
-                own, n = _merge(own, np.repeat(trains, sizes).astype(np.int64))
-                keys.append(own)
-                counts.append(n)
-                if len(keys) > 8:
+                    own, sizes = word_keys(texts)
+                    parts = ((own, np.repeat(trains, sizes)),)
+                for own, training in parts:
+                    own, n = _counted(own, training)
+                    keys.append(own)
+                    counts.append(n)
+                    pending += len(own)
+                if pending > 4 * PART:
                     own, n = _merge(np.concatenate(keys), np.concatenate(counts))
-                    keys, counts = [own], [n]
+                    keys, counts, pending = [own], [n], 0
             own, n = _merge(np.concatenate(keys), np.concatenate(counts))
             to = _buckets(what, own, n_buckets)
             order = np.argsort(to, kind="stable")
@@ -216,7 +223,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         what = group[0].as_py()
         asked = [_from_planes(x, np.uint64) for x in table.column("keys").to_pylist()]
         keys, counts = _merge(np.concatenate(asked), np.concatenate([_from_planes(x, np.int64) for x in table.column("counts").to_pylist()]))
-        values = trie.value.scores(keys, counts.astype(np.float64)).astype(np.float32) if what == GRAMS else counts
+        values = trie.value.scores(keys, counts.astype(np.float64)) if what == GRAMS else counts
         rows = [(what, b, k, _planes(values[np.searchsorted(keys, own)])) for b, k, own in zip(table.column("batch").to_pylist(), table.column("keys").to_pylist(), asked, strict=True)]
         if what == WORDS:
             rows.append((TOTALS, -1, None, np.array([counts.sum(), (counts > 0).sum()], np.int64).tobytes()))
@@ -235,21 +242,18 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def add_up(group: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         known = {}
-        for what, number in ((GRAMS, np.float32), (WORDS, np.int64)):
+        for what, number in ((GRAMS, np.float64), (WORDS, np.int64)):
             mine = told.filter(pc.equal(told.column("kind"), what))
-            keys = np.concatenate([_from_planes(x, np.uint64) for x in mine.column("keys").to_pylist()] or [np.empty(0, np.uint64)])
-            values = np.concatenate([_from_planes(x, number) for x in mine.column("values").to_pylist()] or [np.empty(0, number)])
-            order = np.argsort(keys)
-            known[what] = keys[order], values[order].astype(np.float64)
+            known[what] = hashing.Table(sum(len(x) // 8 for x in mine.column("keys").to_pylist()), number)
+            for keys, values in zip(mine.column("keys").to_pylist(), mine.column("values").to_pylist(), strict=True):
+                known[what].add(_from_planes(keys, np.uint64) + np.uint64(what == GRAMS), _from_planes(values, number))
         out = [[] for _ in range(4)]
         for texts, _ in _texts_of(table):
-            keys, values = known[GRAMS]
-            own, sizes = grams(texts)
-            score = np.add.reduceat(values[np.searchsorted(keys, own)], np.concatenate([[0], np.cumsum(sizes)])[:-1])
-            keys, values = known[WORDS]
-            lists = [_word_keys(t) for t in texts]
-            n = np.array([len(x) for x in lists], np.int64)
-            c = values[np.searchsorted(keys, np.array([k for x in lists for k in x], np.uint64))]
+            score = np.zeros(len(texts))
+            for keys, text in grams(texts):
+                score += np.bincount(text, known[GRAMS].find(keys + np.uint64(1))[0], len(texts))
+            keys, n = word_keys(texts)
+            c = known[WORDS].find(keys)[0]
             begins = np.concatenate([[0], np.cumsum(n)])[:-1]
             base = np.add.reduceat(np.log10(c + 1), begins) - n * np.log10(n_train + n_kinds + 1)
             for to, column in zip(out, (n, np.add.reduceat((c > 0).astype(np.int64), begins), base, score), strict=True):

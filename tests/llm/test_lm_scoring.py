@@ -37,7 +37,7 @@ def probability(counts, context, symbol):
 
 
 def brute(rows):
-    held_out = [zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows]
+    held_out = [zlib.crc32(b"" if k is None else str(k).encode()) % 7 == 2 for k, _ in rows]
     words, counts = Counter(), defaultdict(Counter)
     raw = [b"\xff" * 5 + lower(t).encode() + b"\xff" for _, t in rows]
     for (_, t), r, held in zip(rows, raw, held_out):
@@ -59,20 +59,31 @@ def check(spark, texts):
     assert len(rows) == len(texts)
     for got, want in zip(rows, brute(list(enumerate(texts))), strict=True):
         assert tuple(got)[1:5] == want[:4]
-        assert tuple(got)[5:] == pytest.approx(want[4:], rel=1e-5)
+        assert tuple(got)[5:] == pytest.approx(want[4:], rel=1e-9)
     return rows
 
 
 def test_matches_brute_force(spark, monkeypatch):
     rng = random.Random(6)
-    texts = odd_texts()[:9] + [prose(rng, rng.randrange(80), 60) for _ in range(40)]
+    texts = odd_texts() + [prose(rng, rng.randrange(80), 60) for _ in range(40)]
     rows = check(spark, texts)
     known = [r for r in rows if r.held_out and r.n_tokens > 20]
     assert known and all(r.score > 3 * r.base_score for r in known)
     monkeypatch.setattr(lm, "BATCH", 2000)  # many batches
+    monkeypatch.setattr(lm, "PART", 777)  # and many parts of long texts
     check(spark, texts)
 
 
+def test_repeated_and_null_keys(spark):
+    texts = ["alpha beta", "alpha beta", "alpha gamma", None, "beta"]
+    keys = [5, 5, 5, None, None]
+    docs = spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string")
+    rows = [tuple(r)[1:] for r in lm.score_documents(docs).collect()]
+    want = list(brute(list(zip(keys, texts, strict=True))))
+    assert sorted(r[:4] for r in rows) == sorted(w[:4] for w in want)
+    assert sorted(r[5] for r in rows) == pytest.approx(sorted(w[5] for w in want))
+
+
 def test_without_training_documents(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     docs = documents(spark, ["a b"] * (held + 1)).filter(f"doc_id = {held}")
