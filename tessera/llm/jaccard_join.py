@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import arrow
+from tessera.llm import arrow, hashing
 from tessera.llm.components import components
 from tessera.llm.scratch import Scratch
 
@@ -54,44 +54,35 @@ EXTRA = 0.08
 BLOCK = 2_000_000
 #: Document pivots whose distances are kept.
 PIVOTS = 8
-_FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Words whose hashes a worker remembers, text bytes that are looked at together, and text bytes for each bucket. A pair
-#: comes from each bucket in which it meets, so buckets are as large as memory allows.
-_REMEMBERED, SLICE, BUCKET = 150_000, 3 << 20, 16 << 20
-_words: dict[bytes, int] = {}
-
-
-def _values(words: list[bytes]) -> list[int]:
-    if len(_words) > _REMEMBERED:
-        _words.clear()
-    out = []
-    for w in words:
-        value = _words.get(w)
-        if value is None:
-            value = _words[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(value)
-    return out
+_FACTOR, _MIX, _ALL = np.uint64(hashing.BASE), hashing.MIX, (1 << 64) - 1
+#: Text bytes that are looked at together, and text bytes for each bucket. A pair comes from each bucket in which it
+#: meets, so buckets are as large as memory allows. Pairs that a bucket holds before it merges them.
+SLICE, BUCKET, PAIRS = 3 << 20, 16 << 20, 2 << 20
 
 
 def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> list[np.ndarray]:
     """Each text's set of shingle hashes, sorted."""
+    words, sizes = hashing.word_hashes(texts)
+    whole = max(0, len(words) - n + 1)
+    runs = words[:whole].copy()  # of n words, wherever they begin
+    for i in range(1, n):
+        runs *= _FACTOR
+        runs += words[i : i + whole]
     sets = []
-    for text in texts:
-        values = np.array(_values(text.lower().split()), np.uint64)
-        if not len(values):
-            sets.append(values)
-            continue
-        width = min(n, len(values))
-        size = len(values) - width + 1
-        hashes = values[:size].copy()
-        for i in range(1, width):
-            hashes *= _FACTOR
-            hashes += values[i : i + size]
-        hashes += np.uint64(width)
+    for start, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+        if size >= n:
+            hashes = runs[start : start + size - n + 1] + np.uint64(n)
+        elif size:
+            value = 0
+            for word in words[start : start + size].tolist():
+                value = value * int(_FACTOR) + word
+            hashes = np.array([(value + size) & _ALL], np.uint64)
+        else:
+            hashes = words[:0].copy()
         hashes ^= hashes >> np.uint64(29)
         hashes *= _MIX
         hashes ^= hashes >> np.uint64(32)
-        sets.append(np.unique(hashes))
+        sets.append(arrow.distinct(hashes))
     return sets
 
 
@@ -144,8 +135,8 @@ def _frequent(docs: DataFrame, text: str, keys: _Keys, dense: int) -> DataFrame:
     def merge(group: tuple, table: pa.Table) -> pa.Table:
         places = np.concatenate([_unpack(x) for x in table.column("places").to_pylist()])
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()])
-        order = np.argsort(places, kind="stable")
-        places, n = places[order], n[order].astype(np.int64)
+        both = np.sort(places.astype(np.uint64) << np.uint64(32) | n)
+        places, n = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
         begins = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
         totals = np.add.reduceat(n, begins)
         kept = totals > dense
@@ -181,30 +172,46 @@ class _Window:
     """The regions of sets, given the frequent shingles."""
 
     def __init__(self, keys: _Keys, frequent: np.ndarray, counts: np.ndarray):
-        self.keys, self.frequent, self.counts = keys, frequent, counts
+        self.keys, self.frequent = keys, hashing.Table(len(frequent))
+        self.frequent.add(frequent + np.uint64(1), counts.astype(np.int64))
 
     def entries(self, sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         """(key, set index, whether frequent) of each replica, and for each set its size and its frequent shingles in the window."""
         sizes = np.array([len(s) for s in sets], np.int64)
         own = self.keys.of(np.concatenate([np.empty(0, np.uint64), *sets]))
         owner = np.repeat(np.arange(len(sets)), sizes)
-        rank = np.zeros(len(own), np.int64)
-        if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, own), len(self.frequent) - 1)
-            rank = np.where(self.frequent[at] == own, self.counts[at], 0)
-        order = np.lexsort((own, rank, owner))
-        own, rank = own[order], rank[order]
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        place = np.arange(len(own)) - np.repeat(starts, sizes)
+        rank, dense = self.frequent.find(own + np.uint64(1))
+        n_all = np.bincount(owner[dense], minlength=len(sets))
+        n_rare = sizes - n_all
         least = sizes - least_common(sizes)  # in the order, a link's first common shingle is at this place at most
-        inside = place < np.repeat(least + _demand(sizes), sizes)
-        dense = rank > 0
-        n_dense = np.bincount(owner[dense & inside], minlength=len(sets))
-        heavy = np.bincount(owner[dense & (place <= np.repeat(least, sizes))], minlength=len(sets)) > 0
-        kept = inside & (~dense | heavy[owner])
+        window = least + _demand(sizes)
+        rare = np.flatnonzero(~dense)  # a set's rare shingles come first, by key, as they are
+        place = np.arange(len(rare)) - np.repeat(np.cumsum(n_rare) - n_rare, n_rare)
+        kept = rare[place < window[owner[rare]]]
+        late = np.flatnonzero(dense & (n_rare < window)[owner])  # then its frequent ones, rarest first
+        late = late[np.lexsort((own[late], rank[late], owner[late]))]
+        held = np.bincount(owner[late], minlength=len(sets))
+        place = n_rare[owner[late]] + np.arange(len(late)) - np.repeat(np.cumsum(held) - held, held)
+        late = late[place < window[owner[late]]]
+        n_dense = np.bincount(owner[late], minlength=len(sets))
+        kept = np.concatenate([kept, late[((n_rare <= least) & (n_all > 0))[owner[late]]]])
         return own[kept], owner[kept], dense[kept], sizes, n_dense
 
 
+def _counted(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, sorted, and the sums of their counts; parts without counts count one for each."""
+    ones = np.sort(np.concatenate([np.empty(0, np.uint64), *codes[len(counts) :]]))
+    begins = np.flatnonzero(np.append(True, ones[1:] != ones[:-1])) if len(ones) else np.empty(0, np.int64)
+    found, n = ones[begins], np.diff(np.append(begins, len(ones)))
+    if not counts:
+        return found, n
+    found, n = np.concatenate([*codes[: len(counts)], found]), np.concatenate([*counts, n])
+    order = np.argsort(found)
+    found, n = found[order], n[order]
+    begins = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.empty(0, np.int64)
+    return found[begins], np.add.reduceat(n, begins) if len(found) else n
+
+
 def _candidates(docs: DataFrame, text: str, keys: _Keys, window, dense: int) -> DataFrame:
     """(u, v): pairs of set ids that must be in one cluster."""
 
@@ -213,8 +220,13 @@ def _candidates(docs: DataFrame, text: str, keys: _Keys, window, dense: int) ->
             sets = {set_id(s): s for s in shingle_sets(arrow.octets(batch.column(text))) if len(s)}
             ids = np.array(list(sets), np.int64)
             own, owner, frequent, sizes, n_dense = window.value.entries(list(sets.values()))
-            order = np.argsort(own, kind="stable")
-            own, owner, frequent = own[order], owner[order], frequent[order]
+            room = np.uint64(len(ids).bit_length() + 1)
+            if 32 + keys.bits + int(room) <= 64:  # sorted as one number, which is several times faster
+                both = np.sort(own << room | (owner.astype(np.uint64) << np.uint64(1) | frequent))
+                own, owner, frequent = both >> room, ((both & ((np.uint64(1) << room) - np.uint64(1))) >> np.uint64(1)).astype(np.int64), (both & np.uint64(1)).astype(bool)
+            else:
+                order = np.argsort(own)
+                own, owner, frequent = own[order], owner[order], frequent[order]
             rows = []
             for bucket, s in keys.split(own):
                 used, index = np.unique(owner[s], return_inverse=True)
@@ -224,47 +236,49 @@ def _candidates(docs: DataFrame, text: str, keys: _Keys, window, dense: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["bucket", "places", "sets", "frequent", "about"])
 
     def meet(group: tuple, table: pa.Table) -> pa.Table:
-        places, ids, sizes, n_dense, frequent = [], [], [], [], []
-        for row in table.to_pylist():
-            own, n = _unpack(row["places"]), len(row["about"]) // 16
-            index = np.frombuffer(row["sets"], np.uint16 if n < 65536 else np.uint32)
-            places.append(own)
-            ids.append(np.frombuffer(row["about"], np.int64, n)[index])
-            sizes.append(np.frombuffer(row["about"], np.int32, n, 8 * n)[index])
-            n_dense.append(np.frombuffer(row["about"], np.int32, n, 12 * n)[index])
-            frequent.append(np.unpackbits(np.frombuffer(row["frequent"], np.uint8))[: len(own)].astype(bool))
-        places, ids, sizes, n_dense, frequent = map(np.concatenate, (places, ids, sizes, n_dense, frequent))
-        order = np.lexsort((ids, places))
-        places, ids, sizes, n_dense, frequent = (x[order] for x in (places, ids, sizes, n_dense, frequent))
-        new = np.append(True, (places[1:] != places[:-1]) | (ids[1:] != ids[:-1]))
-        places, ids, sizes, n_dense, frequent = (x[new] for x in (places, ids, sizes, n_dense, frequent))
+        about = [np.frombuffer(x, np.int64, len(x) // 16) for x in table.column("about").to_pylist()]
+        names, first, index = np.unique(np.concatenate(about), return_index=True, return_inverse=True)
+        sizes, n_dense = (np.concatenate([np.frombuffer(x, np.int32, len(x) // 16, at * (len(x) // 16)) for x in table.column("about").to_pylist()])[first].astype(np.int64) for at in (8, 12))
+        codes, marked, at = [], [], 0
+        for places, own, frequent, ids in zip(*(table.column(c).to_pylist() for c in ("places", "sets", "frequent")), about, strict=True):
+            places = _unpack(places)
+            own = np.frombuffer(own, np.uint16 if len(ids) < 65536 else np.uint32)
+            marked.append(places[np.unpackbits(np.frombuffer(frequent, np.uint8))[: len(places)].astype(bool)])
+            codes.append(places.astype(np.uint64) << np.uint64(32) | index[at : at + len(ids)].astype(np.uint64)[own])
+            at += len(ids)
+        codes = arrow.distinct(np.concatenate(codes))  # a set may come from several slices
+        places, ids = (codes >> np.uint64(32)).astype(np.uint32), (codes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         begins = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
         held = np.diff(np.append(begins, len(places)))
-        region = np.repeat(np.arange(len(begins)), held)
-        first = begins[region]
-        at = np.arange(len(places))
-        star = (frequent | (held[region] > dense)) & (at > first)
-        stars = np.unique(np.stack([ids[first[star]], ids[star]]), axis=1)
-        out = [(stars[0], stars[1], np.full(stars.shape[1], 1 << 20))]
-        few = ~frequent & (held[region] <= dense) & (held[region] > 1)
-        for step in range(1, dense):  # pairs inside regions of at most `dense` sets
-            a = at[few & (at + step < first + held[region])]
+        often = np.isin(places[begins], arrow.distinct(np.concatenate(marked))) | (held > dense)
+        region = np.repeat(np.arange(len(begins), dtype=np.int32), held)
+        first, ends = begins[region], (begins + held)[region]
+        # Regions of frequent shingles: each set meets the first.
+        star = np.flatnonzero(often[region])
+        star = star[star > first[star]]
+        stars = arrow.distinct(ids[first[star]].astype(np.uint64) << np.uint64(32) | ids[star])
+        # All pairs inside the other regions, of at most `dense` sets; as codes of their two names.
+        a = np.flatnonzero(~often[region])
+        found, counts, waiting = [], [], 0
+        for step in range(1, dense):
+            a = a[a + step < ends[a]]
             if not len(a):
                 break
-            b = a + step
-            small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-            near = LIKE[1] * small.astype(np.int64) >= LIKE[0] * large.astype(np.int64)
-            a, b, small = a[near], b[near], small[near]
-            wanted = np.maximum(_demand(small) - np.minimum(n_dense[a], n_dense[b]), 1)
-            out.append((ids[a], ids[b], wanted))
-        u, v, wanted = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.lexsort((v, u))
-        u, v, wanted = u[order], v[order], wanted[order]
-        begins = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))) if len(u) else np.empty(0, np.int64)
-        n = np.diff(np.append(begins, len(u)))
-        u, v, wanted = u[begins], v[begins], np.maximum.reduceat(wanted, begins) if len(u) else wanted
-        starred = wanted == 1 << 20
-        return pa.table({"u": u, "v": v, "n": np.where(starred, 1 << 20, n), "wanted": np.where(starred, 1, wanted)})
+            for part in np.array_split(a, -(-len(a) // PAIRS)):
+                u, v = ids[part], ids[part + step]
+                small, large = np.minimum(sizes[u], sizes[v]), np.maximum(sizes[u], sizes[v])
+                near = LIKE[1] * small >= LIKE[0] * large
+                found.append(u[near].astype(np.uint64) << np.uint64(32) | v[near])
+                waiting += len(found[-1])
+                if waiting > PAIRS:
+                    merged, n = _counted(found, counts)
+                    found, counts, waiting = [merged], [n], 0
+        found, counts = _counted(found, counts)
+        pairs = np.concatenate([stars, found])
+        u, v = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        wanted = np.maximum(_demand(np.minimum(sizes[u], sizes[v])) - np.minimum(n_dense[u], n_dense[v]), 1)
+        wanted[: len(stars)] = 1
+        return pa.table({"u": names[u], "v": names[v], "n": np.concatenate([np.full(len(stars), 1 << 20), counts]).astype(np.int64), "wanted": wanted})
 
     packed = docs.select(text).mapInArrow(replicate, "bucket long, places binary, sets binary, frequent binary, about binary")
     met = packed.groupBy("bucket").applyInArrow(meet, "u long, v long, n long, wanted long")
