@@ -156,7 +156,7 @@ def _repeated_prefixes(docs: DataFrame, keys: _Keys, length: int) -> DataFrame:
         begins = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
         often = np.add.reduceat(twice.astype(np.int64) + 1, begins) > 1
         full = (np.uint64(group[0].as_py()) << np.uint64(32)) | places[begins][often].astype(np.uint64)
-        bits = np.unique(np.concatenate(_bits(full))).astype(np.uint32)
+        bits = arrow.distinct(np.concatenate(_bits(full))).astype(np.uint32)
         parts, starts = np.unique(bits // np.uint32(PART), return_index=True)
         offsets = [_pack(inside % np.uint32(PART)) for inside in np.split(bits, starts[1:])] if len(bits) else []
         return pa.table({"part": pa.array(parts.astype(np.int64)), "offsets": pa.array(offsets, pa.binary())})
@@ -417,7 +417,7 @@ def _apply(docs: DataFrame, own: Column, text: str, length: int, schema: str, ma
                 if strings:
                     mine = slice(begins[i], begins[i + 1])
                     found.append(starts[mine][np.isin(own[mine], np.concatenate([np.frombuffer(x, np.uint64) for x in strings]))])
-            gone = _removed(texts, np.unique(np.concatenate(found)), length)
+            gone = _removed(texts, arrow.distinct(np.concatenate(found)), length)
             rows = []
             for i, (content, copies) in enumerate(zip(contents, batch.column("copies").to_pylist(), strict=True)):
                 removed = gone[texts.starts[i] : texts.starts[i + 1]]
