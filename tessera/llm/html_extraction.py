@@ -10,7 +10,7 @@ structure is drawn at random (with and without semantic elements, telling classe
 is known. Weights go to the executors as a broadcast of fixed size (under 200 kB).
 
 Defined cases: a null or empty html gives ""; a page without article blocks gives ""; markup that breaks off is read up to
-there; long pages are read whole; repeated rows each give a row; an empty table gives no rows; further columns are ignored.
+there; an element of no text that is never closed ends with the element around it; long pages are read whole, in linear time; repeated rows each give a row; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,74 +37,144 @@ BLOCK = set(
     "header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-SKIPPED = "script|style|template|noscript|svg|math|iframe|object|canvas|audio|video|textarea|head|title"
+#: Elements whose content is no text of the page: markup that is read to its end tag, or to that of an element around it.
+SKIPPED = set("template noscript svg iframe object canvas audio video head".split())
+#: The same, where only the end tag ends it.
+RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in ("script", "style", "textarea", "title")}
 #: Elements that a new one of the same kind (or of the given ones) closes.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({SKIPPED})\b[^>]*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z",
-    re.S | re.I,
-)
+MARKUP = re.compile(r"<[a-zA-Z!?/]")
+#: A whole tag. A quote opens a value only behind an equals sign; nothing is tried twice, so time is linear.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+)>")
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 NAME_PARTS = re.compile(r"[a-z]+")
 
 
+class Element:
+    """An open element; bits: the slots of its path's parts."""
+
+    __slots__ = ("name", "own", "around", "bits")
+
+    def __init__(self, name: str, own: tuple[str, ...], around: Element | None):
+        self.name, self.own, self.around = name, own, around
+        self.bits = around.bits if around else 0
+        for part in own:
+            self.bits |= 1 << _slot(part) % PATH_SIZE
+
+
 class Block:
-    __slots__ = ("path", "text", "linked", "tag")
+    __slots__ = ("element", "text", "linked")
 
-    def __init__(self, path: tuple[str, ...], tag: str, text: str, linked: int):
-        self.path, self.tag, self.text, self.linked = path, tag, text, linked
+    def __init__(self, element: Element | None, text: str, linked: int):
+        self.element, self.text, self.linked = element, text, linked
+
+    @property
+    def tag(self) -> str:
+        return self.element.name if self.element else ""
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        parts, at = [], self.element
+        while at:
+            parts.append(at.own)
+            at = at.around
+        return tuple(x for own in reversed(parts) for x in own)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with character references decoded and white space made single spaces."""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Element] = []
     parts: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, links, at, skipped = 0, 0, 0, None  # skipped: the place on the stack of the outermost skipped element
+    held: dict[str, int] = {}  # open elements by name
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                blocks.append(Block(tuple(x for _, own in stack for x in own), stack[-1][0] if stack else "", text, min(linked, len(text))))
+                blocks.append(Block(stack[-1] if stack else None, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
     def add(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and skipped is None:
             parts.append(text)
             if links:
                 linked += len(text)
 
-    for token in TOKEN.finditer(page):
+    def close(size: int) -> None:
+        nonlocal skipped
+        while len(stack) > size:
+            held[stack.pop().name] -= 1
+        if skipped is not None and skipped >= size:
+            skipped = None
+
+    def begin(name: str, attributes: str) -> None:
+        own = [name]
+        for found in NAMED.finditer(attributes):
+            own += NAME_PARTS.findall((found[1] or found[2] or found[3] or "").lower())
+        stack.append(Element(name, tuple(own), stack[-1] if stack else None))
+        held[name] = held.get(name, 0) + 1
+
+    while token := MARKUP.search(page, at):
         add(page[at : token.start()])
-        at = token.end()
-        name = token[3]
-        if not name:
+        at = token.start()
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = len(page) if end < 0 else end + 3
+            continue
+        if not page[at + 1 : at + 3].lstrip("/")[:1].isalpha():  # a declaration, or an end tag without a name
+            end = page.find(">", at + 2)
+            at = len(page) if end < 0 else end + 1
+            continue
+        tag = TAG.match(page, at)
+        if not tag:  # the page breaks off inside a tag
+            at = len(page)
+            break
+        at, name = tag.end(), tag[2].lower()
+        if tag[1]:
+            if name == "a":
+                links = max(0, links - 1)
+            elif name in BLOCK or name in SKIPPED:
+                inside = skipped is not None
+                if held.get(name):
+                    to = len(stack) - 1
+                    while stack[to].name != name:
+                        to -= 1
+                    inside = inside and to >= skipped
+                    if not inside and name in BLOCK:
+                        flush()
+                    close(to)
+                elif not inside and name in BLOCK:
+                    flush()
+                if not inside and name in BLOCK:
+                    links = 0
             continue
-        name = name.lower()
-        if name == "a":
-            links = max(0, links + (-1 if token[2] else 1)) if token[2] or not links else links
+        if name in RAW:
+            end = RAW[name].search(page, at)
+            at = end.start() if end else len(page)
+        elif name == "a":
+            links = links or 1
         elif name == "br":
             add(" ")
+        elif name in SKIPPED:
+            if not (name == "svg" and tag[3].endswith("/")):
+                if skipped is None:
+                    skipped = len(stack)
+                begin(name, "")
         elif name in BLOCK:
-            flush()
-            links = 0
-            if token[2]:
-                if any(x == name for x, _ in stack):
-                    while stack.pop()[0] != name:
-                        pass
-                continue
-            while stack and (stack[-1][0] == "p" or name in CLOSED_BY.get(stack[-1][0], ())):
-                stack.pop()
+            if skipped is not None and stack[skipped].name in ("head", "svg") and (name == "body" or len(stack) == skipped + 1):
+                close(skipped)  # nothing that stands in a head or a picture
+            if skipped is None:
+                flush()
+                links = 0
+            while stack and (stack[-1].name == "p" or name in CLOSED_BY.get(stack[-1].name, ())):
+                close(len(stack) - 1)
             if name not in VOID:
-                own = [name]
-                for found in NAMED.finditer(token[4] or ""):
-                    own += NAME_PARTS.findall((found[1] or found[2] or found[3] or "").lower())
-                stack.append((name, tuple(own)))
+                begin(name, tag[3])
     add(page[at:])
     flush()
     return blocks
@@ -127,8 +197,8 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     n = len(blocks)
     for i, block in enumerate(blocks):
         row = out[i]
-        for part in block.path:
-            row[_slot(part) % PATH_SIZE] = 1
+        bits = block.element.bits if block.element else 0
+        row[:PATH_SIZE] = np.unpackbits(np.frombuffer(bits.to_bytes(PATH_SIZE // 8, "little"), np.uint8), bitorder="little")
         row[(_slot("own " + block.tag)) % PATH_SIZE] = 1
         words = block.text.lower().split(" ")
         slots = np.fromiter(map(_slot, words), np.int64, len(words)) % WORD_SIZE

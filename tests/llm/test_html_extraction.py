@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -21,6 +22,27 @@ def test_blocks():
     assert h.blocks_of("<ul><li><a href=x>link</a><li>x</ul>")[0].linked == 4
 
 
+def words(page):
+    return [b.text for b in h.blocks_of(page)]
+
+
+def test_odd_markup_loses_nothing():
+    assert words('<body><article><svg class="i"/><p>first para</p><p>second</p></article></body>') == ["first para", "second"]
+    assert words("<p data-x=don't>alpha</p><p>beta</p><p>it's gamma</p>") == ["alpha", "beta", "it's gamma"]
+    assert words("<p title='a > b' x=\"c > d\">one</p>a < b, c<3 d") == ["one", "a < b, c<3 d"]
+    assert words("<nav><svg><path d=1></nav><p>a <svg><text>no</text></svg>b<p>c<math><mi>x</mi></math>") == ["a b", "cx"]
+    assert words("<head><meta x><noscript><p>no<body><p>yes") == ["yes"] and words("<head><style>no</style><p>yes") == ["yes"]
+    assert words("<noscript><div><p>no</div>no</noscript>yes<template><div>no</div></template>") == ["yes"]
+    assert words("<div><object>no<p>no</div>yes<script>no</p>") == ["yes"] and words("a</>b<!x>c<?y>d<!-- > --") == ["abcd"]
+
+
+def test_long_pages_take_linear_time():
+    began = time.time()
+    for part in ('<a title="', '<a title="x" ', "<div>x", "<p>x</p>", "<svg>", "</b>x", "<!-- x", "&amp", "< ", "<i", "<ul><li>x"):
+        h.blocks_of(part * (1_000_000 // len(part)))
+    assert time.time() - began < 60
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     weights = {k: v.astype(np.float64) for k, v in h._start(rng).items()}
@@ -62,3 +84,8 @@ def test_rows(spark, sf):
     odd = spark.createDataFrame([(1, None, None), (1, "u", ""), (2, "u", "<nav><a href=x>y</a></nav>"), (3, None, "<p" * 1000)], "page_id long, url string, html string")
     assert [(r.text, r.n_chars) for r in h.extract(odd).collect()] == [("", 0)] * 4
     assert h.extract(odd.limit(0)).count() == 0
+    page = "<html><body><nav><ul>" + "<li><a href=/x>menu</a>" * 5 + "</ul></nav><article>" + "<p>This is a sentence of the article, and here is another one of it.</p>" * 3000 + "</article></body></html>"
+    names = {"rows": "x", "text": "y", "n_chars": "z", "block": "w", "path": "v"}
+    shared = spark.createDataFrame([(None, None, page), (None, "u", page)], "page_id long, url string, html string").selectExpr("*", *(f"'{v}' AS {k}" for k, v in names.items()))
+    found = h.extract(shared).collect()
+    assert len(found) == 2 and {r.text.count("another one") for r in found} == {3000} and all("menu" not in r.text for r in found)
