@@ -409,7 +409,7 @@ def _classes(docs: DataFrame, scratch: Scratch, dense: int, most_dense: int, blo
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc"]
     held = docs.agg(F.coalesce(F.sum(F.octet_length("content").cast("long")), F.lit(0))).first()[0]
-    keys = _Keys(int(np.clip(np.log2(max(held, 1) / BUCKET), 3, 20)))
+    keys = _Keys(int(np.clip(np.log2(max(held, 1) / BUCKET), 3, 26)))
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches, "content", SLICE):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where the session has none, a temporary folder (a single machine, as in tests)."""
+    """spark.checkpoint.dir; only where a session on a single machine has none, as in tests, a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tessera-"))
 
 

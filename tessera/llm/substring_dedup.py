@@ -374,7 +374,7 @@ def _apply(docs: DataFrame, own: Column, text: str, length: int, schema: str, ma
     docs = docs.select(own.alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("content"))
     kind = dict(docs.dtypes)["doc"]
     held = docs.agg(F.coalesce(F.sum(F.length("content").cast("long")), F.lit(0))).first()[0]
-    keys = _Keys(int(np.clip(np.log2(max(held, 1) / (24 << 20)), 3, 20)))
+    keys = _Keys(int(np.clip(np.log2(max(held, 1) / (24 << 20)), 3, 26)))
     marks = spark.sparkContext.broadcast(_filter(_repeated_prefixes(docs, keys, length)))
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -396,12 +396,12 @@ def _apply(docs: DataFrame, own: Column, text: str, length: int, schema: str, ma
         return run
 
     passed = docs.mapInArrow(route(True), f"doc {kind}, {schema}")
-    met = docs.mapInArrow(route(False), f"doc {kind}, content binary").withColumn("content_id", F.xxhash64("content"))
+    met = docs.mapInArrow(route(False), f"doc {kind}, content binary").withColumn("content_id", F.xxhash64("content")).withColumn("digest", F.md5("content"))
     met = scratch.save(met, "met")
-    # Equal texts (equal bytes, by a 64-bit name) share what is found of them.
-    counted = met.groupBy("content_id").agg(F.count("*").alias("copies"))
+    # Equal texts share what is found of them; only equal 192 bits of two hashes make texts copies, which lose all they hold.
+    counted = met.groupBy("content_id", "digest").agg(F.count("*").alias("copies"))
     settled = _settle(met, keys, marks, length).groupBy("content_id").agg(F.collect_list("places").alias("places"), F.collect_list("states").alias("states"))
-    known = scratch.save(met.join(counted, "content_id").join(settled, "content_id", "left"), "known")
+    known = scratch.save(met.join(counted, ["content_id", "digest"]).drop("digest").join(settled, "content_id", "left"), "known")
     scratch.drop("met")
     # Each text gets a row from each bucket that holds strings of it, so this step has half as many, larger buckets.
     strings = _unsettled(known, _Keys(max(keys.bits - 1, 3)), length).groupBy("content_id").agg(F.collect_list("strings").alias("strings"))
