@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -187,3 +187,48 @@ def safe_name(name: Column) -> Column:
 def hash_order(*columns: Column) -> Column:
     """A 60-bit number from the MD5 of the columns' text, for draws that any engine can repeat."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 15), 16, 10).cast("long")
+
+
+def strict_boxes(text: Column, width, height, classes: Sequence[int] = (0, 1)) -> Column:
+    """Whole-pixel boxes (class_id, x1, y1, x2, y2) of label lines; other classes are left out.
+
+    A line without five fields, or with a field that is no number, raises. Corners are rounded half to even and held in
+    the image, and x2 and y2 exceed x1 and y1 by one at least.
+    """
+    width, height = _lit(width).cast("double"), _lit(height).cast("double")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+    wrong = lambda s: F.raise_error(F.concat(F.lit("invalid label line: "), s)).cast("double")
+    number = lambda s, i: F.coalesce(F.get(F.split(s, " "), F.lit(i)).try_cast("double"), wrong(s))
+    whole = lambda s: F.coalesce(F.get(F.split(s, " "), F.lit(0)).try_cast("int"), wrong(s).cast("int"))
+    classed = F.transform(lines, lambda s: F.struct(s.alias("line"), F.when(F.size(F.split(s, " ")) == 5, whole(s)).otherwise(wrong(s).cast("int")).alias("c")))
+    chosen = F.filter(classed, lambda b: b.c.isin(*classes))  # fields of other classes are not read
+    parsed = F.transform(chosen, lambda b: F.struct(b.c.alias("c"), *[number(b.line, i + 1).alias(n) for i, n in enumerate("xywh")]))
+    low = lambda at, size, most: F.least(F.greatest(F.bround((at - size / 2) * most), F.lit(0.0)), most - 1).cast("int")
+    high = lambda at, size, most: F.least(F.bround((at + size / 2) * most), most).cast("int")
+
+    def corners(b: Column) -> Column:
+        x1, y1 = low(b.x, b.w, width), low(b.y, b.h, height)
+        return F.struct(b.c.alias("class_id"), x1.alias("x1"), y1.alias("y1"), F.greatest(high(b.x, b.w, width), x1 + 1).alias("x2"), F.greatest(high(b.y, b.h, height), y1 + 1).alias("y2"))
+
+    return F.transform(parsed, corners)
+
+
+def usable(annotation: Column) -> Column:
+    """Whether a parsed file (boxes, warnings, valid) is kept: valid, or with a good box at least."""
+    return annotation.valid | (F.size(annotation.boxes) > 0)
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """The path below the root, or the path itself if it lies elsewhere."""
+    top = root.rstrip("/") + "/"
+    return F.when(path.startswith(top), F.substring(path, F.lit(len(top) + 1), F.length(path))).otherwise(path)
+
+
+def patch_name(index: Column, source: Column, suffix: str = "jpg") -> Column:
+    """A patch's file name: its number in five digits and twelve digits of its source's SHA-1."""
+    return F.concat(F.format_string("%05d_", index), F.substring(F.sha1(source), 1, 12), F.lit(f".{suffix}"))
+
+
+def name_seed(name: Column, seed: int) -> Column:
+    """The first 64 bits of the name's SHA-256 xor the seed, as a signed number."""
+    return F.conv(F.substring(F.sha2(name, 256), 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(seed).cast("long"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import temporal
+
 
 def quantiles(df: DataFrame, wanted: Mapping[str, tuple[Column, float]]) -> DataFrame:
     """One row: exact, linearly interpolated quantiles by name."""
@@ -63,17 +65,109 @@ def standardised(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return joined.select(*[c for c in df.columns if c not in columns], *scaled)
 
 
-def flow_statistics(df: DataFrame, u: str, v: str, keys: Sequence[str], moving_from: float = 1.0) -> DataFrame:
-    """Mean and variance of the magnitude, moving share, circular mean angle in degrees and upward share (v < 0)."""
+def flow_statistics(df: DataFrame, u: str, v: str, keys: Sequence[str], moving_from: float = 1.0, mask: Column | None = None) -> DataFrame:
+    """Mean and variance of the magnitude and the moving share of the pixels in the mask; of those that move, the circular
+    mean angle in degrees and the upward share (v < 0). Zeros where there are none."""
     magnitude = F.sqrt(F.col(u) * F.col(u) + F.col(v) * F.col(v))
+    inside = F.lit(True) if mask is None else F.coalesce(mask, F.lit(False))
+    moving = inside & (magnitude >= moving_from)
     angle = F.atan2(F.col(v), F.col(u))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     return df.groupBy(*keys).agg(
-        F.avg(magnitude).alias("mean_magnitude"),
-        F.var_pop(magnitude).alias("magnitude_variance"),
-        F.avg((magnitude >= moving_from).cast("int")).alias("moving_ratio"),
-        F.pmod(F.degrees(F.atan2(F.avg(F.sin(angle)), F.avg(F.cos(angle)))), F.lit(360.0)).alias("mean_direction"),
-        F.avg((F.col(v) < 0).cast("int")).alias("upward_ratio"),
+        zero(F.avg(F.when(inside, magnitude))).alias("mean_magnitude"),
+        zero(F.var_pop(F.when(inside, magnitude))).alias("magnitude_variance"),
+        zero(F.avg(F.when(inside, moving.cast("int")))).alias("moving_ratio"),
+        zero(F.pmod(F.degrees(F.atan2(F.avg(F.when(moving, F.sin(angle))), F.avg(F.when(moving, F.cos(angle))))), F.lit(360.0))).alias("mean_direction"),
+        zero(F.avg(F.when(moving, (F.col(v) < 0).cast("int")))).alias("upward_ratio"),
+    )
+
+
+def region_motion(pixels: DataFrame, boxes: DataFrame, keys: Sequence[str], box: str, u: str = "u", v: str = "v", foreground: str = "foreground", moving_from: float = 1.0, most: float = 5.0) -> DataFrame:
+    """Motion evidence of each box: (keys, box, mean_magnitude, moving_ratio, upward_ratio, foreground_ratio, dx, dy, score).
+
+    pixels: keys, x, y, flow and a boolean foreground; boxes: keys, box and whole-pixel corners x1, y1, x2, y2, the latter
+    two outside. An equi-join on the keys (a frame), filtered by place; boxes without pixels have zeros.
+    """
+    found = boxes.join(pixels, list(keys), "left").withColumn("_in", (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2")))
+    inside = F.coalesce(F.col("_in"), F.lit(False))
+    magnitude = F.sqrt(F.col(u) * F.col(u) + F.col(v) * F.col(v))
+    moving = inside & (magnitude >= moving_from)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = found.groupBy(*keys, box).agg(
+        zero(F.avg(F.when(inside, magnitude))).alias("mean_magnitude"),
+        zero(F.avg(F.when(inside, moving.cast("int")))).alias("moving_ratio"),
+        zero(F.avg(F.when(moving, (F.col(v) < 0).cast("int")))).alias("upward_ratio"),
+        zero(F.avg(F.when(inside, F.col(foreground).cast("int")))).alias("foreground_ratio"),
+        zero(F.avg(F.when(moving, F.col(u)))).alias("dx"),
+        zero(F.avg(F.when(moving, F.col(v)))).alias("dy"),
     )
+    score = temporal.motion_score(F.col("mean_magnitude"), F.col("moving_ratio"), F.col("upward_ratio"), F.col("foreground_ratio"), max(most, 1e-6))
+    return out.withColumn("score", temporal.clip(score))
+
+
+# The fitted thresholds of each rule set, as (expression, quantile, least, most).
+FIRE_FIT = {
+    "red_minus_green_min": ("r - g", 0.25, 0.0, None),
+    "green_minus_blue_min": ("g - b", 0.20, -5.0, None),
+    "saturation_min": ("saturation", 0.20, 35.0, None),
+    "value_min": ("value", 0.15, 70.0, None),
+    "cr_min": ("cr", 0.20, 135.0, None),
+    "cb_max": ("cb", 0.80, None, 145.0),
+    "hue_max": ("hue", 0.75, 15.0, 60.0),
+}
+SMOKE_FIT = {
+    "saturation_max": ("saturation", 0.80, 35.0, 125.0),
+    "value_min": ("value", 0.08, 35.0, None),
+    "value_max": ("value", 0.98, None, 255.0),
+    "cr_deviation_max": ("abs(cr - 128)", 0.85, 12.0, 55.0),
+    "cb_deviation_max": ("abs(cb - 128)", 0.85, 12.0, 55.0),
+    "red_green_difference_max": ("abs(r - g)", 0.85, 12.0, 65.0),
+    "green_blue_difference_max": ("abs(g - b)", 0.85, 12.0, 65.0),
+}
+#: Hues from here on are red again.
+HUE_WRAP = 170.0
+
+
+def fit_rules(pixels: DataFrame, kind: str, fire, smoke) -> DataFrame:
+    """One row with all fitted thresholds, as fire_* and smoke_*. pixels: r, g, b and the channels; kind tells the classes."""
+    out = []
+    for prefix, label, fit in (("fire_", fire, FIRE_FIT), ("smoke_", smoke, SMOKE_FIT)):
+        for name, (expr, q, low, high) in fit.items():
+            value = F.percentile(F.when(F.col(kind) == label, F.expr(expr).cast("double")), q)
+            value = value if low is None else F.greatest(value, F.lit(low))
+            out.append((value if high is None else F.least(value, F.lit(high))).alias(prefix + name))
+    return pixels.agg(*out)
+
+
+def colour_masks(fire_votes: int = 4, smoke_votes: int = 5) -> tuple[Column, Column]:
+    """(fire, smoke) for pixels beside a row of fit_rules; red hues wrap, and smoke is cleared under fire."""
+    c, t = F.col, F.col
+    fire = votes([
+        c("r") - c("g") >= t("fire_red_minus_green_min"), c("g") - c("b") >= t("fire_green_minus_blue_min"), c("saturation") >= t("fire_saturation_min"), c("value") >= t("fire_value_min"),
+        c("cr") >= t("fire_cr_min"), c("cb") <= t("fire_cb_max"), (c("hue") <= t("fire_hue_max")) | (c("hue") >= HUE_WRAP),
+    ]) >= fire_votes
+    smoke = votes([
+        c("saturation") <= t("smoke_saturation_max"), c("value") >= t("smoke_value_min"), c("value") <= t("smoke_value_max"), F.abs(c("cr") - 128) <= t("smoke_cr_deviation_max"),
+        F.abs(c("cb") - 128) <= t("smoke_cb_deviation_max"), F.abs(c("r") - c("g")) <= t("smoke_red_green_difference_max"), F.abs(c("g") - c("b")) <= t("smoke_green_blue_difference_max"),
+    ]) >= smoke_votes
+    return fire, smoke & ~fire
+
+
+def frame_evidence(pixels: DataFrame, keys: Sequence[str], u: str = "u", v: str = "v", foreground: str = "foreground", moving_from: float = 1.0) -> DataFrame:
+    """Evidence of each frame from its pixels' masks (booleans fire and smoke) and flow: area shares, the foreground's share of
+    the candidates, and the flow statistics of the candidates."""
+    candidate = F.col("fire") | F.col("smoke")
+    areas = pixels.groupBy(*keys).agg(F.avg(F.col("fire").cast("int")).alias("fire_area_ratio"), F.avg(F.col("smoke").cast("int")).alias("smoke_area_ratio"))
+    flow = flow_statistics(pixels, u, v, keys, moving_from, candidate)
+    flow = flow.select(*keys, F.col("mean_magnitude").alias("mean_flow"), "moving_ratio", "upward_ratio")
+    overlap = mask_overlap(pixels, F.col(foreground), candidate, keys).withColumnRenamed("overlap", "foreground_ratio")
+    return areas.join(overlap, list(keys)).join(flow, list(keys))
+
+
+def frame_difference(frames: DataFrame, keys: Sequence[str], frame: str, value: str, pixel: Sequence[str], name: str = "difference") -> DataFrame:
+    """A pixel's value minus that in the stream's frame before; null in the first."""
+    window = Window.partitionBy(*keys, *pixel).orderBy(frame)
+    return frames.withColumn(name, F.col(value) - F.lag(value).over(window))
 
 
 def mask_overlap(df: DataFrame, foreground: Column, candidate: Column, keys: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ _OWN: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where none is named, a temporary one (a single machine, as in tests)."""
+    """The session's checkpoint folder; only where a session on a single machine has none, as in tests, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named.rstrip("/") if named else _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tessera-"))
 
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.lineage import cut
+from tessera.operators.ranking import running_sums
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -52,22 +55,51 @@ def f1_from(precision: Column, recall: Column) -> Column:
 def roc_auc(df: DataFrame, truth: str, score: str, keys: Sequence[str]) -> DataFrame:
     """(keys, auc) from average ranks (Mann-Whitney); null unless both truths occur. truth: boolean.
 
-    Counts are merged by score first, so the window runs over different scores only.
+    Counts are merged by score first; ranks are running sums over range partitions.
     """
     ties = df.groupBy(*keys, score).agg(F.count("*").alias("n"), F.sum(F.col(truth).cast("long")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = running_sums(ties, keys, F.col(score), {"_before": "n"}).withColumn("rank", F.col("_before") + (F.col("n") + 1) / 2)
     sums = ranked.groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return sums.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("ranks") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 
 
+def macro_auc(areas: DataFrame, labels: Sequence) -> DataFrame:
+    """One row: the mean of the classes' areas; null unless each of the labels has one."""
+    whole = F.count(F.when(F.col("label").isin(*labels), F.col("auc"))) == len(labels)
+    return areas.agg(F.when(whole, F.avg(F.when(F.col("label").isin(*labels), F.col("auc")))).alias("macro_auc"))
+
+
 def roc_points(df: DataFrame, truth: str, score: str, keys: Sequence[str]) -> DataFrame:
     """(keys, threshold, fpr, tpr) at each different score, falling."""
-    ties = df.groupBy(*keys, F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(F.col(truth).cast("long")).alias("pos"))
-    down = Window.partitionBy(*keys).orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    p, n = F.col("pos"), F.col("n") - F.col("pos")
-    return ties.select(*keys, "threshold", ratio(F.sum(n).over(down), F.sum(n).over(every)).alias("fpr"), ratio(F.sum(p).over(down), F.sum(p).over(every)).alias("tpr"))
+    ties = df.groupBy(*keys, F.col(score).alias("threshold")).agg(F.sum(F.col(truth).cast("long")).alias("_p"), F.sum((~F.col(truth)).cast("long")).alias("_q"))
+    summed = running_sums(ties, keys, F.col("threshold").desc(), {"_ps": "_p", "_qs": "_q"})
+    whole = F.broadcast(summed.groupBy(*keys).agg(F.sum("_p").alias("_all_p"), F.sum("_q").alias("_all_q")))
+    rates = (ratio(F.col("_qs") + F.col("_q"), F.col("_all_q")).alias("fpr"), ratio(F.col("_ps") + F.col("_p"), F.col("_all_p")).alias("tpr"))
+    return summed.join(whole, list(keys)).select(*keys, "threshold", *rates)
+
+
+def macro_roc(points: DataFrame, labels: Sequence, key: str = "label") -> DataFrame:
+    """(fpr, tpr): the mean of the classes' curves, interpolated at the sorted union of their false-positive rates.
+
+    points: of roc_points; each curve also starts at (0, 0). At a rate that a curve reaches more than once its highest point
+    counts. Segments and rates meet in an equi-join on steps of the rate, so no curve is one task's.
+    """
+    steps = 1024
+    each = points.select(key, "fpr", "tpr").union(points.sparkSession.createDataFrame([(x,) for x in labels], f"{key} {dict(points.dtypes)[key]}").select(key, F.lit(0.0), F.lit(0.0)))
+    highest = cut(each.groupBy(key, "fpr").agg(F.max("tpr").alias("tpr"), F.min("tpr").alias("low")))
+    step = F.least(F.floor(F.col("fpr") * steps), F.lit(steps - 1)).cast("int")
+    here = Window.partitionBy(key, "_step").orderBy("fpr")
+    placed = highest.withColumn("_step", step)
+    ends = placed.groupBy(key, "_step").agg(F.min(F.struct("fpr", "tpr", "low")).alias("_first"))  # at most `steps` rows a class
+    following = F.lead("_first").over(Window.partitionBy(key).orderBy("_step"))
+    ends = F.broadcast(ends.select(key, "_step", following.alias("_next_first")))
+    segments = placed.withColumn("_next", F.lead(F.struct("fpr", "tpr", "low")).over(here)).join(ends, [key, "_step"]).withColumn("_next", F.coalesce("_next", "_next_first"))
+    last = F.when(F.col("_next").isNull(), F.col("_step")).otherwise(F.least(F.floor(F.col("_next.fpr") * steps), F.lit(steps - 1)).cast("int"))
+    spread = segments.select(key, F.col("fpr").alias("_x0"), F.col("tpr").alias("_y0"), F.col("_next.fpr").alias("_x1"), F.col("_next.low").alias("_y1"), F.explode(F.sequence("_step", last)).alias("_step"))
+    rates = highest.select("fpr").distinct().withColumn("_step", step)
+    inside = (F.col("fpr") >= F.col("_x0")) & (F.col("_x1").isNull() | (F.col("fpr") < F.col("_x1")))
+    height = F.when((F.col("fpr") == F.col("_x0")) | F.col("_x1").isNull(), F.col("_y0")).otherwise(F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (F.col("fpr") - F.col("_x0")) / (F.col("_x1") - F.col("_x0")))
+    return rates.join(spread, "_step").filter(inside).groupBy("fpr").agg((F.sum(height) / len(labels)).alias("tpr"))
 
 
 def trapezoid_auc(points: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -104,3 +136,24 @@ def threshold_grid(scores: DataFrame, columns: Sequence[str], thresholds: DataFr
     """
     merged = scores.groupBy(*columns, truth).agg(F.count("*").alias("_n"))
     return merged.crossJoin(F.broadcast(thresholds)).groupBy(*thresholds.columns, F.col(truth).alias("truth"), decide.alias("predicted")).agg(F.sum("_n").alias("n"))
+
+
+def missing_classes(df: DataFrame, split: str, label: str, labels: Sequence) -> DataFrame:
+    """(split, missing): the labels that a split which holds some rows lacks; no row for splits that hold all."""
+    held = df.groupBy(split).agg(F.collect_set(F.when(F.col(label).isin(*labels), F.col(label))).alias("_held"))
+    lacking = F.array_sort(F.array_except(F.array(*[F.lit(x) for x in labels]), "_held"))
+    return held.select(split, lacking.alias("missing")).filter((F.size("missing") > 0) & (F.size("missing") < len(labels)))
+
+
+def checked_classes(df: DataFrame, split: str, label: str, labels: Sequence) -> DataFrame:
+    """The rows, unless a split holds some classes only: that raises, naming it. An empty split is allowed."""
+    found = missing_classes(df, split, label, labels).orderBy(split).first()
+    if found:
+        raise ValueError(f"split {found[0]} has no rows of classes: {', '.join(map(str, found.missing))}")
+    return df
+
+
+def misclassified(df: DataFrame, truth: str, predicted: str, order: Sequence[Column], most: int | None = None) -> DataFrame:
+    """Rows whose prediction is wrong (null counts as wrong), the first `most` of them in the order."""
+    wrong = df.filter(~F.col(truth).eqNullSafe(F.col(predicted)))
+    return wrong if most is None else wrong.orderBy(*order).limit(most)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from itertools import product
 
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +41,33 @@ def fourier_features(column: str, size: int, out: int, gamma: float, seed: int =
     return SQLTransformer(statement=f"SELECT *, zip_with(transform(array({rows}), w -> {dot}), array({shift}), (d, p) -> cos(d + p) * {(2 / out) ** 0.5:.9g}D) AS fourier FROM __THIS__")
 
 
+def kernel_features(df: DataFrame, column: str, size: int, out: int = 128, gamma: float | str = "scale", seed: int = 42) -> DataFrame:
+    """The array column replaced by its cosine features; gamma "scale" is one over its length times its variance."""
+    if gamma in ("scale", "auto"):
+        spread = 1.0
+        if gamma == "scale":
+            spread = df.select(F.explode(column).alias("x")).agg(F.var_pop(F.col("x").cast("double"))).first()[0] or 1.0
+        gamma = 1.0 / (size * spread)
+    return fourier_features(column, size, out, gamma, seed).transform(df).withColumn(column, F.col("fourier")).drop("fourier")
+
+
+def save(model, path: str, overwrite: bool = False) -> None:
+    writer = model.write()
+    (writer.overwrite() if overwrite else writer).save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def probabilities(model, df: DataFrame, classes: int) -> DataFrame:
+    """The model's predictions with an array of class probabilities, null for models that have none."""
+    found = model.transform(df)
+    if "probability" not in found.columns:
+        return found.withColumn("probabilities", F.lit(None).cast("array<double>"))
+    return found.withColumn("probabilities", F.slice(vector_to_array("probability"), 1, classes)).drop("probability")
+
+
 def prepared(df: DataFrame, features: str, label: str, labels: Sequence) -> DataFrame:
     """features (vector), label (double) and balanced weight."""
     weights = metrics.class_weights(df, label, labels)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +30,31 @@ def simhash(df: DataFrame, key: str, text: str, bits: int = 60) -> DataFrame:
     return counted.select(key, F.when(F.col("_n") > 0, value).alias("fingerprint"))
 
 
-def hamming_pairs(df: DataFrame, fingerprint: str, most: int, bits: int = 64) -> DataFrame:
+def hamming_pairs(df: DataFrame, fingerprint: str, most: int, bits: int = 64, blocks: int | None = None) -> DataFrame:
     """(hash_a, hash_b, distance): pairs of different fingerprints, read as numbers a < b, at most `most` bits apart.
 
-    Of most + 1 bands two such fingerprints agree in one at least, so an equi-join on (band, value) finds all. A pair is
-    kept only in the first band in which it agrees, so no distinct is needed. Equal fingerprints count once.
+    The bits are cut into blocks; two such fingerprints agree in all but `most` of them, so an equi-join on each choice of
+    blocks - most blocks finds all. A pair is kept only in the first choice in which it agrees, so no distinct is needed.
+    Equal fingerprints count once. More blocks make longer keys and more choices; unless given, there are as many as it
+    takes for a key to hold about one fingerprint if they were spread evenly, from the count of fingerprints.
     """
-    width = -(-bits // (most + 1))
     hashes = df.select(F.col(fingerprint).alias("h")).filter("h IS NOT NULL").distinct()
-    band = lambda c, i: c if width >= 64 else F.shiftrightunsigned(c, i * width).bitwiseAND(F.lit((1 << width) - 1))
-    bands = hashes.select("h", F.posexplode(F.array(*[band(F.col("h"), i) for i in range(most + 1)])).alias("band", "value"))
-    a, b = bands.select(F.col("h").alias("hash_a"), "band", "value"), bands.select(F.col("h").alias("hash_b"), "band", "value")
-    first = F.coalesce(*[F.when(band(F.col("hash_a"), i) == band(F.col("hash_b"), i), F.lit(i)) for i in range(most + 1)])
+    if blocks is None:
+        n, blocks = hashes.count(), most + 1
+        while blocks < min(bits, most + 4) and n >> (bits * (blocks - most) // blocks):
+            blocks += 1
+    cuts = [bits * i // blocks for i in range(blocks + 1)]
+    choices = list(combinations(range(blocks), blocks - most))
+    masks = [sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in own) for own in choices]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "value")
+    held = hashes.select("h", keys)
+    a, b = held.select(F.col("h").alias("hash_a"), "choice", "value"), held.select(F.col("h").alias("hash_b"), "choice", "value")
+    off = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
+    first = F.coalesce(*[F.when(off.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])
     distance = hamming(F.col("hash_a"), F.col("hash_b")).cast("long")
-    joined = a.join(b, ["band", "value"]).filter("hash_a < hash_b")
-    return joined.filter((F.col("band") == first) & (distance <= most)).select("hash_a", "hash_b", distance.alias("distance"))
+    joined = a.join(b, ["choice", "value"]).filter("hash_a < hash_b")
+    return joined.filter((distance <= most) & (F.col("choice") == first)).select("hash_a", "hash_b", distance.alias("distance"))
 
 
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,3 +20,19 @@ def with_rank(df: DataFrame, name: str, order: list[Column], partitions: int | N
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     ranked = sorted_rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     return ranked.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_at")
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Column, sums: Mapping[str, str]) -> DataFrame:
+    """Adds each named sum of a column over all earlier rows of the key, 0 at first, without one task for a key.
+
+    Range partitions hold a stretch of a key each; their totals, a row for each key and partition, give what comes before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = cut(df.repartitionByRange(n, *keys, order).withColumn("_part", F.spark_partition_id()))
+    totals = parted.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{name}") for name, c in sums.items()])
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = totals.select(*keys, "_part", *[F.coalesce(F.sum(f"_{name}").over(earlier), F.lit(0)).alias(f"_{name}") for name in sums])
+    own = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = parted.join(F.broadcast(before), [*keys, "_part"])
+    out = joined.select("*", *[(F.col(f"_{name}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(name) for name, c in sums.items()])
+    return out.drop("_part", *[f"_{name}" for name in sums])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,3 +75,8 @@ def cap_per_class(df: DataFrame, classes: list[str], cap: int | Column, order: l
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*classes).orderBy(*order)))
     most = cap if isinstance(cap, Column) else F.lit(cap)
     return ranked.filter(most.isNull() | (F.col("_rn") <= most)).drop("_rn")
+
+
+def sample_two_stage(df: DataFrame, keys: Sequence[str], each: int, whole: int, order: Sequence[Column]) -> DataFrame:
+    """At most `each` rows of every key, then at most `whole` of those, both the first in the order (a top-k, not a sort)."""
+    return cap_per_class(df, keys, each, order).orderBy(*order).limit(whole)

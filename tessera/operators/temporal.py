@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,12 +28,15 @@ def with_votes(df: DataFrame, keys: Sequence[str], frame: str, observed: str, le
 def with_smoothed(df: DataFrame, keys: Sequence[str], frame: str, value: str, observed: str, alpha: float = 0.4, name: str = "smoothed") -> DataFrame:
     """Exponential smoothing that only observed rows move; others hold it. The first observed value seeds it; null before.
 
-    A fold over all earlier values of the key, in frame order; tracking.fuse has the linear form for very long keys.
+    A fold over the key's last observed values, as many as can move a double; work is linear in a key's length.
     """
-    window = Window.partitionBy(*keys).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.collect_list(F.when(F.col(observed), F.col(value))).over(window)
-    fold = F.aggregate(seen, F.lit(None).cast("double"), lambda a, x: F.coalesce(F.lit(alpha) * x + F.lit(1 - alpha) * a, x))
-    return df.withColumn(name, fold)
+    reach = math.ceil(-60 * math.log(2) / math.log(1 - alpha)) + 1 if 0 < alpha < 1 else 1
+    last = Window.partitionBy(*keys, "_seen").orderBy(frame).rowsBetween(1 - reach, 0)
+    fold = F.aggregate(F.collect_list("_value").over(last), F.lit(None).cast("double"), lambda a, x: F.coalesce(F.lit(alpha) * x + F.lit(1 - alpha) * a, x))
+    marked = df.withColumn("_value", F.when(F.col(observed), F.col(value).cast("double"))).withColumn("_seen", F.col("_value").isNotNull())
+    moved = marked.withColumn("_moved", F.when(F.col("_seen"), fold))
+    up_to = Window.partitionBy(*keys).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
+    return moved.withColumn(name, F.last("_moved", ignorenulls=True).over(up_to)).drop("_value", "_seen", "_moved")
 
 
 def with_growth(df: DataFrame, keys: Sequence[str], frame: str, area: str, name: str = "growth") -> DataFrame:
@@ -49,6 +53,11 @@ def confirmed(label: Column, hits: Column, smoothed: Column, needs: Mapping[str,
     return (hits >= wanted) & (F.coalesce(smoothed, F.lit(0.0)) >= least)
 
 
+def state(label: Column, is_confirmed: Column, first: str = "fire") -> Column:
+    """CONFIRMED_ or POSSIBLE_, and FIRE or, for any other label, SMOKE."""
+    return F.concat(F.when(is_confirmed, "CONFIRMED_").otherwise("POSSIBLE_"), F.when(label == first, "FIRE").otherwise("SMOKE"))
+
+
 def clip(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 

@@ -34,6 +34,8 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     cost = np.asarray(cost, float)
     if cost.size == 0:
         return []
+    if cost.shape == (1, 1):
+        return [(0, 0)]
     flipped = cost.shape[0] > cost.shape[1]
     work = cost.T if flipped else cost
     n, m = work.shape
@@ -63,32 +65,38 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 class Kalman:
-    """State: centre, size and their velocities."""
+    """State: centre, size and their velocities.
+
+    The four coordinates have the same noise and are seen together, so their covariance is one 2 x 2 matrix (position,
+    velocity) for all four, held as three numbers; predictions and gains are those of the whole 8 x 8 filter.
+    """
 
     def __init__(self, box: np.ndarray, options: TrackerOptions):
         self.options = options
-        self.x = np.concatenate([_measure(box), np.zeros(4)])
-        self.p = np.eye(8) * options.initial_variance
-        self.f = np.eye(8) + np.eye(8, k=4)
-
-    def _floor(self) -> None:
-        self.x[2:4] = np.maximum(self.x[2:4], 1.0)
+        self.at, self.speed = _measure(box), np.zeros(4)
+        self.place = self.rate = options.initial_variance
+        self.both = 0.0
 
     def predict(self) -> None:
-        self.x = self.f @ self.x
-        self._floor()
-        self.p = self.f @ self.p @ self.f.T + np.eye(8) * self.options.process_noise
+        self.at = self.at + self.speed
+        self.at[2:] = np.maximum(self.at[2:], 1.0)
+        self.place += 2 * self.both + self.rate + self.options.process_noise
+        self.both += self.rate
+        self.rate += self.options.process_noise
 
     def update(self, box: np.ndarray) -> None:
-        # The innovation's covariance is symmetric and positive definite, so its inverse is its pseudo-inverse.
-        gain = np.linalg.solve(self.p[:4, :4] + np.eye(4) * self.options.measurement_noise, self.p[:4]).T
-        self.x = self.x + gain @ (_measure(box) - self.x[:4])
-        self.p = self.p - gain @ self.p[:4]
-        self._floor()
+        whole = self.place + self.options.measurement_noise
+        moved, sped = self.place / whole, self.both / whole
+        off = _measure(box) - self.at
+        self.at, self.speed = self.at + moved * off, self.speed + sped * off
+        self.rate -= sped * self.both
+        self.both *= 1 - moved
+        self.place *= 1 - moved
+        self.at[2:] = np.maximum(self.at[2:], 1.0)
 
     def box(self) -> np.ndarray:
-        cx, cy, w, h = self.x[:4]
-        return np.array([cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2])
+        half = self.at[2:] / 2
+        return np.concatenate([self.at[:2] - half, self.at[:2] + half])
 
 
 def _measure(box: np.ndarray) -> np.ndarray:
@@ -125,6 +133,11 @@ class Tracker:
         self.tracks: list[Track] = []
         self.next_number = 1
 
+    def _pass(self, track: Track) -> None:
+        """Adds the centre of a track that was seen, in whole pixels."""
+        x1, y1, x2, y2 = track.filter.box()
+        track.centres = [*track.centres, (int((x1 + x2) / 2), int((y1 + y2) / 2))][-self.history :]
+
     def update(self, boxes: np.ndarray, classes: np.ndarray, confidences: np.ndarray) -> list[Track]:
         boxes = np.asarray(boxes, float).reshape(-1, 4)
         for t in self.tracks:
@@ -140,15 +153,14 @@ class Tracker:
                 t = self.tracks[i]
                 t.filter.update(boxes[j])
                 t.confidence, t.hits, t.missed, t.observed = float(confidences[j]), t.hits + 1, 0, True
+                self._pass(t)
                 matched.add(j)
         for j in range(len(boxes)):
             if j not in matched:
                 self.tracks.append(Track(self.next_number, Kalman(boxes[j], self.options), int(classes[j]), float(confidences[j])))
                 self.next_number += 1
+                self._pass(self.tracks[-1])
         self.tracks = [t for t in self.tracks if t.missed <= self.options.max_age]
-        for t in self.tracks:
-            cx, cy = t.filter.x[:2]
-            t.centres = [*t.centres, (round(cx), round(cy))][-self.history :]
         return [t for t in self.tracks if t.hits >= self.options.min_hits or t.missed == 0]
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import temporal as operators
 from tessera.operators.lineage import cut
 from tessera.plans import temporal as plans
 from tessera.session import table
@@ -17,14 +18,20 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames as input rows, with a final row for each key."""
-    rows = plans.frames(spark, sf_dir).select(F.col("user_id").alias("key"), "frame", "observed", "confidence", "label", F.lit(False).alias("final"))
-    ends = rows.groupBy("key").agg((F.max("frame") + 1).alias("frame")).select("key", "frame", F.lit(False).alias("observed"), F.lit(0.0).alias("confidence"), F.lit("").alias("label"), F.lit(True).alias("final"))
-    return rows.union(ends)
+    motion = operators.motion_score(F.col("area") / 50, F.col("persistence"), F.lit(0.5), F.lit(0.25))
+    voted = operators.with_votes(plans.frames(spark, sf_dir), ["user_id"], "frame", "observed", plans.LENGTH)
+    rows = voted.select(F.col("user_id").alias("key"), "frame", "observed", "confidence", "label", "area", (F.col("area") / 1000).alias("ratio"), motion.alias("motion"), F.lit(False).alias("final"))
+    ends = rows.groupBy("key").agg((F.max("frame") + 1).alias("frame"))
+    zero = F.lit(0.0)
+    return rows.union(ends.select("key", "frame", F.lit(False), zero, F.lit(""), zero, zero, zero, F.lit(True)))
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select(F.col("key").alias("user_id"), "label", "start_frame", "end_frame", "peak_risk", F.round("peak_confidence", 6).alias("peak_confidence"), "peak_risk_level")
 
 
 def batch_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fusion.batch_events(_numbered(spark, sf_dir))
-    return found.select(F.col("key").alias("user_id"), "label", "start_frame", "end_frame", F.round("peak_confidence", 6).alias("peak_confidence"))
+    return _shown(fusion.batch_events(_numbered(spark, sf_dir)))
 
 
 def stream_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,21 +39,21 @@ def stream_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import lineage
 
     scratch = f"{lineage.folder(spark)}/stream-{uuid.uuid4().hex}"
-    # Two files by frame, so that events run over micro-batches.
+    # Earlier files hold each key's earlier frames, so events run over micro-batches; files are read in the order of writing.
     rows = _numbered(spark, sf_dir)
     halves = cut(rows.withColumn("late", F.col("frame") > F.max("frame").over(Window.partitionBy("key")) / 2))
     for late in (False, True):
-        halves.filter(F.col("late") == late).drop("late").coalesce(1).write.mode("append").parquet(f"{scratch}/in")
+        halves.filter(F.col("late") == late).drop("late").repartition("key").write.mode("append").parquet(f"{scratch}/in")
     kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
-        stream = spark.readStream.schema(fusion.INPUT).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/in")
+        stream = spark.readStream.schema(fusion.INPUT).option("maxFilesPerTrigger", 4).parquet(f"{scratch}/in")
         query = fusion.stream_events(stream).writeStream.format("parquet").option("path", f"{scratch}/out").option("checkpointLocation", f"{scratch}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept) if kept else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     found = spark.read.schema(fusion.EVENTS).parquet(f"{scratch}/out")
-    return found.select(F.col("key").alias("user_id"), "label", "start_frame", "end_frame", F.round("peak_confidence", 6).alias("peak_confidence"))
+    return _shown(found)
 
 
 def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +63,7 @@ def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.unix_seconds("w.start").alias("start"), "event_type", "n", "total")
 
 
-_EVENTS = f"{plans._ALL}{plans._E} SELECT user_id, label, start_frame, end_frame, peak_confidence FROM e"
+_EVENTS = f"{plans._ALL}{plans._E} SELECT user_id, label, start_frame, end_frame, peak_risk, peak_confidence, peak_risk_level FROM e"
 QUERIES = {f.__name__: f for f in (batch_fusion, stream_fusion, hourly_windows)}
 ORACLES = {
     "batch_fusion": _EVENTS,

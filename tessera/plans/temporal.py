@@ -48,8 +48,7 @@ def growth_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fused(spark, sf_dir)
     before = F.lag("confirmed", 1, False).over(Window.partitionBy("user_id").orderBy("frame"))
-    state = F.concat(F.when(F.col("confirmed"), "CONFIRMED_").otherwise("CANDIDATE_"), F.upper("label"))
-    return rows.select("event_id", state.alias("state"), (F.col("confirmed") != before).alias("flipped"))
+    return rows.select("event_id", temporal.state(F.col("label"), F.col("confirmed")).alias("state"), (F.col("confirmed") != before).alias("flipped"))
 
 
 def track_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +114,7 @@ ORACLES = {
     "nofm_vote": f"WITH {_F}, {_V} SELECT event_id, hits, window_length, round(hits / window_length::DOUBLE, 6) AS persistence FROM v",
     "ema_hold": f"{_ALL} SELECT event_id, round(smoothed, 6) AS smoothed FROM s",
     "growth_lag": f"{_ALL} SELECT event_id, round(growth::DOUBLE, 6) AS growth FROM s",
-    "state_flip": f"{_ALL} SELECT event_id, CASE WHEN confirmed THEN 'CONFIRMED_' ELSE 'CANDIDATE_' END || upper(label) AS state, confirmed <> lag(confirmed, 1, false) OVER (PARTITION BY user_id ORDER BY frame) AS flipped FROM r",
+    "state_flip": f"{_ALL} SELECT event_id, CASE WHEN confirmed THEN 'CONFIRMED_' ELSE 'POSSIBLE_' END || CASE label WHEN 'fire' THEN 'FIRE' ELSE 'SMOKE' END AS state, confirmed <> lag(confirmed, 1, false) OVER (PARTITION BY user_id ORDER BY frame) AS flipped FROM r",
     "track_segments": f"WITH {_F} SELECT event_id, frame, frame - row_number() OVER (PARTITION BY user_id ORDER BY frame) AS segment FROM f WHERE event_id % 5 <> 0",
     "event_sessions": f"{_ALL}{_E} SELECT * FROM e",
     "events_by_class": f"{_ALL}{_E} SELECT label, count(*) AS n, max(peak_risk) AS peak_risk FROM e GROUP BY label",

@@ -70,6 +70,7 @@ class FusionOptions:
     least_confidence: float = 0.25
     levels: tuple[float, float, float] = (0.30, 0.60, 0.80)
     fallback_rate: float = 25.0
+    weights: Mapping[str, float] = field(default_factory=lambda: {"confidence": 0.35, "persistence": 0.20, "motion": 0.15, "area": 0.15, "growth": 0.15})
 
     def __post_init__(self):
         bounded(self.alpha)
@@ -78,3 +79,70 @@ class FusionOptions:
             raise ValueError("hits can't exceed the window")
         if list(self.levels) != sorted(set(self.levels)):
             raise ValueError("levels must rise")
+        if min(self.weights.values()) < 0 or not math.isclose(sum(self.weights.values()), 1.0, abs_tol=1e-6):
+            raise ValueError("weights must be 0 or more and sum to 1")
+        if self.fallback_rate <= 0:
+            raise ValueError("the fallback rate must be above 0")
+
+
+@dataclass(frozen=True)
+class DetectorOptions:
+    """Defaults of the detector's grid."""
+
+    image_sizes: tuple[int, ...] = (512, 640)
+    confidences: tuple[float, ...] = (0.15, 0.20, 0.25, 0.30)
+    ious: tuple[float, ...] = (0.45, 0.55)
+    most: int = 100
+
+    def __post_init__(self):
+        if not self.image_sizes or any(size <= 0 or size % 32 for size in self.image_sizes):
+            raise ValueError("image sizes must be multiples of 32")
+        for value in (*self.confidences, *self.ious):
+            bounded(value)
+
+
+@dataclass(frozen=True)
+class PatchOptions:
+    """Defaults of patches."""
+
+    size: int = 96
+    context: float = 0.12
+    least_box: int = 12
+    normals_per_image: int = 1
+    crop_fraction: tuple[float, float] = (0.35, 0.75)
+    most_overlap: float = 0.02
+    caps: Mapping[str, int] = field(default_factory=lambda: {"train": 1500, "val": 400, "test": 600})
+
+    def __post_init__(self):
+        bounded(self.most_overlap)
+        low, high = self.crop_fraction
+        if not 0 < low <= high <= 1:
+            raise ValueError("crop fractions must rise from above 0 to 1 at most")
+
+
+#: What a split adds to the seed of its draws.
+_SPLIT_SEEDS = {"train": 1, "val": 2, "test": 3}
+
+
+def draw_seed(seed: int, class_id: int, split: str) -> int:
+    """The seed of a split's and class's draw; the same on every machine."""
+    return seed + 1009 * class_id + _SPLIT_SEEDS[split]
+
+
+def read_yaml(text: str) -> dict:
+    """The mapping of a YAML document, where PyYAML is installed."""
+    import yaml
+
+    found = yaml.safe_load(text)
+    if not isinstance(found, dict):
+        raise ValueError("a configuration is a mapping")
+    return found
+
+
+def curation_options(raw: Mapping) -> tuple[CurationOptions, list[SourceOptions]]:
+    """Options and sources of a mapping; unknown keys raise."""
+    raw = dict(raw)
+    sources = [SourceOptions(**s) for s in raw.pop("sources", [])]
+    if "classes" in raw:
+        raw["classes"] = {int(k): str(v) for k, v in raw["classes"].items()}
+    return CurationOptions(**raw), sources

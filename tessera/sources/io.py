@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import re
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,3 +86,55 @@ def markdown_table(df: DataFrame, most: int = 1000) -> str:
         raise ValueError(f"a report table has at most {most} rows")
     show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *("| " + " | ".join(map(show, r)) + " |" for r in rows)])
+
+
+def class_folders(spark: SparkSession, root: str, split: str, classes: Sequence[str], suffixes: Sequence[str] = PATCH_SUFFIXES) -> DataFrame:
+    """(path, class_id, class_name) of the images below root/split/class, in any depth. A split without images raises."""
+    names = "|".join(re.escape(c) for c in classes)
+    files = discover(spark, f"{root.rstrip('/')}/{split}", suffixes)
+    name = F.regexp_extract("path", f"/{re.escape(split)}/({names})/", 1)
+    found = files.withColumn("class_name", name).filter("class_name != ''")
+    number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class_name")).cast("int") - 1
+    listed = found.select("path", number.alias("class_id"), "class_name")
+    held = {r.class_name for r in listed.select("class_name").distinct().collect()}  # a row for each class at most
+    if missing := [c for c in classes if c not in held]:
+        raise ValueError(f"no images of classes in split {split}: {', '.join(missing)}")
+    return listed
+
+
+def write_features(df: DataFrame, path: str, metadata: Mapping, overwrite: bool = False) -> None:
+    """Feature rows as Parquet, and beside them one JSON row of metadata with the rows' number and columns."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    df.write.mode(mode).parquet(f"{path}/rows")
+    n = df.sparkSession.read.parquet(f"{path}/rows").count()
+    text = json.dumps({**metadata, "rows": n, "columns": df.columns}, sort_keys=True)
+    df.sparkSession.createDataFrame([(text,)], "value string").write.mode(mode).text(f"{path}/metadata")
+
+
+def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    return spark.read.parquet(f"{path}/rows"), json.loads(spark.read.text(f"{path}/metadata").first().value)
+
+
+def write_predictions(df: DataFrame, path: str, truth: str = "truth", predicted: str = "predicted") -> None:
+    """All rows with a column that says whether the prediction is right."""
+    df.withColumn("correct", F.col(truth).eqNullSafe(F.col(predicted))).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_failures(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The written predictions that are wrong: correct is false or 0."""
+    rows = spark.read.csv(path, schema=schema + ", correct string", header=True)
+    return rows.filter(F.lower(F.trim("correct")).isin("false", "0")).drop("correct")
+
+
+def thresholds(spark: SparkSession, path: str | None, image_size: int = 640, confidence: float = 0.25, iou: float = 0.45) -> tuple[int, float, float]:
+    """(image size, confidence, iou) that a JSON file of a selection names; the fallbacks for keys or a file that is missing."""
+    kept = {"selected_image_size": image_size, "selected_confidence": confidence, "selected_iou": iou}
+    if path and exists(spark, path):
+        raw = json.loads("\n".join(r.value for r in spark.read.text(path).collect()))  # a file of a few lines
+        kept |= {k: v for k, v in raw.items() if k in kept and v is not None}
+    return int(kept["selected_image_size"]), float(kept["selected_confidence"]), float(kept["selected_iou"])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)

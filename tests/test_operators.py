@@ -123,6 +123,27 @@ def test_identity_is_kept():
     assert [t.observed for t in tracker.tracks] == [False]
 
 
+def test_filter_is_the_whole_one():
+    """Against the 8 x 8 form with a pseudo-inverse."""
+    rng, options = np.random.default_rng(9), tracking.TrackerOptions()
+    f, h, measure = np.eye(8) + np.eye(8, k=4), np.eye(4, 8), tracking._measure
+    for _ in range(5):
+        box = np.array([0, 0, 30, 40.0])
+        own, x, p = tracking.Kalman(box, options), np.concatenate([measure(box), np.zeros(4)]), np.eye(8) * options.initial_variance
+        for _ in range(30):
+            own.predict()
+            x = f @ x
+            x[2:4] = np.maximum(x[2:4], 1)
+            p = f @ p @ f.T + np.eye(8) * options.process_noise
+            if rng.random() < 0.7:
+                box = box + rng.normal(0, 3, 4)
+                own.update(box)
+                gain = p @ h.T @ np.linalg.pinv(h @ p @ h.T + np.eye(4) * options.measurement_noise)
+                x, p = x + gain @ (measure(box) - h @ x), (np.eye(8) - gain @ h) @ p
+                x[2:4] = np.maximum(x[2:4], 1)
+            assert np.allclose(np.concatenate([own.at, own.speed]), x) and np.allclose([own.place, own.both, own.rate], [p[0, 0], p[0, 4], p[4, 4]])
+
+
 def test_new_tracks_need_hits_once_missed():
     tracker = tracking.Tracker()
     assert len(tracker.update(np.array([[0, 0, 9, 9]]), np.array([0]), np.array([0.5]))) == 1
@@ -132,15 +153,15 @@ def test_new_tracks_need_hits_once_missed():
 def test_track_scenario(spark):
     rows = [("a", f, float(10 + 2 * f), 20.0, float(40 + 2 * f), 60.0, 0, 0.8) for f in range(5)] + [("a", 5, None, None, None, None, None, None)]
     out = tracking.track(spark.createDataFrame(rows, "stream string, frame_index long, x1 double, y1 double, x2 double, y2 double, class_id int, confidence double")).orderBy("frame_index").collect()
-    assert [r.track_id for r in out] == [1] * 6 and [r.observed for r in out] == [True] * 5 + [False] and len(out[-1].center_history) == 6
+    assert [r.track_id for r in out] == [1] * 6 and [r.observed for r in out] == [True] * 5 + [False] and len(out[-1].center_history) == 5
 
 
 def test_vote_event_and_risk(spark):
     fusion, found = Fusion(length=5), []
     for f in range(4):
-        found += fusion.step(f, True, 0.8, "fire", False)
+        found += fusion.step(f, True, 0.8, "fire", 1200.0, 0.1, 0.5, False)
     assert found == [] and fusion.open[1] == 2
-    assert list(fusion.step(4, False, 0.0, "", True))[0][:3] == ("fire", 2, 4)
+    assert list(fusion.step(4, False, 0.0, "", 0.0, 0.0, 0.0, True))[0][:3] == ("fire", 2, 4)
     one = spark.range(1).select(temporal.risk_score(F.lit(0.8), F.lit(1.0), F.lit(0.5), F.lit(0.1), F.lit(0.2)).alias("r"))
     assert one.first().r == pytest.approx(0.715) and one.select(temporal.risk_level(F.col("r")).alias("l")).first().l == "HIGH"
 
@@ -151,9 +172,9 @@ def test_fusion_survives_restoring(rows):
     whole, parts, a, b, frame = Fusion(), Fusion(), [], [], 0
     for gap, seen, confidence in rows:
         frame += 1 + (gap == 2)
-        a += whole.step(frame, seen, confidence, "fire", False)
-        b += parts.step(frame, seen, confidence, "fire", False)
-        parts = Fusion.restored(parts.state())
+        a += whole.step(frame, seen, confidence, "fire", 100 * confidence, confidence, 0.5, False)
+        b += parts.step(frame, seen, confidence, "fire", 100 * confidence, confidence, 0.5, False)
+        parts = Fusion().restored(parts.state())
     assert a == b and whole.state() == parts.state()
 
 
