@@ -14,6 +14,10 @@ from tessera.llm import decontamination, jaccard_join, packing, quality, substri
 from tessera.llm.scratch import Scratch
 
 
+#: Bytes of a repeated passage that goes: over 50 words, at six bytes a word with its space. (The query op2 keeps to its 400.)
+PASSAGE = 300
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the repetition rules reject go."""
     return quality.keep_good(docs)
@@ -25,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte strings that start more than once are cut out of the texts; n_chars follows."""
-    cut = substring_dedup.remove_repeated(docs)
+    """Strings of PASSAGE bytes that start more than once are cut out of the texts; n_chars follows."""
+    cut = substring_dedup.remove_repeated(docs, PASSAGE)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

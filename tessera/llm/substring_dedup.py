@@ -2,7 +2,8 @@
 
 Suffixes are sampled at the positions p of each text with p mod 273 in a perfect difference cover of 17 residues. Whatever
 two positions i and j two equal strings of LENGTH bytes start at, some k < 273 puts both i + k and j + k into the cover; so
-equal strings always hold a pair of aligned cover suffixes with equal first PREFIX = LENGTH - 272 bytes. The other suffixes
+equal strings always hold a pair of aligned cover suffixes with equal first PREFIX = LENGTH - 272 bytes. (Strings of under
+372 bytes take a cover modulo 183 of 14 residues, and all below with 182 for 272.) The other suffixes
 need no place of their own in the order: their strings are settled by the cover suffix inside them.
 
 1. Cover suffixes are bucketed by their prefix and sorted, one bucket at a time; prefixes that occur once are done with.
@@ -37,9 +38,11 @@ from tessera.llm.jaccard_join import _Keys, _pack, _unpack
 from tessera.llm.scratch import Scratch
 
 LENGTH = 400
-PERIOD = 273
-#: A perfect difference cover of 273: every residue is the difference of one pair.
-COVER = [1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256]
+#: Perfect difference covers by their period; every residue is the difference of one pair.
+COVERS = {
+    273: [1, 2, 4, 8, 16, 32, 64, 91, 117, 128, 137, 182, 195, 205, 234, 239, 256],
+    183: [0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175],
+}
 #: Bits of the filter of repeated prefixes (16 MB), and marks a key; if it fills up, more is compared, with the same result.
 FILTER_BITS, MARKS = 27, 4
 #: Text bytes that are looked at together; each takes some 50 bytes of memory.
@@ -68,11 +71,20 @@ def _power(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def period_of(length: int) -> int:
+    """The longest period that leaves prefixes of 100 bytes at least, which tell strings apart well."""
+    fitting = [p for p in COVERS if length - p + 1 >= 100]
+    if not fitting:
+        raise ValueError(f"strings have {min(COVERS) + 99} bytes at least")
+    return max(fitting)
+
+
 class Slice:
     """Some texts (bytes) laid end to end."""
 
     def __init__(self, texts: list[bytes], length: int = LENGTH):
-        self.length, self.prefix = length, length - PERIOD + 1
+        self.length, self.period = length, period_of(length)
+        self.prefix = length - self.period + 1
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
         raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -93,10 +105,10 @@ class Slice:
         long = np.flatnonzero(self.sizes >= self.length)
         if not len(long):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        pattern = np.array(COVER)
+        pattern = np.array(COVERS[self.period])
         for i in long.tolist():
             room = int(self.sizes[i]) - self.prefix + 1
-            own = (np.arange(-(-room // PERIOD))[:, None] * PERIOD + pattern).ravel()
+            own = (np.arange(-(-room // self.period))[:, None] * self.period + pattern).ravel()
             own = own[own < room]
             place.append(own + self.starts[i])
             text.append(np.full(len(own), i))
@@ -107,14 +119,14 @@ class Slice:
 
     def contexts(self, at: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Hashes of the wide contexts; a text's start or end inside one is part of it."""
-        low = np.maximum(at - PERIOD + 1, self.starts[text])
+        low = np.maximum(at - self.period + 1, self.starts[text])
         high = np.minimum(at + self.length, self.starts[text + 1])
         own = self.hashes(low, high)
         return (own ^ (at - low).astype(np.uint64)) * _MIX
 
     def strings(self, at: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Starts of all strings around the given samples: sorted, each once."""
-        low = np.maximum(at - PERIOD + 1, self.starts[text])
+        low = np.maximum(at - self.period + 1, self.starts[text])
         high = np.minimum(at, self.starts[text + 1] - self.length)
         marks = np.zeros(len(self.sums) + 1, np.int32)
         ok = high >= low

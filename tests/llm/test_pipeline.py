@@ -47,9 +47,10 @@ def test_stages_match_brute_force(spark, tmp_path):
             alive = {i: alive[i] for k, i in enumerate(ids) if k in roots}
         elif name == "suffix-array dedup":
             raw = [t.encode() for t in own]
-            seen = test_substring_dedup.Counter(t[k : k + 400] for t in raw for k in range(len(t) - 399))
+            n = corpus_pipeline.PASSAGE
+            seen = test_substring_dedup.Counter(t[k : k + n] for t in raw for k in range(len(t) - n + 1))
             for i, t in zip(ids, raw):
-                gone = {k + j for k in range(len(t) - 399) if seen[t[k : k + 400]] > 1 for j in range(400)}
+                gone = {k + j for k in range(len(t) - n + 1) if seen[t[k : k + n]] > 1 for j in range(n)}
                 alive[i] = bytes(c for k, c in enumerate(t) if k not in gone).decode()
             assert sum(map(len, raw)) > sum(map(len, alive.values()))
         elif name == "benchmark decontamination":

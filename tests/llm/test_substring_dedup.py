@@ -41,13 +41,16 @@ def case():
 
 
 def test_cover_is_a_difference_cover():
-    assert {(a - b) % s.PERIOD for a in s.COVER for b in s.COVER} == set(range(s.PERIOD))
+    assert all({(a - b) % period for a in cover for b in cover} == set(range(period)) for period, cover in s.COVERS.items())
+    assert s.period_of(400) == 273 and s.period_of(300) == 183
 
 
 def test_matches_brute_force(spark):
     texts = case()
     rows = sorted(s.repeated_substrings(clashing(documents(spark, texts))).collect())
     assert [tuple(r)[1:] for r in rows] == brute(texts)
+    rows = sorted(s.repeated_substrings(documents(spark, texts), 300).collect())
+    assert [tuple(r)[1:] for r in rows] == brute(texts, 300)
     kept = s.remove_repeated(clashing(documents(spark, texts)))
     assert kept.columns == clashing(documents(spark, [])).columns
     left = {r.doc_id: r.text for r in kept.select("doc_id", "text").collect()}
