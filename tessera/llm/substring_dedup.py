@@ -411,12 +411,18 @@ def _apply(docs: DataFrame, own: Column, text: str, length: int, schema: str, ma
     met = docs.mapInArrow(route(False), f"doc {kind}, content binary").withColumn("content_id", F.xxhash64("content")).withColumn("digest", F.md5("content"))
     met = scratch.save(met, "met")
     # Equal texts share what is found of them; only equal 192 bits of two hashes make texts copies, which lose all they hold.
+    # Facts are kept by content_id alone and written first: each join then moves the contents once, and as both of its sides
+    # come straight from an exchange, adaptive execution can split the rows of a text with very many copies over tasks.
     counted = met.groupBy("content_id", "digest").agg(F.count("*").alias("copies"))
+    counted = counted.groupBy("content_id").agg(F.map_from_entries(F.collect_list(F.struct("digest", "copies"))).alias("copies"))
     settled = _settle(met, keys, marks, length).groupBy("content_id").agg(F.collect_list("places").alias("places"), F.collect_list("states").alias("states"))
-    known = scratch.save(met.join(counted, ["content_id", "digest"]).drop("digest").join(settled, "content_id", "left"), "known")
-    scratch.drop("met")
+    facts = scratch.save(counted.join(settled, "content_id", "left"), "facts")
+    known = met.join(facts.hint("merge"), "content_id").withColumn("copies", F.col("copies")[F.col("digest")]).drop("digest")
+    known = scratch.save(known, "known")
+    scratch.drop("met", "facts")
     # Each text gets a row from each bucket that holds strings of it, so this step has half as many, larger buckets.
     strings = _unsettled(known, _Keys(max(keys.bits - 1, 3)), length).groupBy("content_id").agg(F.collect_list("strings").alias("strings"))
+    strings = scratch.save(strings, "strings")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow.slices(batches, "content", SLICE):
@@ -438,7 +444,7 @@ def _apply(docs: DataFrame, own: Column, text: str, length: int, schema: str, ma
                 rows.append(make(*_cut(content, removed)))
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *map(pa.array, zip(*rows, strict=True))], ["doc", *names])
 
-    every = known.join(strings, "content_id", "left").select("doc", "content", "copies", "places", "states", "strings")
+    every = known.join(strings.hint("merge"), "content_id", "left").select("doc", "content", "copies", "places", "states", "strings")
     touched = every.mapInArrow(finish, f"doc {kind}, {schema}")
     return passed.union(touched)
 
