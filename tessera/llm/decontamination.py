@@ -272,3 +272,20 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, broadcast_bytes: int
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all benchmark items."""
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_W = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_spans = lambda n: f"{n} AS n, unnest(range(1, len(w) - {n} + 2)) AS i, unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))) AS s"
+_OF_ITEMS = " UNION ALL ".join(f"SELECT item, {_spans(n)} FROM b WHERE len(w) {'>=' if n == WINDOW else '='} {n}" for n in range(1, WINDOW + 1))
+_OF_DOCS = " UNION ALL ".join(f"SELECT d, {_spans(n)} FROM w WHERE len(w) >= {n} AND EXISTS (SELECT 1 FROM v WHERE v.n = {n})" for n in range(1, WINDOW + 1))
+ORACLE = f"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, {_W} AS w FROM documents),
+b AS MATERIALIZED (SELECT row_number() OVER () AS item, item_id, {_W} AS w FROM benchmark),
+v AS MATERIALIZED (SELECT DISTINCT item, n, s FROM ({_OF_ITEMS})),
+f AS MATERIALIZED (SELECT * FROM ({_OF_DOCS}) x WHERE EXISTS (SELECT 1 FROM v WHERE v.n = x.n AND v.s = x.s)),
+h AS (SELECT d, count(DISTINCT j) AS n_hit FROM (SELECT d, unnest(range(i, i + n)) AS j FROM f) GROUP BY d),
+m AS (SELECT DISTINCT d, item, item_id FROM f JOIN v USING (n, s) JOIN b USING (item)),
+g AS (SELECT d, count(*) AS n_items, list_sort(list(DISTINCT item_id::VARCHAR)) AS names FROM m GROUP BY d),
+r AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256 FROM w LEFT JOIN h USING (d) LEFT JOIN g USING (d))
+SELECT *, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM r
+"""

@@ -479,6 +479,9 @@ l AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b ON a.t
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
 u AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l UNION ALL SELECT r.doc_id, p.doc_id FROM p JOIN rep r USING (h) WHERE p.n > 0 AND p.doc_id <> r.doc_id
   UNION ALL SELECT p.doc_id, r.doc_id FROM p JOIN rep r USING (h) WHERE p.n > 0 AND p.doc_id <> r.doc_id),
-r(node, root) AS (SELECT doc_id, doc_id FROM p UNION SELECT u.v, r.root FROM r JOIN u ON r.node = u.u WHERE r.root < u.v)
-SELECT doc_id, n::BIGINT AS n_shingles, min(root) AS component_id FROM r JOIN p ON r.node = p.doc_id GROUP BY doc_id, n
+r(node, root) AS (SELECT doc_id, doc_id FROM p UNION SELECT u.v, r.root FROM r JOIN u ON r.node = u.u WHERE r.root < u.v),
+c AS (SELECT h, count(*) AS copies FROM p WHERE n > 0 GROUP BY h), k AS (SELECT rep.doc_id, h, copies FROM rep JOIN c USING (h)),
+m AS (SELECT k.h, sum(o.copies) AS n FROM (SELECT u, v FROM l UNION ALL SELECT v, u FROM l) x JOIN k ON k.doc_id = x.u JOIN k o ON o.doc_id = x.v GROUP BY k.h)
+SELECT p.doc_id, p.n::BIGINT AS n_shingles, min(root) AS component_id, CASE WHEN p.n > 0 THEN any_value(copies) - 1 + coalesce(any_value(m.n), 0) ELSE 0 END::BIGINT AS n_links
+FROM r JOIN p ON r.node = p.doc_id LEFT JOIN c USING (h) LEFT JOIN m USING (h) GROUP BY p.doc_id, p.n
 """

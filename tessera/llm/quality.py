@@ -146,5 +146,28 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents."""
-    return with_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents, with the columns that SQL can restate; with_quality() has those of the method too."""
+    return with_quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("covered_words", "longest_repeat")
+
+
+def _covered_sql(k: int) -> str:
+    """Words in k-word windows that a document holds twice or more."""
+    places = f"range(1, greatest(len(w) - {k - 2}, 1))"
+    windows = f"SELECT d, unnest({places}) AS i, unnest(list_transform({places}, lambda i: hash(array_to_string(w[i:i + {k - 1}], ' ')))) AS h FROM w"
+    twice = f"SELECT d, i, lead(i) OVER (PARTITION BY d ORDER BY i) AS following FROM (SELECT d, i, count(*) OVER (PARTITION BY d, h) AS n FROM ({windows})) WHERE n > 1"
+    return f"c{k} AS (SELECT d, sum(least({k}, coalesce(following - i, {k}))) AS n FROM ({twice}) GROUP BY d)"
+
+
+#: A repeat of over LONGEST_REPEAT words is a window of one word more that occurs twice.
+_OVER = LONGEST_REPEAT + 1
+ORACLE = rf"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+{_covered_sql(BASE_WINDOW)}, {_covered_sql(LEAST_REPEAT)}, {_covered_sql(_OVER)},
+l AS (SELECT d, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+b AS (SELECT w.d, doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+  coalesce(base.n, 0)::BIGINT AS n_repeat_words, coalesce(own.n, 0) AS covered, long.n IS NOT NULL AS long
+  FROM w JOIN l USING (d) LEFT JOIN c{BASE_WINDOW} base USING (d) LEFT JOIN c{LEAST_REPEAT} own USING (d) LEFT JOIN c{_OVER} long USING (d)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND covered <= {MOST_COVERED}::DOUBLE * n_words AND NOT long AS kept FROM f
+"""

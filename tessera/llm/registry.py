@@ -16,4 +16,10 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-ORACLES = {"op6_jaccard_join": jaccard_join.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLES = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
+    "op4_decontamination": decontamination.ORACLE,
+    "op6_jaccard_join": jaccard_join.ORACLE,
+    "op7_quality": quality.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
+}

@@ -469,3 +469,18 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, text: str = "text") -
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents."""
     return repeated_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+# Bytes are two hexadecimal digits each; every string of LENGTH bytes is hashed. Pieces hold the strings that start in 1,000 bytes.
+_PLACES = f"range(0, length(piece) // 2 - {LENGTH - 1})"
+ORACLE = f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+y AS MATERIALIZED (SELECT d, o, x[2 * o + 1:2 * (o + {1000 + LENGTH - 1})] AS piece FROM (SELECT d, x, unnest(range(0, greatest(length(x) // 2 - {LENGTH - 1}, 0), 1000)) AS o FROM t)),
+p AS (SELECT d, o + unnest({_PLACES}) AS i, unnest(list_transform({_PLACES}, lambda i: hash(piece[2 * i + 1:2 * i + {2 * LENGTH}]))) AS h FROM y),
+c AS (SELECT d, i FROM (SELECT d, i, count(*) OVER (PARTITION BY h) AS n FROM p) WHERE n > 1),
+g AS (SELECT d, i, sum(fresh) OVER (PARTITION BY d ORDER BY i) AS run FROM (SELECT d, i, CASE WHEN i <= lag(i) OVER (PARTITION BY d ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS fresh FROM c)),
+r AS (SELECT d, run, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY d, run),
+s AS (SELECT d, a, b, coalesce(lag(b) OVER (PARTITION BY d ORDER BY a), 0) AS past, x FROM r JOIN t USING (d)),
+k AS (SELECT d, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(x[2 * past + 1:2 * a], '' ORDER BY a) AS kept, max(b) AS last FROM s GROUP BY d)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, '') || x[2 * coalesce(last, 0) + 1:])) AS kept_sha256 FROM t LEFT JOIN k USING (d)
+"""
