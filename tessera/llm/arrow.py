@@ -2,15 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 
+def release() -> None:
+    """Gives memory that is free again back to the system; workers stay, and idle ones count as well."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries
+        pass
+
+
+def released(function: Callable) -> Callable:
+    """A function of a group's rows, or of its key and rows, that releases memory after each group."""
+
+    def of_rows(table: pa.Table) -> pa.Table:
+        try:
+            return function(table)
+        finally:
+            release()
+
+    def of_key(key: tuple, table: pa.Table) -> pa.Table:
+        try:
+            return function(key, table)
+        finally:
+            release()
+
+    return of_key if function.__code__.co_argcount == 2 else of_rows
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices whose texts hold about most_bytes at most (a single longer text is a slice of its own)."""
+    """The same rows in slices whose texts hold about most_bytes at most (a single longer text is a slice of its own).
+
+    Memory is released after the last one.
+    """
     for batch in batches:
         column = batch.column(text)
         if batch.num_rows == 0:
@@ -25,6 +56,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 8 <<
                 start, held = i, 0
             held += length
         yield batch.slice(start)
+    batch = column = None
+    release()
 
 
 def texts(column: pa.Array) -> list[str]:

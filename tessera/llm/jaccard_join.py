@@ -144,7 +144,7 @@ def _frequent(docs: DataFrame, text: str, keys: _Keys, dense: int) -> DataFrame:
         return pa.table({"key": pa.array(full.view(np.int64)), "n": pa.array(totals[kept])})
 
     packed = docs.select(text).mapInArrow(count, "bucket long, places binary, counts binary")
-    return packed.groupBy("bucket").applyInArrow(merge, "key long, n long")
+    return packed.groupBy("bucket").applyInArrow(arrow.released(merge), "key long, n long")
 
 
 def _order_table(frequent: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +281,7 @@ def _candidates(docs: DataFrame, text: str, keys: _Keys, window, dense: int) ->
         return pa.table({"u": names[u], "v": names[v], "n": np.concatenate([np.full(len(stars), 1 << 20), counts]).astype(np.int64), "wanted": wanted})
 
     packed = docs.select(text).mapInArrow(replicate, "bucket long, places binary, sets binary, frequent binary, about binary")
-    met = packed.groupBy("bucket").applyInArrow(meet, "u long, v long, n long, wanted long")
+    met = packed.groupBy("bucket").applyInArrow(arrow.released(meet), "u long, v long, n long, wanted long")
     return met.groupBy("u", "v").agg(F.sum("n").alias("n"), F.min("wanted").alias("wanted")).filter("n >= wanted").select("u", "v")
 
 
@@ -398,7 +398,7 @@ def _fine_links(members: DataFrame, block: int) -> DataFrame:
             start = end
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n_links": pa.array(n, pa.int64())})
 
-    return pairs.groupBy("call", "a", "b").applyInArrow(join, "u long, v long, n_links long")
+    return pairs.groupBy("call", "a", "b").applyInArrow(arrow.released(join), "u long, v long, n_links long")
 
 
 def _classes(docs: DataFrame, scratch: Scratch, dense: int, most_dense: int, block: int) -> DataFrame:

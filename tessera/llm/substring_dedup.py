@@ -174,7 +174,7 @@ def _repeated_prefixes(docs: DataFrame, keys: _Keys, length: int) -> DataFrame:
         return pa.table({"part": pa.array(parts.astype(np.int64)), "offsets": pa.array(offsets, pa.binary())})
 
     packed = docs.select("content").mapInArrow(sample, "bucket long, places binary, twice binary")
-    return packed.groupBy("bucket").applyInArrow(sort, "part long, offsets binary")
+    return packed.groupBy("bucket").applyInArrow(arrow.released(sort), "part long, offsets binary")
 
 
 def _filter(found: DataFrame) -> np.ndarray:
@@ -187,7 +187,7 @@ def _filter(found: DataFrame) -> np.ndarray:
         return pa.table({"part": table.column("part")[:1], "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
 
     packed = np.zeros((256, PART // 8), np.uint8)
-    for r in found.groupBy("part").applyInArrow(merge, "part long, marks binary").collect():
+    for r in found.groupBy("part").applyInArrow(arrow.released(merge), "part long, marks binary").collect():
         packed[r.part] = np.frombuffer(r.marks, np.uint8)
     return packed.ravel()
 
@@ -264,7 +264,7 @@ def _settle(met: DataFrame, keys: _Keys, marks, length: int) -> DataFrame:
         return pa.table({"content_id": pa.array(names[begins], pa.int64()), "places": cut(places), "states": cut(state)})
 
     packed = met.select("content_id", "content").mapInArrow(sample, "bucket long, prefixes binary, contexts binary, texts binary, names binary, places binary")
-    return packed.groupBy("bucket").applyInArrow(sort, "content_id long, places binary, states binary")
+    return packed.groupBy("bucket").applyInArrow(arrow.released(sort), "content_id long, places binary, states binary")
 
 
 def _suffixes(row_places: list, row_states: list, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -352,7 +352,7 @@ def _unsettled(known: DataFrame, keys: _Keys, length: int) -> DataFrame:
         return pa.table({"content_id": pa.array(names[begins], pa.int64()), "strings": pa.array([own[a:b].tobytes() for a, b in zip(begins, ends, strict=True)], pa.binary())})
 
     packed = known.select("content_id", "content", "places", "states").mapInArrow(show, "bucket long, highs binary, lows binary, texts binary, names binary, twice binary, ask binary")
-    return packed.groupBy("bucket").applyInArrow(sort, "content_id long, strings binary")
+    return packed.groupBy("bucket").applyInArrow(arrow.released(sort), "content_id long, strings binary")
 
 
 def _removed(texts: Slice, starts: np.ndarray, length: int) -> np.ndarray:
