@@ -73,13 +73,13 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all words, A-Z as a-z, and the number of words of each text); words part at ASCII white space."""
+def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all words, A-Z as a-z if lower, and the number of words of each text); words part at ASCII white space."""
     if not texts:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     raw, begins = joined(texts)
     starts, ends = spans(_BLANK[raw])
-    return Bytes(raw, True).hashes(starts, ends), np.diff(np.searchsorted(starts, begins))
+    return Bytes(raw, lower).hashes(starts, ends), np.diff(np.searchsorted(starts, begins))
 
 
 class Table:
