@@ -28,8 +28,12 @@ def with_votes(df: DataFrame, keys: Sequence[str], frame: str, observed: str, le
 def with_smoothed(df: DataFrame, keys: Sequence[str], frame: str, value: str, observed: str, alpha: float = 0.4, name: str = "smoothed") -> DataFrame:
     """Exponential smoothing that only observed rows move; others hold it. The first observed value seeds it; null before.
 
-    A fold over the key's last observed values, as many as can move a double; work is linear in a key's length.
+    A fold over the key's last observed values, as many as can move a double; work is linear in a key's length. At alpha 0
+    the first value stays, at 1 each row gives its own.
     """
+    if alpha == 0:
+        up_to = Window.partitionBy(*keys).orderBy(frame).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.first(F.when(F.col(observed), F.col(value).cast("double")), ignorenulls=True).over(up_to))
     reach = math.ceil(-60 * math.log(2) / math.log(1 - alpha)) + 1 if 0 < alpha < 1 else 1
     last = Window.partitionBy(*keys, "_seen").orderBy(frame).rowsBetween(1 - reach, 0)
     fold = F.aggregate(F.collect_list("_value").over(last), F.lit(None).cast("double"), lambda a, x: F.coalesce(F.lit(alpha) * x + F.lit(1 - alpha) * a, x))

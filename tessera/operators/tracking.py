@@ -122,6 +122,7 @@ class Track:
     age: int = 1
     hits: int = 1
     missed: int = 0
+    detection: int = -1  # the number of the detection it was last seen in, within that frame
     centres: list[tuple[int, int]] = field(default_factory=list)
 
 
@@ -152,12 +153,12 @@ class Tracker:
                     continue
                 t = self.tracks[i]
                 t.filter.update(boxes[j])
-                t.confidence, t.hits, t.missed, t.observed = float(confidences[j]), t.hits + 1, 0, True
+                t.confidence, t.hits, t.missed, t.observed, t.detection = float(confidences[j]), t.hits + 1, 0, True, j
                 self._pass(t)
                 matched.add(j)
         for j in range(len(boxes)):
             if j not in matched:
-                self.tracks.append(Track(self.next_number, Kalman(boxes[j], self.options), int(classes[j]), float(confidences[j])))
+                self.tracks.append(Track(self.next_number, Kalman(boxes[j], self.options), int(classes[j]), float(confidences[j]), detection=j))
                 self.next_number += 1
                 self._pass(self.tracks[-1])
         self.tracks = [t for t in self.tracks if t.missed <= self.options.max_age]

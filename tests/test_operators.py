@@ -237,3 +237,10 @@ def test_config():
     for wrong in (lambda: config.CurationOptions(classes={0: "a", 2: "b"}), lambda: config.CurationOptions(ratios={"a": 0.5}), lambda: config.SourceOptions("s", "x", {}), lambda: config.FusionOptions(levels=(0.6, 0.3, 0.8)), lambda: config.odd(4)):
         with pytest.raises(ValueError, match="."):
             wrong()
+
+
+def test_smoothing_at_its_ends(spark):
+    rows = spark.createDataFrame([("k", 0, 0.7, False), ("k", 1, 0.9, True), ("k", 2, 0.1, True), ("k", 3, 0.3, False), ("k", 4, 0.5, True)], "k string, f long, v double, o boolean")
+    smoothed = lambda alpha: [r.smoothed for r in temporal.with_smoothed(rows, ["k"], "f", "v", "o", alpha).orderBy("f").collect()]
+    assert smoothed(0.0) == [None, 0.9, 0.9, 0.9, 0.9] and smoothed(1.0) == [None, 0.9, 0.1, 0.1, 0.5]
+    assert smoothed(0.01)[4] == pytest.approx(0.01 * 0.5 + 0.99 * (0.01 * 0.1 + 0.99 * 0.9))
