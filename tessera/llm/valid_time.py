@@ -42,7 +42,16 @@ HOT_SHARE = 1 / 64
 #: Stands for null among whole numbers, and for minus infinity among times; ALL is plus infinity.
 NONE, ALL = -(1 << 63), (1 << 63) - 1
 CHANGE, SALE, TICK = range(3)
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: State is kept by RocksDB; a batch adds its changes instead of whole snapshots, and files take the room that they need only.
+SETTINGS = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.maintenanceInterval": "10s",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+    "spark.sql.parquet.compression.codec": "zstd",
+}
 
 _ROWS = "key long, kind int, uid long, id long, client long, at long, seq long, cents long, op string, first boolean"
 _NUMBERS = ("uid", "id", "client", "at")
@@ -233,13 +242,14 @@ class Layout:
 
 
 def layout(sales: DataFrame, changes: DataFrame, partitions: int) -> Layout:
-    """Buckets by the number of rows; a client of a share s gets a square grid of about s * partitions cells."""
+    """Buckets by the number of rows; a client of a share s gets a square grid of about s * partitions / 4 cells, as each side of
+    the grid repeats the other's rows."""
     n_sales, n_changes = sales.count(), changes.count()
     hot: dict[int, float] = {}
     for rows, n in ((sales, n_sales), (changes, n_changes)):
         for r in rows.filter("client_id IS NOT NULL").groupBy("client_id").count().filter(F.col("count") > max(n * HOT_SHARE, BUCKET_ROWS // 4)).collect():  # 1 / HOT_SHARE at most
             hot[r[0]] = max(hot.get(r[0], 0.0), r[1] / n)
-    sides = {c: int(np.clip(np.ceil(np.sqrt(s * partitions)), 2, 64)) for c, s in sorted(hot.items())}
+    sides = {c: int(np.clip(np.ceil(np.sqrt(s * partitions / 4)), 2, 64)) for c, s in sorted(hot.items())}
     return Layout(max(LEAST_BUCKETS, n_sales // BUCKET_ROWS), max(LEAST_BUCKETS, (n_sales + n_changes) // BUCKET_ROWS), {c: (k, k) for c, k in sides.items()})
 
 
@@ -288,6 +298,11 @@ def _move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} can't be moved to {target}")
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def _start(spark: SparkSession, root: str, plan: Layout, batch: int, before: int, horizon: int, watermark: int) -> None:
     """One start of the query: all that has been fed since the last one, as one micro-batch."""
     stream = lambda name: spark.readStream.schema(f"{_ROWS}, batch int").parquet(f"{root}/in/{name}")
@@ -310,12 +325,13 @@ def enrich(sales: DataFrame, changes: DataFrame, plan: Layout | None = None) ->
     own = spark.newSession()  # the stream's settings stay its own
     for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
         own.conf.set(name, spark.conf.get(name))
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    for name, value in SETTINGS.items():
+        own.conf.set(name, value)
     root = f"{shared_dir(spark)}/valid-time-{uuid.uuid4().hex}"
     changes = changes.distinct().filter("valid_at IS NOT NULL")
     plan = plan or layout(sales, changes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     for name, rows in zip(("sales", "changes"), _staged(spark, sales, changes, plan), strict=True):
-        rows.write.partitionBy("batch").parquet(f"{root}/staged/{name}")
+        rows.write.option("compression", "zstd").partitionBy("batch").parquet(f"{root}/staged/{name}")
     schema = f"{_ROWS}, batch int"
     marks = [_watermarks(_largest(spark.read.schema(schema).parquet(f"{root}/staged/{name}"))) for name in ("sales", "changes")]
     horizons = [min(pair) for pair in zip(*marks, strict=True)]
@@ -324,6 +340,9 @@ def enrich(sales: DataFrame, changes: DataFrame, plan: Layout | None = None) ->
             _move(spark, f"{root}/staged/{name}/batch={b}", f"{root}/in/{name}/batch={b}")
         last = b == BATCHES  # what waits leaves, and no change comes
         _start(own, root, plan, b, horizons[b - 1] if b else NONE, ALL if last else horizons[b], NONE if last else marks[1][b])
+        if b:  # a start looks at the last committed batch once more, not at those before
+            for name in ("sales", "changes"):
+                _drop(spark, f"{root}/in/{name}/batch={b - 1}")
     return merged(spark.read.schema(_ANSWERS).parquet(f"{root}/out"))
 
 

@@ -159,7 +159,7 @@ def test_stream_matches_brute_force(spark):
 def test_layout_and_empty_tables(spark, monkeypatch):
     sales, changes = (spark.createDataFrame(rows, schema) for rows, schema in zip(case(), ("sale_id long, client_id long, sold_at timestamp_ntz, arrived_at timestamp_ntz", CHANGES), strict=True))
     monkeypatch.setattr(v, "BUCKET_ROWS", 100)
-    plan = v.layout(sales, changes, 100)
+    plan = v.layout(sales, changes, 400)
     assert set(plan.hot) >= {7, 1, 2, 3} and plan.hot[7][0] > plan.hot[1][0] >= 2 and plan.gates == 16 and plan.buckets == 18
     staged = [f.filter(f.kind != v.TICK) for f in v._staged(spark, sales, changes, plan)]
     keys = staged[1].groupBy("id", "at", "seq").agg(F.count("*").alias("n"), F.sum(F.col("first").cast("int")).alias("firsts"), F.first("client").alias("client")).filter("id >= 0").collect()
