@@ -139,12 +139,16 @@ def _facts(docs: DataFrame, scratch: Scratch, window: int, gram: int) -> DataFra
 
     every = docs.mapInArrow(anchors, "anchor long, stretch long, name binary, place int")
     every = scratch.save(every, "anchors")
+    # Counts are written before they meet what they count: both sides of a join then come straight from an exchange, and
+    # adaptive execution can split the rows of a heavy key over tasks.
     counted = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("stretch").alias("first"), F.max("stretch").alias("last")).filter("n > 1")
-    met = scratch.save(every.join(counted.select("anchor", (F.col("first") != F.col("last")).alias("several")), "anchor"), "met")
-    scratch.drop("anchors")
+    counted = scratch.save(counted.select("anchor", (F.col("first") != F.col("last")).alias("several")), "counted")
+    met = scratch.save(every.join(counted, "anchor"), "met")
+    scratch.drop("anchors", "counted")
     mixed = met.filter("several")
     # Of the occurrences of one stretch, the least stands for all where windows are compared.
     shown = mixed.groupBy("anchor", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("name", "place")).alias("shown"))
+    shown = scratch.save(shown, "stretches")
     is_shown = F.struct("name", "place") == F.col("shown")
     state = F.when(F.col("n") == 1, OPEN).when(is_shown, SHOWN).otherwise(SETTLED)
     # Where a text's copies hold one stretch, each of their rows may be the shown one; facts of a text are kept once.
@@ -168,7 +172,7 @@ def _repeated_windows(known: DataFrame, scratch: Scratch, window: int, gram: int
     # Rows of one text show the same windows; one row of each text does.
     shown = known.filter("shows").select("name", "content", "facts").mapInArrow(show, "anchor long, window long, name binary, start int")
     shown = scratch.save(shown, "windows")
-    twice = shown.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window")
+    twice = scratch.save(shown.groupBy("anchor", "window").agg(F.count("*").alias("n")).filter("n > 1").select("anchor", "window"), "twice")
     return shown.join(twice, ["anchor", "window"]).groupBy("name").agg(F.collect_set("start").alias("windows"))
 
 
@@ -178,7 +182,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, k
     named = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("content"))
     named = named.withColumn("name", F.unhex(F.md5("content")))
     facts = scratch.save(_facts(named.select("name", "content"), scratch, window, gram), "facts")
-    scratch.drop("met")
+    scratch.drop("met", "stretches")
     schema = "n_words long, n_removed long, kept_sha256 string, spans array<struct<first:int,words:int>>"
 
     def result(column: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
@@ -210,7 +214,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, k
     first = known.filter(F.exists("facts", lambda f: f["state"] != SETTLED)).groupBy("name").agg(F.min("row").alias("row")).withColumn("shows", F.lit(True))
     shows = known.join(first.select("row", "shows"), "row")
     windows = scratch.save(_repeated_windows(shows, scratch, window, gram), "repeated")
-    scratch.drop("windows")
+    scratch.drop("windows", "twice")
     every = known.join(windows.hint("merge"), "name", "left").select("doc", "content", "facts", "windows")
     return every.mapInArrow(finish, f"doc {kind}, {schema}").withColumnRenamed("doc", key)
 
