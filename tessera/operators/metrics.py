@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import features
 from tessera.operators.lineage import cut
 from tessera.operators.ranking import running_sums
 
@@ -157,3 +158,29 @@ def misclassified(df: DataFrame, truth: str, predicted: str, order: Sequence[Col
     """Rows whose prediction is wrong (null counts as wrong), the first `most` of them in the order."""
     wrong = df.filter(~F.col(truth).eqNullSafe(F.col(predicted)))
     return wrong if most is None else wrong.orderBy(*order).limit(most)
+
+
+def area_grid(patches: DataFrame, truth: str, fire: str, smoke: str, fires: Sequence[float], smokes: Sequence[float], labels: Sequence[str] = ("fire", "smoke", "normal")) -> DataFrame:
+    """(fire_area, smoke_area, macro_f1, accuracy) of each pair of area thresholds; patches are decided by every pair in one
+    pass and counted before anything is shuffled."""
+    pairs = F.array(*(F.struct(F.lit(float(f)).alias("fire_area"), F.lit(float(s)).alias("smoke_area")) for f in fires for s in smokes))
+    tried = patches.select(F.col(truth).alias("truth"), F.col(fire).alias("fire"), F.col(smoke).alias("smoke"), F.explode(pairs).alias("pair")).select("truth", "fire", "smoke", "pair.*")
+    decided = tried.withColumn("predicted", features.patch_decision(F.col("fire"), F.col("smoke"), F.col("fire_area"), F.col("smoke_area")))
+    count = lambda c: F.sum(c.cast("long")).cast("double")
+    parts = []
+    for label in labels:
+        is_true, is_given = F.col("truth") == label, F.col("predicted") == label
+        parts.append((count(is_true & is_given), count(is_true), count(is_given)))
+    f1 = sum((ratio(2 * hit, support + given) for hit, support, given in parts), F.lit(0.0)) / len(labels)
+    return decided.groupBy("fire_area", "smoke_area").agg(F.round(f1, 9).alias("macro_f1"), F.round(count(F.col("truth") == F.col("predicted")) / F.count("*"), 9).alias("accuracy"))
+
+
+def best_areas(grid: DataFrame) -> DataFrame:
+    """The pair with the best macro F1, then accuracy, then the larger sum, then the larger lesser one; of equals the first."""
+    total, lesser = F.col("fire_area") + F.col("smoke_area"), F.least("fire_area", "smoke_area")
+    return best(grid, [F.desc("macro_f1"), F.desc("accuracy"), total.desc(), lesser.desc(), F.asc("fire_area"), F.asc("smoke_area")])
+
+
+def calibration(errors: DataFrame, error: str = "error", least: int = 10) -> DataFrame:
+    """(views, mean_error, largest_error, usable): a calibration needs so many views."""
+    return errors.agg(F.count(error).alias("views"), F.avg(error).alias("mean_error"), F.max(error).alias("largest_error"), (F.count(error) >= least).alias("usable"))

@@ -45,6 +45,30 @@ def patch_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share.select("l_orderkey", features.patch_decision(F.col("fire"), F.col("smoke"), F.lit(0.5), F.lit(0.5)).alias("decision"))
 
 
+FIRES, SMOKES = (0.25, 0.5, 0.75), (0.3, 0.5, 0.8)
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same patches, each of a class that its order's key tells, under all pairs of area thresholds."""
+    share = rgb(spark, sf_dir).groupBy("l_orderkey").agg(F.avg((F.col("r") > 128).cast("int")).alias("fire"), F.avg((F.abs(F.col("r") - F.col("g")) < 64).cast("int")).alias("smoke"))
+    kind = F.element_at(F.array(F.lit("fire"), F.lit("smoke"), F.lit("normal")), (F.col("l_orderkey") % 3 + 1).cast("int"))
+    return metrics.area_grid(share.withColumn("truth", kind), "truth", "fire", "smoke", FIRES, SMOKES)
+
+
+def area_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _areas(spark, sf_dir)
+
+
+def best_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.best_areas(_areas(spark, sf_dir)).select("fire_area", "smoke_area", "macro_f1", "accuracy")
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views are labels of embeddings; ten of them make a calibration usable."""
+    found = metrics.calibration(reprojection_error(spark, sf_dir))
+    return found.withColumns({c: F.round(c, 6) for c in ("mean_error", "largest_error")})
+
+
 def histogram_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.histogram(rgb(spark, sf_dir), "r", 16, 0.0, 256.0, ["kind"]).select("kind", F.col("bin").cast("long").alias("bin"), F.round("share", 6).alias("share"))
 
@@ -180,11 +204,22 @@ _FL = "f AS (SELECT label::BIGINT AS label, embedding[1]::DOUBLE * 10 AS u, embe
 QUERIES = {
     f.__name__: f
     for f in (
-        pixel_channels, quantile_thresholds, vote_rules, patch_decisions, histogram_norm, channel_stats, standard_scale, circular_flow_stats, mask_overlap, reprojection_error,
+        pixel_channels, quantile_thresholds, vote_rules, patch_decisions, area_grid, best_areas, calibration, histogram_norm, channel_stats, standard_scale, circular_flow_stats, mask_overlap, reprojection_error,
         phash_udf, lbp_hist, texture_features, morph_open, sort_tracker, kalman_smooth, rf_grid, gbt_ovr, svm_grid, known_confusions,
     )
 }
+_VALUES = lambda name, values: "(VALUES " + ", ".join(f"({x}::DOUBLE)" for x in values) + f") {name}({name}_area)"
+_AREAS = f"""WITH {_R}, s AS (SELECT l_orderkey, avg((r > 128)::INT) AS fire, avg((abs(r - g) < 64)::INT) AS smoke FROM p GROUP BY 1),
+t AS (SELECT *, CASE l_orderkey % 3 WHEN 0 THEN 'fire' WHEN 1 THEN 'smoke' ELSE 'normal' END AS truth FROM s),
+d AS (SELECT fire_area, smoke_area, truth, CASE WHEN t.fire >= fire_area AND (t.smoke < smoke_area OR t.fire / fire_area >= t.smoke / smoke_area) THEN 'fire' WHEN t.smoke >= smoke_area THEN 'smoke' ELSE 'normal' END AS predicted FROM t, {_VALUES("fire", FIRES)}, {_VALUES("smoke", SMOKES)}),
+c AS (SELECT fire_area, smoke_area, label, count(*) FILTER (truth = label AND predicted = label) AS hit, count(*) FILTER (truth = label) + count(*) FILTER (predicted = label) AS held FROM d, (VALUES ('fire'), ('smoke'), ('normal')) l(label) GROUP BY 1, 2, 3),
+m AS (SELECT fire_area, smoke_area, round(sum(CASE WHEN held > 0 THEN 2 * hit / held::DOUBLE ELSE 0 END) / 3, 9) AS macro_f1 FROM c GROUP BY 1, 2),
+a AS (SELECT fire_area, smoke_area, round(avg((truth = predicted)::INT), 9) AS accuracy FROM d GROUP BY 1, 2), g AS (SELECT * FROM m JOIN a USING (fire_area, smoke_area))"""
+_ERRORS = f"WITH {_FL}, e AS (SELECT label, round(sqrt(sum((u - x) * (u - x) + (v - y) * (v - y))) / count(*), 6) AS error FROM f GROUP BY label)"
 ORACLES = {
+    "area_grid": f"{_AREAS} SELECT * FROM g",
+    "best_areas": f"{_AREAS} SELECT * FROM g ORDER BY macro_f1 DESC, accuracy DESC, fire_area + smoke_area DESC, least(fire_area, smoke_area) DESC, fire_area, smoke_area LIMIT 1",
+    "calibration": f"{_ERRORS} SELECT count(error) AS views, round(avg(error), 6) AS mean_error, round(max(error), 6) AS largest_error, count(error) >= 10 AS usable FROM e",
     "pixel_channels": f"""WITH {_R}, a AS (SELECT *, greatest(r, g, b) AS hi, greatest(r, g, b) - least(r, g, b) AS sp, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS luma FROM p),
 h AS (SELECT *, CASE WHEN sp = 0 THEN 0 WHEN hi = r THEN 60 * (g - b) / sp WHEN hi = g THEN 120 + 60 * (b - r) / sp ELSE 240 + 60 * (r - g) / sp END AS hue0 FROM a)
 SELECT l_orderkey, l_linenumber, (round_even(CASE WHEN hue0 < 0 THEN hue0 + 360 ELSE hue0 END / 2, 0) % 180)::DOUBLE AS hue, CASE WHEN hi = 0 THEN 0 ELSE round_even(255::DOUBLE * sp / hi, 0) END::DOUBLE AS saturation, hi AS value,

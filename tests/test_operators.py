@@ -244,3 +244,17 @@ def test_smoothing_at_its_ends(spark):
     smoothed = lambda alpha: [r.smoothed for r in temporal.with_smoothed(rows, ["k"], "f", "v", "o", alpha).orderBy("f").collect()]
     assert smoothed(0.0) == [None, 0.9, 0.9, 0.9, 0.9] and smoothed(1.0) == [None, 0.9, 0.1, 0.1, 0.5]
     assert smoothed(0.01)[4] == pytest.approx(0.01 * 0.5 + 0.99 * (0.01 * 0.1 + 0.99 * 0.9))
+
+
+def test_best_areas_by_four_keys(spark):
+    schema = "fire_area double, smoke_area double, macro_f1 double, accuracy double"
+    chosen = lambda *rows: tuple(metrics.best_areas(spark.createDataFrame(list(rows), schema)).first())[:2]
+    assert chosen((0.1, 0.1, 0.5, 0.9), (0.2, 0.2, 0.6, 0.1)) == (0.2, 0.2)
+    assert chosen((0.1, 0.1, 0.5, 0.9), (0.2, 0.2, 0.5, 0.8)) == (0.1, 0.1)
+    assert chosen((0.1, 0.4, 0.5, 0.9), (0.25, 0.25, 0.5, 0.9), (0.2, 0.3, 0.5, 0.9), (0.1, 0.2, 0.5, 0.9)) == (0.25, 0.25)
+    assert chosen((0.75, 0.25, 0.5, 0.9), (0.25, 0.75, 0.5, 0.9)) == (0.25, 0.75)
+
+
+def test_calibration_needs_ten_views(spark):
+    views = lambda n: spark.createDataFrame([(i, float(i)) for i in range(n)], "view long, error double")
+    assert tuple(metrics.calibration(views(10)).first()) == (10, 4.5, 9.0, True) and not metrics.calibration(views(9)).first().usable
