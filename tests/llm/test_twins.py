@@ -3,7 +3,6 @@
 from pathlib import Path
 
 import duckdb
-import pandas as pd
 import pytest
 
 from tessera.llm import registry
@@ -20,11 +19,13 @@ def compare(spark, folder, name):
         if not path.exists():
             continue
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{path / '*.parquet' if path.is_dir() else path}'")
-    got, want = registry.QUERIES[name](spark, folder).toPandas(), con.sql(registry.ORACLES[name]).df()
-    columns = sorted(want.columns)
-    assert sorted(got.columns) == columns
-    plain = lambda frame: sorted(repr([None if pd.isna(x) else x.item() if hasattr(x, "item") else x for x in r]) for r in frame[columns].astype(object).itertuples(index=False, name=None))
-    assert plain(got) == plain(want)
+    twin = con.execute(registry.ORACLES[name])
+    columns = sorted(c[0] for c in twin.description)
+    order = [[c[0] for c in twin.description].index(c) for c in columns]
+    want = [tuple(r[i] for i in order) for r in twin.fetchall()]
+    frame = registry.QUERIES[name](spark, folder)
+    assert sorted(frame.columns) == columns
+    assert sorted(map(repr, map(tuple, frame.select(columns).collect()))) == sorted(map(repr, want))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
