@@ -42,7 +42,9 @@ def fourier_features(column: str, size: int, out: int, gamma: float, seed: int =
 
 
 def kernel_features(df: DataFrame, column: str, size: int, out: int = 128, gamma: float | str = "scale", seed: int = 42) -> DataFrame:
-    """The array column replaced by its cosine features; gamma "scale" is one over its length times its variance."""
+    """The array column replaced by its cosine features; gamma "scale" is one over its length times its variance.
+
+    Columns that a kernel is to see alike are standardised before; kernel.RbfMachine does so by itself."""
     if gamma in ("scale", "auto"):
         spread = 1.0
         if gamma == "scale":
@@ -75,10 +77,11 @@ def prepared(df: DataFrame, features: str, label: str, labels: Sequence) -> Data
     return joined.select(array_to_vector(F.col(features).cast("array<double>")).alias("raw"), F.col(label).cast("double").alias("label"), F.col("weight"))
 
 
-def grid_search(train: DataFrame, validation: DataFrame, make: Callable[..., Estimator], grid: Mapping[str, Sequence], labels: Sequence) -> tuple[DataFrame, object]:
+def grid_search(train: DataFrame, validation: DataFrame, make: Callable, grid: Mapping[str, Sequence], labels: Sequence) -> tuple[DataFrame, object]:
     """(trials, best model): a row for each combination with macro F1 and accuracy on the validation rows.
 
-    The choice never sees other rows; an empty validation table is an error. Equal scores keep the earlier combination.
+    make gives an MLlib estimator, which is fitted on standardised features, or anything with fit (kernel.RbfMachine,
+    extra_trees.ExtraTrees), which is given the raw ones. The choice never sees other rows; an empty validation table is an error. Equal scores keep the earlier combination.
     """
     if validation.isEmpty():
         raise ValueError("selection needs validation rows")
@@ -86,7 +89,10 @@ def grid_search(train: DataFrame, validation: DataFrame, make: Callable[..., Est
     rows, best_model, best = [], None, None
     for i, values in enumerate(product(*grid.values())):
         options = dict(zip(grid, values, strict=True))
-        model = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), make(**options)]).fit(train)
+        made = make(**options)
+        if isinstance(made, Estimator):
+            made = Pipeline(stages=[StandardScaler(inputCol="raw", outputCol="features", withMean=True), made])
+        model = made.fit(train)
         scored = model.transform(validation).select(F.col("label").cast("long").alias("truth"), F.col("prediction").cast("long").alias("predicted"))
         result = metrics.summary(metrics.confusion(scored, "truth", "predicted", [int(x) for x in labels])).first()
         rows.append((i, str(options), result.macro_f1, result.accuracy))

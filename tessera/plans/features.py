@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import pixels
-from tessera.operators import features, metrics, models, tracking
+from tessera.operators import extra_trees, features, kernel, metrics, models, tracking
 from tessera.session import table
 
 RGB = {"r": "(l_partkey * 7 + l_linenumber * 31) % 256", "g": "(l_suppkey * 13 + l_linenumber * 5) % 256", "b": "(l_orderkey * 3) % 256"}
@@ -154,10 +154,8 @@ def kalman_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("stream", "frame_index", F.round("x1", 4).alias("x1"), F.round("x2", 4).alias("x2"))
 
 
-def _learning(spark: SparkSession, sf_dir: str, kernel: bool = False) -> tuple[DataFrame, DataFrame]:
+def _learning(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), (F.col("label") % 3).alias("label"))
-    if kernel:
-        rows = models.kernel_features(rows, "embedding", 64)
     ready = lambda part: models.prepared(rows.filter(part), "embedding", "label", [0, 1, 2])
     return ready("vec_id % 4 != 0"), ready("vec_id % 4 = 0")
 
@@ -171,8 +169,12 @@ def gbt_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def svm_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A linear machine on cosine features of the RBF kernel, gamma by scale."""
-    return models.grid_search(*_learning(spark, sf_dir, True), models.linear_machine, {"c": [1.0, 10.0]}, [0, 1, 2])[0]
+    """RBF machines over at most 64 landmarks, gamma by scale."""
+    return models.grid_search(*_learning(spark, sf_dir), lambda c: kernel.RbfMachine(c, landmarks=64), {"c": [1.0, 10.0]}, [0, 1, 2])[0]
+
+
+def et_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.grid_search(*_learning(spark, sf_dir), extra_trees.ExtraTrees, {"trees": [10, 20], "depth": [4, 8]}, [0, 1, 2])[0]
 
 
 def known_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +207,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pixel_channels, quantile_thresholds, vote_rules, patch_decisions, area_grid, best_areas, calibration, histogram_norm, channel_stats, standard_scale, circular_flow_stats, mask_overlap, reprojection_error,
-        phash_udf, lbp_hist, texture_features, morph_open, sort_tracker, kalman_smooth, rf_grid, gbt_ovr, svm_grid, known_confusions,
+        phash_udf, lbp_hist, texture_features, morph_open, sort_tracker, kalman_smooth, rf_grid, gbt_ovr, svm_grid, et_grid, known_confusions,
     )
 }
 _VALUES = lambda name, values: "(VALUES " + ", ".join(f"({x}::DOUBLE)" for x in values) + f") {name}({name}_area)"

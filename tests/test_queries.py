@@ -7,7 +7,7 @@ import pytest
 from tessera.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations".split()
-SLOW = {"rf_grid", "gbt_ovr", "svm_grid"}
+SLOW = {"rf_grid", "gbt_ovr", "svm_grid", "et_grid"}
 
 
 @pytest.fixture(scope="session")
@@ -35,8 +35,9 @@ def test_gives_rows(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 
 
-def test_model_grid(spark, sf):
-    trials = catalogue.QUERIES["rf_grid"](spark, sf).collect()
+@pytest.mark.parametrize("name", ["rf_grid", "et_grid"])
+def test_model_grid(spark, sf, name):
+    trials = catalogue.QUERIES[name](spark, sf).collect()
     assert len(trials) == 4 and all(0 <= t.macro_f1 <= 1 for t in trials)
 
 
