@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.boxes import clamp_to_frame
 from tessera.operators import temporal
 
 
@@ -82,12 +83,16 @@ def flow_statistics(df: DataFrame, u: str, v: str, keys: Sequence[str], moving_f
     )
 
 
-def region_motion(pixels: DataFrame, boxes: DataFrame, keys: Sequence[str], box: str, u: str = "u", v: str = "v", foreground: str = "foreground", moving_from: float = 1.0, most: float = 5.0) -> DataFrame:
+def region_motion(pixels: DataFrame, boxes: DataFrame, keys: Sequence[str], box: str, u: str = "u", v: str = "v", foreground: str = "foreground", moving_from: float = 1.0, most: float = 5.0, size: tuple[int, int] | None = None) -> DataFrame:
     """Motion evidence of each box: (keys, box, mean_magnitude, moving_ratio, upward_ratio, foreground_ratio, dx, dy, score).
 
     pixels: keys, x, y, flow and a boolean foreground; boxes: keys, box and whole-pixel corners x1, y1, x2, y2, the latter
-    two outside. An equi-join on the keys (a frame), filtered by place; boxes without pixels have zeros.
+    two outside. With the frame's size (width, height) corners may be any numbers: they are rounded half to even and held inside.
+    An equi-join on the keys (a frame), filtered by place; boxes without pixels have zeros.
     """
+    if size is not None:
+        corners = clamp_to_frame(F.struct("x1", "y1", "x2", "y2"), *map(F.lit, size))
+        boxes = boxes.withColumn("_corners", corners).withColumns({c: F.col("_corners")[c] for c in ("x1", "y1", "x2", "y2")}).drop("_corners")
     found = boxes.join(pixels, list(keys), "left").withColumn("_in", (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2")))
     inside = F.coalesce(F.col("_in"), F.lit(False))
     magnitude = F.sqrt(F.col(u) * F.col(u) + F.col(v) * F.col(v))

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import boxes, pixels
-from tessera.operators import metrics, nearness, ranking, split, temporal, tracking
+from tessera.operators import features, metrics, nearness, ranking, split, temporal, tracking
 from tessera.sources import config, io
 from tessera.streaming.fusion import Fusion
 
@@ -258,3 +258,14 @@ def test_best_areas_by_four_keys(spark):
 def test_calibration_needs_ten_views(spark):
     views = lambda n: spark.createDataFrame([(i, float(i)) for i in range(n)], "view long, error double")
     assert tuple(metrics.calibration(views(10)).first()) == (10, 4.5, 9.0, True) and not metrics.calibration(views(9)).first().usable
+
+
+def test_motion_of_boxes_that_leave_the_frame(spark):
+    """Corners are rounded half to even and clamped; a box outside has zeros."""
+    pixels = spark.range(60).selectExpr("0 AS frame", "id % 10 AS x", "floor(id / 10) AS y", "double(id % 10) AS u", "-double(id % 3) AS v", "id % 2 = 0 AS foreground")
+    boxes_of = lambda rows: spark.createDataFrame(rows, "frame int, box int, x1 double, y1 double, x2 double, y2 double")
+    loose = boxes_of([(0, 0, -4.2, -1.0, 2.5, 3.5), (0, 1, 2.5, 1.5, 99.0, 99.0), (0, 2, 20.0, 20.0, 30.0, 30.0)])
+    whole = boxes_of([(0, 0, 0.0, 0.0, 2.0, 4.0), (0, 1, 2.0, 2.0, 10.0, 6.0), (0, 2, 10.0, 6.0, 10.0, 6.0)])
+    got = features.region_motion(pixels, loose, ["frame"], "box", size=(10, 6)).orderBy("box").collect()
+    assert got == features.region_motion(pixels, whole, ["frame"], "box").orderBy("box").collect()
+    assert got[0].mean_magnitude > 0 and got[2].score == 0
