@@ -81,7 +81,7 @@ def grid_search(train: DataFrame, validation: DataFrame, make: Callable, grid: M
     """(trials, best model): a row for each combination with macro F1 and accuracy on the validation rows.
 
     make gives an MLlib estimator, which is fitted on standardised features, or anything with fit (kernel.RbfMachine,
-    extra_trees.ExtraTrees), which is given the raw ones. The choice never sees other rows; an empty validation table is an error. Equal scores keep the earlier combination.
+    extra_trees.ExtraTrees, boosting.Boosted), which is given the raw ones. The choice never sees other rows; an empty validation table is an error. Equal scores keep the earlier combination.
     """
     if validation.isEmpty():
         raise ValueError("selection needs validation rows")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import pixels
-from tessera.operators import extra_trees, features, kernel, metrics, models, tracking
+from tessera.operators import boosting, extra_trees, features, kernel, metrics, models, tracking
 from tessera.session import table
 
 RGB = {"r": "(l_partkey * 7 + l_linenumber * 31) % 256", "g": "(l_suppkey * 13 + l_linenumber * 5) % 256", "b": "(l_orderkey * 3) % 256"}
@@ -177,6 +177,11 @@ def et_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.grid_search(*_learning(spark, sf_dir), extra_trees.ExtraTrees, {"trees": [10, 20], "depth": [4, 8]}, [0, 1, 2])[0]
 
 
+def leaf_boost_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf-wise boosting, all classes in one softmax."""
+    return models.grid_search(*_learning(spark, sf_dir), lambda depth: boosting.Boosted(rounds=3, depth=depth), {"depth": [3, 6]}, [0, 1, 2])[0]
+
+
 def known_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro F1 of fixed confusion tables."""
     rows = [(name, t, p, n) for name, m in KNOWN.items() for t, own in enumerate(m) for p, n in enumerate(own)]
@@ -207,7 +212,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pixel_channels, quantile_thresholds, vote_rules, patch_decisions, area_grid, best_areas, calibration, histogram_norm, channel_stats, standard_scale, circular_flow_stats, mask_overlap, reprojection_error,
-        phash_udf, lbp_hist, texture_features, morph_open, sort_tracker, kalman_smooth, rf_grid, gbt_ovr, svm_grid, et_grid, known_confusions,
+        phash_udf, lbp_hist, texture_features, morph_open, sort_tracker, kalman_smooth, rf_grid, gbt_ovr, svm_grid, et_grid, leaf_boost_grid, known_confusions,
     )
 }
 _VALUES = lambda name, values: "(VALUES " + ", ".join(f"({x}::DOUBLE)" for x in values) + f") {name}({name}_area)"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from tessera.operators import extra_trees, kernel, models
+from tessera.operators import boosting, extra_trees, kernel, models
 
 
 def table(spark, n=240, seed=1, features=4):
@@ -153,3 +153,69 @@ def test_trees_without_end(spark):
         extra_trees.ExtraTrees().fit(train.filter(F.lit(False)))
     constant = spark.createDataFrame([([1.0, 1.0], float(i % 2)) for i in range(6)], "x array<double>, label double").select(array_to_vector("x").alias("raw"), "label")
     assert [t.feature for t in extra_trees.ExtraTrees(trees=1).fit(constant).trees] == [[-1]]
+
+
+def alone(x, y, bounds, rounds, leaves, depth, rate, least, l2, classes=3):
+    """Boosted scores, a split at a time over all thresholds; missing values go right."""
+    scores = np.tile(np.log(np.bincount(y, minlength=classes) / len(y)), (len(y), 1))
+    for _ in range(rounds):
+        p = np.exp(scores) / np.exp(scores).sum(1, keepdims=True)
+        step = np.zeros_like(scores)
+        for k in range(classes):
+            g, h = p[:, k] - (y == k), p[:, k] * (1 - p[:, k]) * classes / (classes - 1)
+            whole = lambda part: g[part].sum() ** 2 / max(h[part].sum() + l2, 1e-12)  # noqa: B023, E731
+
+            def best(part):
+                found = (0.0, None, None)
+                for f in range(x.shape[1]):
+                    for t in bounds[f]:
+                        left, right = part[x[part, f] <= t], part[~(x[part, f] <= t)]
+                        if min(len(left), len(right)) >= least and min(h[left].sum(), h[right].sum()) >= 1e-3:  # noqa: B023
+                            gain = whole(left) + whole(right) - whole(part)  # noqa: B023
+                            if gain > found[0] + 1e-9:
+                                found = (gain, left, right)
+                return found
+
+            held = [(np.arange(len(y)), 0, best(np.arange(len(y))))]
+            while leaves is None or len(held) < leaves:
+                able = [i for i, (_, level, b) in enumerate(held) if b[0] > 0 and (depth is None or level < depth)]
+                if not able:
+                    break
+                _, level, (_, left, right) = held.pop(max(able, key=lambda i: held[i][2][0]))
+                held += [(part, level + 1, best(part)) for part in (left, right)]
+            for part, _, _ in held:
+                step[part, k] = -g[part].sum() / (h[part].sum() + l2) * rate
+        scores += step
+    return scores
+
+
+@pytest.mark.parametrize(("leaves", "depth", "l2"), [(6, None, 0.0), (None, 2, 1.0), (5, 3, 0.5)])
+def test_boosting_is_as_grown_alone(spark, leaves, depth, l2):
+    _, _, train = table(spark, 160)
+    seen = train.select("raw", "label").collect()
+    x, y = np.array([r.raw.toArray() for r in seen]), np.array([int(r.label) for r in seen])
+    made = boosting.Boosted(rounds=3, leaves=leaves, depth=depth, rate=0.3, least_rows=5, l2=l2, every=2)
+    model = made.fit(train)
+    np.testing.assert_allclose(model.scores(x), alone(x, y, model.bounds, 3, leaves, depth, 0.3, 5, l2), atol=1e-6)
+    again = made.fit(train.repartition(5))
+    np.testing.assert_array_equal(again.scores(x), model.scores(x))
+    for trees in model.rounds:
+        for tree in trees:
+            assert sum(f < 0 for f in tree.feature) <= (leaves or 2**depth)
+            assert depth is None or max(tree.name).bit_length() <= depth + 1
+
+
+def test_boosting_learns_and_keeps_to_its_edges(spark):
+    x, _, train = table(spark, 240)
+    rows = boosting.Boosted(rounds=20, leaves=8, rate=0.3, least_rows=3).fit(train).transform(train).select("label", "prediction", "probability").collect()
+    assert sum(r.label == r.prediction for r in rows) > 0.95 * len(rows)
+    assert all(abs(sum(r.probability) - 1) < 1e-9 for r in rows)
+    one = boosting.Boosted(rounds=4).fit(train.filter("label = 1"))
+    assert len(one.rounds) == 1 and [r.prediction for r in one.transform(train).limit(3).collect()] == [1.0] * 3
+    gaps = spark.createDataFrame([([float("nan") if i % 2 else float(i % 3), 1.0], float(i % 2)) for i in range(60)], "x array<double>, label double").select(array_to_vector("x").alias("raw"), "label")
+    filled = boosting.Boosted(rounds=5, least_rows=1).fit(gaps).transform(gaps).collect()
+    assert all(r.label == r.prediction for r in filled)
+    with pytest.raises(ValueError):
+        boosting.Boosted().fit(train.filter(F.lit(False)))
+    with pytest.raises(ValueError):
+        boosting.Boosted(leaves=None).fit(train)
