@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.lineage import cut
 
+_WIDTH = 1 << 15  # names of cells leave room for any bin
+_PENDING = 1 << 20  # cells that a task holds before it adds them up
 _SPLIT = "tree int, node int, feature int, gain double, bin int, g double, h double, n long"
 
 
@@ -64,6 +66,29 @@ def binned(x: np.ndarray, bounds: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+class _Cells:
+    """Sums by name, kept as sorted arrays; what comes in is added up once it is long enough."""
+
+    def __init__(self):
+        self.parts, self.size, self.kept = [], 0, 0
+
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        if self.size - self.kept >= max(_PENDING, self.kept):
+            self.parts = [self.merged()]
+            self.size = self.kept = len(self.parts[0][0])
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        if not self.parts:
+            return (np.empty(0, np.int64),) * 4
+        names, *values = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.argsort(names, kind="stable")
+        names = names[order]
+        first = np.flatnonzero(np.r_[True, np.diff(names) != 0]) if len(names) else np.empty(0, int)
+        return (names[first], *(np.add.reduceat(v[order], first) if len(first) else v for v in values))
+
+
 def softmax(scores: np.ndarray) -> np.ndarray:
     raised = np.exp(scores - scores.max(1, keepdims=True))
     return raised / raised.sum(1, keepdims=True)
@@ -204,48 +229,55 @@ class Boosted:
     def _best(self, base: DataFrame, recent: list, trials: list[Tree], fresh: set, features: int, classes: int, scale: float) -> dict:
         """(gain, feature, bin, g, h, n) of each fresh leaf; gain 0 where no split is allowed."""
         wanted = [np.array(sorted(n for t, n in fresh if t == k), int) for k in range(classes)]
+        before = np.concatenate([[0], np.cumsum([len(nodes) for nodes in wanted])])
+        owner, own_node = np.repeat(np.arange(classes), np.diff(before)), np.concatenate(wanted)
         least_rows, least_curvature, l2 = self.least_rows, self.least_curvature, self.l2
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict = {}
+            held = _Cells()
             for b in batches:
                 if not len(b):
                     continue
                 bins, y = np.array(b["bins"].tolist(), np.int64).reshape(len(b), features), b["y"].to_numpy()
-                likely, width = softmax(_scores(b, recent, features, classes)), int(bins.max()) + 1
+                likely = softmax(_scores(b, recent, features, classes))
                 for k, nodes in enumerate(wanted):
                     if not len(nodes):
                         continue
                     at, p = trials[k].places(bins), likely[:, k]
-                    slot = np.searchsorted(nodes, at)
-                    inside = (slot < len(nodes)) & (nodes[np.minimum(slot, len(nodes) - 1)] == at)
-                    g = np.rint((p - (y == k)) * scale).astype(np.int64)[inside]
-                    h = np.rint(p * (1 - p) * (classes / max(classes - 1, 1)) * scale).astype(np.int64)[inside]
-                    for f in range(features):
-                        cells = slot[inside] * width + bins[inside, f]
-                        order = np.argsort(cells, kind="stable")
-                        names, first = np.unique(cells[order], return_index=True)
-                        if not len(names):
-                            continue
-                        sums = [np.add.reduceat(v[order], first) for v in (g, h, np.ones(len(g), np.int64))]
-                        for name, *three in zip(names.tolist(), *(s.tolist() for s in sums), strict=True):
-                            key = (k, int(nodes[name // width]), f, name % width)
-                            old = held.get(key)
-                            held[key] = three if old is None else [a + c for a, c in zip(old, three, strict=True)]
-            yield pd.DataFrame([(*key, *three) for key, three in held.items()], columns=["tree", "node", "feature", "bin", "g", "h", "n"])
+                    rows = np.flatnonzero(np.isin(at, nodes))
+                    g = np.rint((p - (y == k)) * scale).astype(np.int64)[rows]
+                    h = np.rint(p * (1 - p) * (classes / max(classes - 1, 1)) * scale).astype(np.int64)[rows]
+                    leaf = before[k] + np.searchsorted(nodes, at[rows])
+                    step = max(1, _PENDING // max(len(rows), 1))
+                    for low in range(0, features, step):
+                        some = np.arange(low, min(low + step, features))
+                        names = (leaf[:, None] * features + some) * _WIDTH + bins[np.ix_(rows, some)]
+                        held.add(names.ravel(), *(np.repeat(v, len(some)) for v in (g, h, np.ones(len(g), np.int64))))
+            names, *sums = held.merged()
+            place, feature = names // _WIDTH // features, names // _WIDTH % features
+            columns = (owner[place], own_node[place], feature, names % _WIDTH, *sums) if len(names) else ([],) * 7
+            yield pd.DataFrame(dict(zip(("tree", "node", "feature", "bin", "g", "h", "n"), columns, strict=True)))
 
         def choose(cells: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for (tree, node), own in cells.sort_values("bin").groupby(["tree", "node"]):
-                g, h, n = (own[c].to_numpy(np.int64) for c in ("g", "h", "n"))
-                gs, hs, ns = np.cumsum(g), np.cumsum(h), np.cumsum(n)
-                whole = lambda a, b: (a / scale) ** 2 / np.maximum(b / scale + l2, 1e-12)
-                gain = whole(gs, hs) + whole(gs[-1] - gs, hs[-1] - hs) - whole(gs[-1], hs[-1])
-                fits = (np.minimum(ns, ns[-1] - ns) >= max(least_rows, 1)) & (np.minimum(hs, hs[-1] - hs) / scale >= least_curvature)
-                gain = np.where(fits, np.round(gain, 12), 0.0)
-                best = int(np.argmax(gain))
-                out.append((tree, node, own["feature"].iloc[0], gain[best], own["bin"].iloc[best], gs[-1] / scale, hs[-1] / scale, ns[-1]))
-            return pd.DataFrame(out, columns=["tree", "node", "feature", "gain", "bin", "g", "h", "n"])
+            """The best bin of each leaf; sums run over all leaves at once, less what stood before the leaf."""
+            cells = cells.sort_values(["tree", "node", "bin"])
+            tree, node, edge = (cells[c].to_numpy() for c in ("tree", "node", "bin"))
+            first = np.flatnonzero(np.r_[True, (np.diff(tree) != 0) | (np.diff(node) != 0)])
+            size = np.diff(np.r_[first, len(cells)])
+            below, whole = [], []
+            for c in ("g", "h", "n"):
+                v = cells[c].to_numpy(np.int64)
+                run = np.cumsum(v)
+                below.append(run - np.repeat(run[first] - v[first], size))
+                whole.append(np.add.reduceat(v, first))
+            (gs, hs, ns), (g, h, n) = below, [np.repeat(v, size) for v in whole]
+            score = lambda a, b: (a / scale) ** 2 / np.maximum(b / scale + l2, 1e-12)
+            gain = score(gs, hs) + score(g - gs, h - hs) - score(g, h)
+            fits = (np.minimum(ns, n - ns) >= max(least_rows, 1)) & (np.minimum(hs, h - hs) / scale >= least_curvature)
+            gain = np.where(fits, np.round(gain, 12), 0.0)
+            at = np.lexsort((edge, -gain, np.repeat(np.arange(len(first)), size)))[first]
+            out = {"tree": tree[at], "node": node[at], "feature": cells["feature"].iloc[0], "gain": gain[at], "bin": edge[at], "g": whole[0] / scale, "h": whole[1] / scale, "n": whole[2]}
+            return pd.DataFrame(out)
 
         parts = base.mapInPandas(scan, "tree int, node int, feature int, bin int, g long, h long, n long")
         keys = ["tree", "node", "feature", "bin"]

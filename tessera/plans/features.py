@@ -179,7 +179,7 @@ def et_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leaf_boost_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf-wise boosting, all classes in one softmax."""
-    return models.grid_search(*_learning(spark, sf_dir), lambda depth: boosting.Boosted(rounds=3, depth=depth), {"depth": [3, 6]}, [0, 1, 2])[0]
+    return models.grid_search(*_learning(spark, sf_dir), lambda depth: boosting.Boosted(rounds=3, leaves=8, depth=depth), {"depth": [3, 6]}, [0, 1, 2])[0]
 
 
 def known_confusions(spark: SparkSession, sf_dir: str) -> DataFrame:

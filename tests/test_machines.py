@@ -207,8 +207,8 @@ def test_boosting_is_as_grown_alone(spark, leaves, depth, l2):
 
 def test_boosting_learns_and_keeps_to_its_edges(spark):
     x, _, train = table(spark, 240)
-    rows = boosting.Boosted(rounds=20, leaves=8, rate=0.3, least_rows=3).fit(train).transform(train).select("label", "prediction", "probability").collect()
-    assert sum(r.label == r.prediction for r in rows) > 0.95 * len(rows)
+    rows = boosting.Boosted(rounds=8, leaves=8, rate=0.5, least_rows=3).fit(train).transform(train).select("label", "prediction", "probability").collect()
+    assert sum(r.label == r.prediction for r in rows) > 0.9 * len(rows)
     assert all(abs(sum(r.probability) - 1) < 1e-9 for r in rows)
     one = boosting.Boosted(rounds=4).fit(train.filter("label = 1"))
     assert len(one.rounds) == 1 and [r.prediction for r in one.transform(train).limit(3).collect()] == [1.0] * 3

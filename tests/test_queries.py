@@ -7,7 +7,7 @@ import pytest
 from tessera.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings labels conversations".split()
-SLOW = {"rf_grid", "gbt_ovr", "svm_grid", "et_grid"}
+SLOW = {"rf_grid", "gbt_ovr", "svm_grid", "et_grid", "leaf_boost_grid"}
 
 
 @pytest.fixture(scope="session")
