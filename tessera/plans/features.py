@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import pixels
+from tessera.functions import patches, pixels
 from tessera.operators import boosting, extra_trees, features, kernel, metrics, models, tracking
 from tessera.session import table
 
@@ -134,6 +134,19 @@ def morph_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opened.select("p_partkey", pixels.region_statistics("data", "height", "width").alias("r")).select("p_partkey", "r.*")
 
 
+def text_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as patches: their bytes are the colours of rows of 16 pixels, the last row filled up with zeros."""
+    raw = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("raw"))
+    height = F.ceil(F.octet_length("raw") / 48).cast("int")
+    return raw.select("doc_id", F.rpad("raw", height * 48, F.lit(b"\x00")).alias("data"), height.alias("height"), F.lit(16).alias("width"))
+
+
+def patch_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds of features of each patch; null for an empty one."""
+    options = patches.PatchFeatures(side=32, levels=16)
+    return text_patches(spark, sf_dir).select("doc_id", patches.extract(options, F.col("data"), F.col("height"), F.col("width")).alias("features"))
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections of each user's events: boxes drift with the frame, every sixth frame is empty."""
     frame = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
@@ -212,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pixel_channels, quantile_thresholds, vote_rules, patch_decisions, area_grid, best_areas, calibration, histogram_norm, channel_stats, standard_scale, circular_flow_stats, mask_overlap, reprojection_error,
-        phash_udf, lbp_hist, texture_features, morph_open, sort_tracker, kalman_smooth, rf_grid, gbt_ovr, svm_grid, et_grid, leaf_boost_grid, known_confusions,
+        phash_udf, lbp_hist, texture_features, morph_open, patch_vectors, sort_tracker, kalman_smooth, rf_grid, gbt_ovr, svm_grid, et_grid, leaf_boost_grid, known_confusions,
     )
 }
 _VALUES = lambda name, values: "(VALUES " + ", ".join(f"({x}::DOUBLE)" for x in values) + f") {name}({name}_area)"

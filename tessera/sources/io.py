@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.patches import PatchFeatures, extract
+
 # Suffixes of images.
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp", "tif", "tiff")
 PATCH_SUFFIXES = ("jpg", "jpeg", "png", "bmp", "webp")
@@ -111,6 +113,23 @@ def write_features(df: DataFrame, path: str, metadata: Mapping, overwrite: bool
     df.sparkSession.createDataFrame([(text,)], "value string").write.mode(mode).text(f"{path}/metadata")
 
 
+def write_split_features(df: DataFrame, split: str, options: PatchFeatures, path: str, overwrite: bool = False) -> None:
+    """Features of a split's patches, with labels and paths, below features/split=<split>, and the settings below metadata.
+
+    Columns: path, split, label, data, height, width. A split without patches, or a patch that can't be read, is an error, and
+    then nothing is committed; splits that were written before stay. Each split is a run of its own, as patches are read once.
+    """
+    chosen = df.filter(F.col("split") == split)
+    if chosen.isEmpty():
+        raise ValueError(f"no patches in split {split}")
+    vector = extract(options, F.col("data"), F.col("height"), F.col("width"))
+    read = F.coalesce("features", F.raise_error(F.concat(F.lit("a patch can't be read: "), F.coalesce(F.col("path"), F.lit("without a path")))).cast("array<float>"))
+    rows = chosen.select("path", "label", vector.alias("features")).withColumn("features", read)
+    rows.write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{path}/features/split={split}")
+    text = json.dumps(options.metadata(), sort_keys=True)
+    df.sparkSession.createDataFrame([(text,)], "value string").write.mode("overwrite").text(f"{path}/metadata")
+
+
 def read_features(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/rows"), json.loads(spark.read.text(f"{path}/metadata").first().value)
 
