@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import boxes
+from tessera.operators import crops
 from tessera.session import table
 
 WIDTH, HEIGHT = 640, 480
@@ -82,6 +83,17 @@ def overlap_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cap_per_class(free.select("o_orderkey", F.col("attempt").cast("long").alias("attempt")), ["o_orderkey"], 2, [F.col("attempt")])
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as an image; some are too small for a crop."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 500 + 20).alias("width"), (F.col("o_orderkey") % 400 + 10).alias("height"))
+
+
+def normal_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two free crops of each order's image, among the boxes of its items."""
+    held = item_boxes(spark, sf_dir).select(F.col("l_orderkey").alias("o_orderkey"), "box")
+    return crops.free_crops(frames(spark, sf_dir), held, "o_orderkey")
+
+
 _F = "'0.' || lpad((p_partkey * {} % 1000)::VARCHAR, 3, '0')"
 _TEXT = "(p_partkey % 3) || ' ' || " + " || ' ' || ".join(_F.format(m) for m in (37, 61, 13, 29)) + " || chr(10) || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '1 0.5 0.5 0.25' WHEN 2 THEN 'x 0.5 0.5 0.1 0.1' ELSE '0 0.95 0.5 0.2 0.3' END"
 
@@ -110,9 +122,10 @@ _AND = "greatest(least({0}.x2, {1}.x2) - greatest({0}.x1, {1}.x1), 0::DOUBLE) *
 _AREA = "(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))"
 _I = _AND.format("p", "q")
 _IOU = f"({_I}) / ({_AREA.format('p')} + {_AREA.format('q')} - ({_I}))"
+_HASH = "('0x' || substr(md5('42|{0}|' || o_orderkey || '|' || attempt), 1, 15))::BIGINT"
 _DRAW = "(('0x' || substr(md5('{0}|' || o_orderkey || '|' || attempt), 1, 15))::BIGINT % {1})::DOUBLE"
 
-QUERIES = {f.__name__: f for f in (yolo_parse, yolo_without_repair, warning_counts, voc_parse, context_crop, iou_pairs, overlap_anti)}
+QUERIES = {f.__name__: f for f in (yolo_parse, yolo_without_repair, warning_counts, voc_parse, context_crop, iou_pairs, overlap_anti, normal_crops)}
 ORACLES = {
     "yolo_parse": _parse_oracle(True),
     "yolo_without_repair": _parse_oracle(False),
@@ -123,4 +136,10 @@ ORACLES = {
 c AS (SELECT o_orderkey, attempt, {_DRAW.format(1, 500)} AS x1, {_DRAW.format(2, 400)} AS y1, {_DRAW.format(1, 500)} + 24 + {_DRAW.format(3, 60)} AS x2, {_DRAW.format(2, 400)} + 24 + {_DRAW.format(3, 60)} AS y2 FROM a),
 f AS (SELECT o_orderkey, attempt FROM c p WHERE NOT EXISTS (SELECT 1 FROM b q WHERE q.l_orderkey = p.o_orderkey AND greatest(({_I}) / greatest({_AREA.format('p')} + {_AREA.format('q')} - ({_I}), 1), ({_I}) / greatest({_AREA.format('p')}, 1), ({_I}) / greatest({_AREA.format('q')}, 1)) > 0.02))
 SELECT o_orderkey, attempt FROM f QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY attempt) <= 2""",
+    "normal_crops": f"""WITH {_B}, i AS (SELECT o_orderkey, o_custkey % 500 + 20 AS w, o_orderkey % 400 + 10 AS h, unnest(range(60)) AS attempt FROM orders),
+s AS (SELECT *, least(greatest(round_even(least(w, h) * (0.35::DOUBLE + ({_HASH.format("side")} % 1000000) * (0.75::DOUBLE - 0.35::DOUBLE) / 1000000), 0)::BIGINT, 24), least(w, h)) AS side FROM i WHERE least(w, h) >= 24),
+d AS (SELECT o_orderkey, attempt, side, {_HASH.format("x")} % (w - side + 1) AS x, {_HASH.format("y")} % (h - side + 1) AS y FROM s),
+c AS (SELECT o_orderkey, attempt, x::DOUBLE AS x1, y::DOUBLE AS y1, (x + side)::DOUBLE AS x2, (y + side)::DOUBLE AS y2 FROM d),
+f AS (SELECT * FROM c p WHERE NOT EXISTS (SELECT 1 FROM b q WHERE q.l_orderkey = p.o_orderkey AND greatest(({_I}) / greatest({_AREA.format('p')} + {_AREA.format('q')} - ({_I}), 1), ({_I}) / greatest({_AREA.format('p')}, 1), ({_I}) / greatest({_AREA.format('q')}, 1)) > 0.02))
+SELECT o_orderkey, attempt, x1::BIGINT AS x1, y1::BIGINT AS y1, x2::BIGINT AS x2, y2::BIGINT AS y2 FROM f QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY attempt) <= 2""",
 }
