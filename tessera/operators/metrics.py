@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import features
 from tessera.operators.lineage import cut
-from tessera.operators.ranking import running_sums
+from tessera.operators.ranking import beside, running_sums
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -83,31 +83,25 @@ def macro_roc(points: DataFrame, labels: Sequence, key: str = "label") -> DataFr
     """(fpr, tpr): the mean of the classes' curves, interpolated at the sorted union of their false-positive rates.
 
     points: of roc_points; each curve also starts at (0, 0). At a rate that a curve reaches more than once its highest point
-    counts. Segments and rates meet in an equi-join on steps of the rate, so no curve is one task's.
+    counts. Every rate is merged into each class's curve and takes the points beside it, so the work follows rates times
+    classes and no curve is one task's.
     """
-    steps = 1024
     each = points.select(key, "fpr", "tpr").union(points.sparkSession.createDataFrame([(x,) for x in labels], f"{key} {dict(points.dtypes)[key]}").select(key, F.lit(0.0), F.lit(0.0)))
-    highest = cut(each.groupBy(key, "fpr").agg(F.max("tpr").alias("tpr"), F.min("tpr").alias("low")))
-    step = F.least(F.floor(F.col("fpr") * steps), F.lit(steps - 1)).cast("int")
-    here = Window.partitionBy(key, "_step").orderBy("fpr")
-    placed = highest.withColumn("_step", step)
-    ends = placed.groupBy(key, "_step").agg(F.min(F.struct("fpr", "tpr", "low")).alias("_first"))  # at most `steps` rows a class
-    following = F.lead("_first").over(Window.partitionBy(key).orderBy("_step"))
-    ends = F.broadcast(ends.select(key, "_step", following.alias("_next_first")))
-    segments = placed.withColumn("_next", F.lead(F.struct("fpr", "tpr", "low")).over(here)).join(ends, [key, "_step"]).withColumn("_next", F.coalesce("_next", "_next_first"))
-    last = F.when(F.col("_next").isNull(), F.col("_step")).otherwise(F.least(F.floor(F.col("_next.fpr") * steps), F.lit(steps - 1)).cast("int"))
-    spread = segments.select(key, F.col("fpr").alias("_x0"), F.col("tpr").alias("_y0"), F.col("_next.fpr").alias("_x1"), F.col("_next.low").alias("_y1"), F.explode(F.sequence("_step", last)).alias("_step"))
-    rates = highest.select("fpr").distinct().withColumn("_step", step)
-    inside = (F.col("fpr") >= F.col("_x0")) & (F.col("_x1").isNull() | (F.col("fpr") < F.col("_x1")))
-    height = F.when((F.col("fpr") == F.col("_x0")) | F.col("_x1").isNull(), F.col("_y0")).otherwise(F.col("_y0") + (F.col("_y1") - F.col("_y0")) * (F.col("fpr") - F.col("_x0")) / (F.col("_x1") - F.col("_x0")))
-    return rates.join(spread, "_step").filter(inside).groupBy("fpr").agg((F.sum(height) / len(labels)).alias("tpr"))
+    listed = F.array(*[F.lit(x) for x in labels]).cast(f"array<{dict(points.dtypes)[key]}>")
+    highest = cut(each.filter(F.col(key).isin(list(labels))).groupBy(key, "fpr").agg(F.struct(F.first("fpr").alias("x"), F.max("tpr").alias("high"), F.min("tpr").alias("low")).alias("_own")))
+    rates = highest.select("fpr").distinct().select("fpr", F.explode(listed).alias(key), F.lit(None).cast(dict(highest.dtypes)["_own"]).alias("_own"))
+    merged = rates.unionByName(highest).groupBy(key, "fpr").agg(F.max("_own").alias("_own"))
+    found = beside(merged, [key], "fpr", "_own", "_from", "_to")
+    slope = (F.col("_to.low") - F.col("_from.high")) / (F.col("_to.x") - F.col("_from.x"))
+    height = F.when(F.col("_own").isNotNull(), F.col("_own.high")).when(F.col("_to").isNull(), F.col("_from.high")).otherwise(F.col("_from.high") + slope * (F.col("fpr") - F.col("_from.x")))
+    return found.groupBy("fpr").agg((F.sum(height) / len(labels)).alias("tpr"))
 
 
 def trapezoid_auc(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, auc) of ROC points by the trapezoid rule from (0, 0)."""
-    along = Window.partitionBy(*keys).orderBy(F.col("threshold").desc())
-    x0, y0 = F.lag("fpr", 1, 0.0).over(along), F.lag("tpr", 1, 0.0).over(along)
-    return points.withColumn("_a", (F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).groupBy(*keys).agg(F.sum("_a").alias("auc"))
+    placed = beside(points.withColumn("_own", F.struct("fpr", "tpr")), keys, "threshold", "_own", "_from", falling=True)
+    x0, y0 = F.coalesce("_from.fpr", F.lit(0.0)), F.coalesce("_from.tpr", F.lit(0.0))
+    return placed.withColumn("_a", (F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).groupBy(*keys).agg(F.sum("_a").alias("auc"))
 
 
 def best(df: DataFrame, order: Sequence[Column]) -> DataFrame:

@@ -36,3 +36,24 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Column, sums: Mappin
     joined = parted.join(F.broadcast(before), [*keys, "_part"])
     out = joined.select("*", *[(F.col(f"_{name}") + F.coalesce(F.sum(c).over(own), F.lit(0))).alias(name) for name, c in sums.items()])
     return out.drop("_part", *[f"_{name}" for name in sums])
+
+
+def beside(df: DataFrame, keys: Sequence[str], order: str, value: str, before: str, after: str | None = None, falling: bool = False) -> DataFrame:
+    """Adds the nearest earlier, and later if asked for, value of the key that is not null, without one task for a key.
+
+    A row's own value does not count; rows of a key differ in `order`. Range partitions hold a stretch of a key each; what
+    their neighbours end and begin with, a row for each key and partition, reaches over their edges.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    along = lambda back: F.col(order).desc() if back else F.col(order).asc()
+    parted = cut(df.repartitionByRange(n, *keys, along(falling)).withColumn("_part", F.spark_partition_id()))
+    there = F.when(F.col(value).isNotNull(), F.col(order))
+    low, high = F.min_by(value, there), F.max_by(value, there)
+    ends = parted.groupBy(*keys, "_part").agg((high if falling else low).alias("_first"), (low if falling else high).alias("_last"))
+    out, wanted = parted, [(before, "_last", falling, F.asc("_part"))] + ([(after, "_first", not falling, F.desc("_part"))] if after else [])
+    reach = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    over = [F.last(end, ignorenulls=True).over(reach(Window.partitionBy(*keys).orderBy(parts))).alias(f"_{name}") for name, end, _, parts in wanted]
+    out = out.join(F.broadcast(ends.select(*keys, "_part", *over)), [*keys, "_part"])  # a row for each key and partition
+    own = [F.last(value, ignorenulls=True).over(reach(Window.partitionBy(*keys, "_part").orderBy(along(back)))) for _, _, back, _ in wanted]
+    found = [F.coalesce(near, F.col(f"_{name}")).alias(name) for near, (name, *_) in zip(own, wanted, strict=True)]
+    return out.select("*", *found).drop("_part", *[f"_{name}" for name, *_ in wanted])
