@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import annotations, curation, dedup, evidence, features, metrics, streams, temporal
+from tessera.plans import annotations, curation, dedup, evidence, features, inspection, metrics, streams, temporal
 
-MODULES = [dedup, curation, annotations, temporal, metrics, features, evidence, streams]
+MODULES = [dedup, curation, annotations, inspection, temporal, metrics, features, evidence, streams]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
