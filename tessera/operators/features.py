@@ -88,24 +88,44 @@ def region_motion(pixels: DataFrame, boxes: DataFrame, keys: Sequence[str], box:
 
     pixels: keys, x, y, flow and a boolean foreground; boxes: keys, box and whole-pixel corners x1, y1, x2, y2, the latter
     two outside. With the frame's size (width, height) corners may be any numbers: they are rounded half to even and held inside.
-    An equi-join on the keys (a frame), filtered by place; boxes without pixels have zeros.
+    Summed-area tables of each frame, by rows and then by columns, and four look-ups a box, so work follows pixels plus boxes;
+    places between a frame's outermost pixels that have none are filled in with nothing. Repeated pixels count as often as they
+    come, flow that is null not at all; a box that holds flow that is not finite has a mean magnitude, dx and dy of NaN. Boxes
+    without pixels have zeros.
     """
     if size is not None:
         corners = clamp_to_frame(F.struct("x1", "y1", "x2", "y2"), *map(F.lit, size))
         boxes = boxes.withColumn("_corners", corners).withColumns({c: F.col("_corners")[c] for c in ("x1", "y1", "x2", "y2")}).drop("_corners")
-    found = boxes.join(pixels, list(keys), "left").withColumn("_in", (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2")))
-    inside = F.coalesce(F.col("_in"), F.lit(False))
+    keys = list(keys)
     magnitude = F.sqrt(F.col(u) * F.col(u) + F.col(v) * F.col(v))
-    moving = inside & (magnitude >= moving_from)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    out = found.groupBy(*keys, box).agg(
-        zero(F.avg(F.when(inside, magnitude))).alias("mean_magnitude"),
-        zero(F.avg(F.when(inside, moving.cast("int")))).alias("moving_ratio"),
-        zero(F.avg(F.when(moving, (F.col(v) < 0).cast("int")))).alias("upward_ratio"),
-        zero(F.avg(F.when(inside, F.col(foreground).cast("int")))).alias("foreground_ratio"),
-        zero(F.avg(F.when(moving, F.col(u)))).alias("dx"),
-        zero(F.avg(F.when(moving, F.col(v)))).alias("dy"),
-    )
+    finite = ~F.isnan(magnitude) & (magnitude < float("inf"))
+    moving = magnitude >= moving_from
+    one = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    flow = lambda c, where: F.coalesce(F.when(where & finite, c.cast("double")), F.lit(0.0))
+    values = {
+        "_n": one(magnitude.isNotNull()), "_bad": one(~finite), "_moving": one(moving), "_up": one(moving & (F.col(v) < 0)), "_shown": one(F.col(foreground).isNotNull()),
+        "_front": one(F.col(foreground)), "_m": flow(magnitude, F.lit(True)), "_u": flow(F.col(u), moving), "_v": flow(F.col(v), moving),
+    }
+    placed = pixels.filter("x IS NOT NULL AND y IS NOT NULL").select(*keys, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), *[c.alias(n) for n, c in values.items()])
+    ends = placed.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
+    grid = ends.select(*keys, F.explode(F.sequence("_low_y", "_high_y")).alias("y"), "_low_x", "_high_x").select(*keys, "y", F.explode(F.sequence("_low_x", "_high_x")).alias("x"))
+    whole = placed.unionByName(grid.select("*", *[F.lit(0).cast(kind).alias(n) for n, kind in placed.dtypes if n in values]))
+    area = whole.groupBy(*keys, "y", "x").agg(*[F.sum(n).alias(n) for n in values])
+    for line, along in (("y", "x"), ("x", "y")):
+        so_far = Window.partitionBy(*keys, line).orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+        area = area.select(*keys, "y", "x", *[F.sum(n).over(so_far).alias(n) for n in values])
+    edge = lambda c, which: F.least(F.ceil(F.col(c)) - 1, F.col(which)).cast("long")
+    x1, y1, x2, y2 = edge("x1", "_high_x"), edge("y1", "_high_y"), edge("x2", "_high_x"), edge("y2", "_high_y")
+    looked = F.array(*[F.struct(x.alias("x"), y.alias("y"), F.lit(sign).cast("long").alias("sign")) for x, y, sign in ((x2, y2, 1), (x1, y1, 1), (x1, y2, -1), (x2, y1, -1))])
+    some = (F.col("x1") < F.col("x2")) & (F.col("y1") < F.col("y2"))
+    asked = boxes.join(ends, keys, "left").withColumn("_c", F.explode_outer(F.when(some, looked))).select(*keys, box, "_c.*")
+    found = asked.join(area, [*keys, "x", "y"], "left").groupBy(*keys, box).agg(*[F.coalesce(F.sum(F.col(n) * F.col("sign")), F.lit(0)).alias(n) for n in values])
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    mean = lambda a, b: F.when(F.col("_bad") > 0, F.lit(float("nan"))).otherwise(share(a, b))
+    out = found.select(
+        *keys, box, mean("_m", "_n").alias("mean_magnitude"), share("_moving", "_n").alias("moving_ratio"), share("_up", "_moving").alias("upward_ratio"), share("_front", "_shown").alias("foreground_ratio"),
+        mean("_u", "_moving").alias("dx"), mean("_v", "_moving").alias("dy"),
+    )
     score = temporal.motion_score(F.col("mean_magnitude"), F.col("moving_ratio"), F.col("upward_ratio"), F.col("foreground_ratio"), max(most, 1e-6))
     return out.withColumn("score", temporal.clip(score))
 
