@@ -92,7 +92,7 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per signature: whether each group has one split, and every split is within the largest group of its target."""
+    """Per signature: groups and rows, whether each group has one split, and every split is within the largest group of its target."""
     from tessera.operators.lineage import cut
 
     units = _units(spark, sf_dir)
@@ -105,7 +105,7 @@ def split_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     for s, ratio in RATIOS.items():
         fits = F.abs(F.col(s) - F.col("total") * ratio) <= F.col("largest")
         near = fits if near is None else near & fits
-    return held.select("signature", ((F.col("rows") == F.col("groups")) & (F.col("placed") == F.col("rows"))).alias("one_split_each"), near.alias("near_target"))
+    return held.select("signature", F.col("placed").alias("placed"), "total", ((F.col("rows") == F.col("groups")) & (F.col("placed") == F.col("rows"))).alias("one_split_each"), near.alias("near_target"))
 
 
 def per_class_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +189,7 @@ r(node, root) AS (SELECT doc_id, doc_id FROM f UNION SELECT e.v, r.root FROM r J
 m AS (SELECT h.doc_id, min(r.root) AS representative FROM h JOIN f USING (h) JOIN r ON r.node = f.doc_id GROUP BY h.doc_id)
 SELECT doc_id, representative, 'dup_' || lpad((dense_rank() OVER (ORDER BY representative) - 1)::VARCHAR, 6, '0') AS "group" FROM m""",
     "group_signature": f"WITH {_L} {_UNITS}",
-    "split_invariants": f"WITH {_L} SELECT signature, true AS one_split_each, true AS near_target FROM ({_UNITS}) GROUP BY signature",
+    "split_invariants": f"WITH {_L} SELECT signature, count(*) AS placed, sum(size)::BIGINT AS total, true AS one_split_each, true AS near_target FROM ({_UNITS}) GROUP BY signature",
     "per_class_cap": f"WITH {_L} SELECT doc_id, lang, quality FROM l WHERE has_label QUALIFY row_number() OVER (PARTITION BY lang, quality ORDER BY {K.format(chr(39) + '42|' + chr(39) + ' || doc_id')}, doc_id) <= 10",
     "per_order_sample": f"SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY {K.format('concat_ws(chr(124), l_partkey, l_suppkey, l_linenumber)')}, l_partkey, l_suppkey, l_linenumber) <= 2",
     "seeded_preview": f"SELECT doc_id, source FROM documents ORDER BY {K.format(chr(39) + '42|' + chr(39) + ' || doc_id')}, doc_id LIMIT 24",

@@ -1,6 +1,7 @@
 """Operators against brute force and against the reference scenarios."""
 
 import itertools
+from fractions import Fraction
 import random
 
 import numpy as np
@@ -101,6 +102,28 @@ def test_fill_splits(sizes):
         assert abs(sum(s * g[name] for s, g in filled) - total * ratio) <= largest + 1e-6
 
 
+def one_by_one(sizes, ratios):
+    """Each unit, largest first, to the split that lacks most, in whole hundredths."""
+    total = sum(s * n for s, n in sizes)
+    target = {k: total * round(r * 100) for k, r in ratios.items()}
+    lacks, out = dict(target), []
+    for size, n in sorted(sizes, reverse=True):
+        given = dict.fromkeys(ratios, 0)
+        for _ in range(n):
+            best = max(ratios, key=lambda k: (lacks[k], Fraction(lacks[k], max(target[k], 1))))
+            given[best] += 1
+            lacks[best] -= size * 100
+        out.append((size, given))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 400), min_size=1, max_size=5), st.sampled_from([(70, 15, 15), (80, 20, 0), (34, 33, 33), (60, 25, 15)]))
+def test_fill_splits_is_filling_one_by_one(sizes, shares):
+    ratios = {k: s / 100 for k, s in zip(("train", "val", "test"), shares, strict=True)}
+    assert split.fill_splits(list(sizes.items()), ratios) == one_by_one(sizes.items(), ratios)
+
+
 def test_degenerate_splits():
     assert split.fill_splits([(50, 1)], {"train": 1.0, "val": 0.0, "test": 0.0}) == [(50, {"train": 1, "val": 0, "test": 0})]
 
