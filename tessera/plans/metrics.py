@@ -82,18 +82,23 @@ def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select("threshold", F.round("f1", 6).alias("f1"))
 
 
-TRIALS = [(0, "completed", 512, 0.40, 0.70, 0.66), (1, "completed", 640, 0.45, 0.68, 0.64), (2, "failed", 768, 0.90, 0.90, 0.90), (3, "completed", 800, 0.45, 0.68, None), (4, "completed", 832, 0.0, None, 0.99)]
-RATES = [(0, 0.75, 0.60), (1, 0.0, 0.0), (2, None, 0.5), (3, 1.0, 1.0), (4, 0.2, 0.8)]
+_SHARE = "p_partkey * {} % 1000 / CAST(1000 AS DOUBLE)"
+TRIAL = {
+    "trial": "p_partkey", "status": "CASE WHEN p_size % 5 = 0 THEN 'failed' ELSE 'completed' END", "image_size": "CAST(p_size * 32 AS BIGINT)", "map50_95": f"CASE WHEN p_size % 7 > 0 THEN {_SHARE.format(37)} ELSE CAST(0 AS DOUBLE) END",
+    "map50": f"CASE WHEN p_size % 3 > 0 THEN {_SHARE.format(61)} END", "f1": f"CASE WHEN p_size % 4 > 0 THEN {_SHARE.format(13)} END",
+}
+RATE = {"trial": "p_partkey", "precision": "CASE WHEN p_size % 9 > 0 THEN p_partkey * 61 % 11 / CAST(10 AS DOUBLE) END", "recall": "CASE WHEN p_size % 8 > 0 THEN p_partkey * 37 % 11 / CAST(10 AS DOUBLE) END"}
 
 
 def trial_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trials = spark.createDataFrame(TRIALS, "trial long, status string, image_size long, map50_95 double, map50 double, f1 double").filter("status = 'completed'")
+    """Parts as trials, some failed, with rates that are missing or 0; many share the best one."""
+    trials = table(spark, sf_dir, "part").select(*[F.expr(e).alias(c) for c, e in TRIAL.items()]).filter("status = 'completed'")
     order = [metrics.missing_as(F.col(c)).desc() for c in ("map50_95", "map50", "f1")]
     return metrics.best(trials, [*order, F.col("trial")]).select("trial", "image_size")
 
 
 def f1_from_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = spark.createDataFrame(RATES, "trial long, precision double, recall double")
+    rates = table(spark, sf_dir, "part").select(*[F.expr(e).alias(c) for c, e in RATE.items()])
     return rates.select("trial", F.round(metrics.f1_from(F.col("precision"), F.col("recall")), 6).alias("f1"))
 
 
@@ -132,9 +137,7 @@ _O = f"{_S}, o AS (SELECT 0::BIGINT AS label, truth = 0 AS pos, s0 AS score FROM
 _AUC = f"WITH {_O}, k AS (SELECT label, pos, rank() OVER w + (count(*) OVER (PARTITION BY label, score) - 1) / 2::DOUBLE AS r FROM o WINDOW w AS (PARTITION BY label ORDER BY score)) SELECT label, round((sum(r) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2::DOUBLE) / (count(*) FILTER (pos) * count(*) FILTER (NOT pos))::DOUBLE, 6) AS auc FROM k GROUP BY label"
 _REPORT = "SELECT label, round(precision::DOUBLE, 6) AS precision, round(recall::DOUBLE, 6) AS recall, round(f1::DOUBLE, 6) AS f1, support FROM p"
 _G = "g AS (SELECT threshold, quality::BIGINT AS truth, (n_chars / 1000::DOUBLE >= threshold)::BIGINT AS predicted, count(*) AS n FROM documents JOIN labels USING (doc_id), (SELECT unnest([" + ", ".join(map(str, THRESHOLDS)) + "]::DOUBLE[]) AS threshold) GROUP BY 1, 2, 3)"
-_null = lambda v: "NULL" if v is None else repr(v)
-_T = "(VALUES " + ", ".join("(" + ", ".join(_null(v) for v in t) + ")" for t in TRIALS) + ") t(trial, status, image_size, map50_95, map50, f1)"
-_R = "(VALUES " + ", ".join("(" + ", ".join(_null(v) for v in t) + ")" for t in RATES) + ") t(trial, precision, recall)"
+_T, _R = ("(SELECT " + ", ".join(f"{e} AS {c}" for c, e in made.items()) + " FROM part)" for made in (TRIAL, RATE))
 
 QUERIES = {
     f.__name__: f

@@ -292,3 +292,32 @@ def test_motion_of_boxes_that_leave_the_frame(spark):
     got = features.region_motion(pixels, loose, ["frame"], "box", size=(10, 6)).orderBy("box").collect()
     assert got == features.region_motion(pixels, whole, ["frame"], "box").orderBy("box").collect()
     assert got[0].mean_magnitude > 0 and got[2].score == 0
+
+
+def test_selection_of_trials(spark):
+    """Failed trials, missing rates and rates of 0, ties."""
+    rows = [(0, 512, 0.40, 0.70, 0.66), (1, 640, 0.45, 0.68, 0.64), (3, 800, 0.45, 0.68, None), (4, 832, 0.0, None, 0.99), (5, 864, 0.45, 0.68, 0.64)]
+    trials = spark.createDataFrame(rows, "trial long, size long, a double, b double, c double")
+    assert metrics.best(trials, [*[metrics.missing_as(F.col(c)).desc() for c in "abc"], F.col("trial")]).first().trial == 1
+    rates = spark.createDataFrame([(0.75, 0.60), (0.0, 0.0), (None, 0.5), (1.0, 1.0)], "p double, r double")
+    found = [r.f for r in rates.select(metrics.f1_from(F.col("p"), F.col("r")).alias("f")).collect()]
+    assert abs(found[0] - 0.9 / 1.35) < 1e-12 and found[1:] == [None, None, 1.0]
+
+
+# Published confusion tables, rows true fire, smoke, normal.
+KNOWN = {
+    "colour": [[592, 8, 0], [600, 0, 0], [572, 28, 0]],
+    "svm": [[500, 86, 14], [70, 524, 6], [16, 10, 574]],
+    "rf": [[485, 90, 25], [95, 500, 5], [15, 10, 575]],
+    "et": [[482, 88, 30], [107, 489, 4], [23, 10, 567]],
+    "xgb": [[502, 78, 20], [91, 504, 5], [16, 8, 576]],
+    "lgbm": [[508, 75, 17], [88, 507, 5], [19, 7, 574]],
+}
+PUBLISHED = {"colour": (0.3289, 0.1669), "svm": (0.8878, 0.8879), "rf": (0.8667, 0.8665), "et": (0.8544, 0.8545), "xgb": (0.8789, 0.8789), "lgbm": (0.8828, 0.8830)}
+
+
+def test_published_confusions(spark):
+    for name, matrix in KNOWN.items():
+        cells = spark.createDataFrame([(t, p, n) for t, own in enumerate(matrix) for p, n in enumerate(own)], "truth long, predicted long, n long")
+        found = metrics.summary(cells).first()
+        assert (round(found.accuracy, 4), round(found.macro_f1, 4)) == PUBLISHED[name]
