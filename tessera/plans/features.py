@@ -109,13 +109,19 @@ _H, _W = 24, 32
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys take little room on disk, so a few splits of a file hold all of them; they are dealt to all cores before images are drawn."""
+
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y, x = np.mgrid[:_H, :_W]
         for rows in batches:
-            made = [((x * (k % 7 + 1) + y * (k % 5 + 1) + (x * y) % (k % 11 + 2) * 9) % 256).astype(np.uint8).tobytes() for k in rows["p_partkey"]]
+            made: list = []
+            for keys in np.array_split(rows["p_partkey"].to_numpy(), len(rows) // 128 + 1):
+                k = keys[:, None, None]
+                made += [i.tobytes() for i in ((x * (k % 7 + 1) + y * (k % 5 + 1) + (x * y) % (k % 11 + 2) * 9) % 256).astype(np.uint8)]
             yield pd.DataFrame({"p_partkey": rows["p_partkey"], "data": made, "height": _H, "width": _W})
 
-    return table(spark, sf_dir, "part").select("p_partkey").mapInPandas(draw, "p_partkey long, data binary, height int, width int")
+    keys = table(spark, sf_dir, "part").select("p_partkey").repartition(3 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return keys.mapInPandas(draw, "p_partkey long, data binary, height int, width int")
 
 
 def phash_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
