@@ -16,6 +16,7 @@ COLUMNS = (
 )
 SINGLE = {
     "texture_features": lambda i: np.concatenate([pixels.uniform_lbp(i), pixels.glcm_properties(i)]).astype(np.float32).tolist(),
+    "perceptual_hash": lambda i: (pixels.perceptual_bits(i) + (1 << 63)) % (1 << 64) - (1 << 63),
 }
 
 
@@ -26,6 +27,6 @@ def test_stacks_of_any_size_equal_single_images(monkeypatch, name, most):
     assert getattr(pixels, name).func(*COLUMNS).tolist() == [None if i is None else SINGLE[name](i) for i in IMAGES]
 
 
-@pytest.mark.parametrize("name", ["texture_features"])
+@pytest.mark.parametrize("name", ["texture_features", "phash_udf"])
 def test_a_single_small_file_is_dealt_to_all_cores(spark, sf, name):
     assert getattr(features, name)(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
