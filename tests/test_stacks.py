@@ -17,6 +17,7 @@ COLUMNS = (
 SINGLE = {
     "texture_features": lambda i: np.concatenate([pixels.uniform_lbp(i), pixels.glcm_properties(i)]).astype(np.float32).tolist(),
     "perceptual_hash": lambda i: (pixels.perceptual_bits(i) + (1 << 63)) % (1 << 64) - (1 << 63),
+    "opened_mask": lambda i: (pixels.opened(i > 0) * 255).astype(np.uint8).tobytes(),
 }
 
 
@@ -27,6 +28,16 @@ def test_stacks_of_any_size_equal_single_images(monkeypatch, name, most):
     assert getattr(pixels, name).func(*COLUMNS).tolist() == [None if i is None else SINGLE[name](i) for i in IMAGES]
 
 
-@pytest.mark.parametrize("name", ["texture_features", "phash_udf"])
+def test_regions_of_a_stack_are_those_of_its_images():
+    masks = RNG.random((40, 7, 8)) < 0.35
+    masks[3] = False
+    for least in (0.0, 0.06):
+        found = pixels.region_summaries(masks, least)
+        assert [{c: v[k].item() for c, v in found.items()} for k in range(40)] == [pixels.region_summary(m, least) for m in masks]
+    got = pixels.region_statistics.func(*COLUMNS)
+    assert got.isna().all(axis=1).tolist() == [i is None for i in IMAGES] and got.component_count[4] == 0
+
+
+@pytest.mark.parametrize("name", ["texture_features", "phash_udf", "morph_open"])
 def test_a_single_small_file_is_dealt_to_all_cores(spark, sf, name):
     assert getattr(features, name)(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
