@@ -17,6 +17,7 @@ COLUMNS = (
 SINGLE = {
     "texture_features": lambda i: np.concatenate([pixels.uniform_lbp(i), pixels.glcm_properties(i)]).astype(np.float32).tolist(),
     "perceptual_hash": lambda i: (pixels.perceptual_bits(i) + (1 << 63)) % (1 << 64) - (1 << 63),
+    "lbp_histogram": lambda i: pixels.uniform_lbp(i).tolist(),
     "opened_mask": lambda i: (pixels.opened(i > 0) * 255).astype(np.uint8).tobytes(),
 }
 
@@ -38,6 +39,6 @@ def test_regions_of_a_stack_are_those_of_its_images():
     assert got.isna().all(axis=1).tolist() == [i is None for i in IMAGES] and got.component_count[4] == 0
 
 
-@pytest.mark.parametrize("name", ["texture_features", "phash_udf", "morph_open"])
+@pytest.mark.parametrize("name", ["texture_features", "phash_udf", "lbp_hist", "morph_open"])
 def test_a_single_small_file_is_dealt_to_all_cores(spark, sf, name):
     assert getattr(features, name)(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
