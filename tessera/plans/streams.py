@@ -193,5 +193,5 @@ ORACLES = {
     "read_frames": f"""WITH {plans._F} SELECT user_id::VARCHAR AS stream, frame - 1 AS frame_index, round((frame - 1) / CASE WHEN user_id % 2 = 0 THEN 50 ELSE 25 END::DOUBLE, 6) AS seconds,
 round(CASE WHEN observed THEN confidence * {SURENESS}::DOUBLE END, 6) AS confidence, CASE WHEN observed THEN label END AS label, CASE WHEN frame > 1 THEN {WIDTH * HEIGHT} ELSE 0 END AS pixels FROM f WHERE frame <= {MOST_FRAMES}""",
     "label_tree": "SELECT lower(coalesce(c_mktsegment, 'none')) AS split, c_custkey::VARCHAR AS name, c_nationkey || ' ' || c_name || chr(10) AS text FROM customer",
-    "hourly_windows": "SELECT (epoch(ts)::BIGINT // 21600) * 21600 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "hourly_windows": "SELECT epoch_us(time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01')) // 1000000 AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
