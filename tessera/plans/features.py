@@ -165,7 +165,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sort_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tracking.track(detections(spark, sf_dir))
+    rows = tracking.track(detections(spark, sf_dir), history=False)
     return rows.select("stream", "frame_index", "track_id", "class_id", "observed", "hits", F.round("x1", 4).alias("x1"))
 
 

@@ -14,7 +14,7 @@ come later begin new tracks, with numbers that go on.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass, fields
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators import temporal
-from tessera.operators.tracking import Kalman, Track, Tracker, TrackerOptions
+from tessera.operators.tracking import Kalman, Track, Tracker, TrackerOptions, changes, dealt
 from tessera.sources.config import FusionOptions
 
 #: boxes: four corners for each detection; u, v and foreground: height * width numbers, or null.
@@ -82,12 +82,12 @@ class Memory:
     event: Event | None = None
 
 
-def motion_in(box: np.ndarray, u: np.ndarray | None, v: np.ndarray | None, foreground: np.ndarray | None, moving_from: float = 1.0, most: float = 5.0) -> Motion:
+def motion_in(box: Sequence[float], u: np.ndarray | None, v: np.ndarray | None, foreground: np.ndarray | None, moving_from: float = 1.0, most: float = 5.0) -> Motion:
     """Evidence of the whole pixels in a box: corners are rounded half to even and kept to the frame. Planes: height x width."""
     plane = u if u is not None else foreground
     if plane is None:
         return Motion()
-    x1, y1, x2, y2 = (int(np.clip(round(c), 0, plane.shape[1 - i % 2])) for i, c in enumerate(box.tolist()))
+    x1, y1, x2, y2 = (min(max(round(c), 0), plane.shape[1 - i % 2]) for i, c in enumerate(map(float, box)))
     if x2 <= x1 or y2 <= y1:
         return Motion()
     out = Motion()
@@ -95,10 +95,12 @@ def motion_in(box: np.ndarray, u: np.ndarray | None, v: np.ndarray | None, foreg
         across, down = u[y1:y2, x1:x2], v[y1:y2, x1:x2]
         size = np.sqrt(across**2 + down**2)
         moving = size >= moving_from
-        out.mean, out.moving = float(size.mean()), float(moving.mean())
-        out.upward = float((down[moving] < 0).mean()) if moving.any() else 0.0
+        n = int(np.count_nonzero(moving))
+        out.mean, out.moving = float(size.mean()), n / moving.size
+        out.upward = int(np.count_nonzero(moving & (down < 0))) / n if n else 0.0
     if foreground is not None:
-        out.foreground = float((foreground[y1:y2, x1:x2] > 0).mean())
+        inside = foreground[y1:y2, x1:x2] > 0
+        out.foreground = int(np.count_nonzero(inside)) / inside.size
     out.score = _clip(0.35 * min(1.0, out.mean / max(most, 1e-6)) + 0.35 * out.moving + 0.15 * out.upward + 0.15 * out.foreground)
     return out
 
@@ -140,8 +142,7 @@ class Engine:
             hits, smoothed = m.votes.count("1"), m.smoothed or 0.0
             persistence = hits / len(m.votes)
             is_confirmed = hits >= (self.options.fire_hits if m.label == "fire" else self.options.smoke_hits) and smoothed >= self.options.least_confidence
-            box = t.filter.box()
-            x1, y1, x2, y2 = box.tolist()
+            x1, y1, x2, y2 = box = t.filter.corners()
             motion = motion_in(box, *planes)
             area = max(0.0, x2 - x1) * max(0.0, y2 - y1)
             ratio = area / max(1.0, float(width * height))
@@ -186,8 +187,8 @@ class Engine:
 
     def run(self, rows: pd.DataFrame) -> list[dict]:
         """A stream's next frames, in any order."""
-        out = []
-        for r in rows.sort_values("frame_index", kind="stable").itertuples(index=False):
+        out: list = []
+        for r in rows.sort_values("frame_index", kind="stable")[_names(INPUT)].itertuples(index=False):
             if r.frame_index <= self.last_frame:
                 out.append({"rec": "late", "frame_index": r.frame_index})
                 continue
@@ -208,18 +209,19 @@ class Engine:
         for t in self.tracker.tracks:
             f, m = t.filter, self.memory[t.number]
             event = [getattr(m.event, x.name) for x in fields(Event)] if m.event else [None] * len(fields(Event))
-            yield t.number, (t.class_id, m.label, t.confidence, t.observed, t.age, t.hits, t.missed, f.at.tolist(), f.speed.tolist(), [float(f.place), float(f.both), float(f.rate)], m.votes, m.smoothed, m.area, *event)
+            yield t.number, (t.class_id, m.label, t.confidence, t.observed, t.age, t.hits, t.missed, f.at, f.speed, [float(f.place), float(f.both), float(f.rate)], m.votes, m.smoothed, m.area, *event)
 
     def restore(self, number: int, row: tuple) -> None:
         class_id, label, confidence, observed, age, hits, missed, place, speed, spread, votes, smoothed, area, *event = row
-        f = Kalman(np.array([0.0, 0.0, 1.0, 1.0]), self.tracker.options)
-        f.at, f.speed = np.array(place, float), np.array(speed, float)
+        f = Kalman([0.0, 0.0, 1.0, 1.0], self.tracker.options)
+        f.at, f.speed = [float(x) for x in place], [float(x) for x in speed]
         f.place, f.both, f.rate = spread
         self.tracker.tracks.append(Track(number, f, class_id, confidence, observed, age, hits, missed))
         self.memory[number] = Memory(label, votes or "", smoothed, area, Event(*event) if event[0] is not None else None)
 
 
-def _frame(rows: list[dict], stream: str) -> pd.DataFrame:
+def _frame(rows: list[dict], stream: str | np.ndarray) -> pd.DataFrame:
+    """stream: the rows' stream, or one for each row."""
     out = pd.DataFrame(rows, columns=_names(OUTPUT)).assign(stream=stream)
     kinds = dict(c.split() for c in OUTPUT.split(", "))
     return out.astype({c: {"long": "Int64", "int": "Int32", "double": "float64", "string": object}[k] for c, k in kinds.items()})
@@ -279,15 +281,34 @@ def stream_frames(frames: DataFrame, options: FusionOptions | None = None, track
     return frames.select(_names(INPUT)).withWatermark("at", late).groupBy("stream").transformWithStateInPandas(processor, outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
-def batch_frames(frames: DataFrame, options: FusionOptions | None = None, tracker: TrackerOptions | None = None) -> DataFrame:
-    """The same over whole streams; all events end with their stream."""
+def by_stream(frames: DataFrame) -> DataFrame:
+    """Frames dealt to all cores by stream, in order, as batch_frames takes them; columns may be missing, or derived afterwards."""
+    return dealt(frames, "stream", ["frame_index"])
 
-    def run(found: pd.DataFrame) -> pd.DataFrame:
-        engine = Engine(options, tracker)
-        out = engine.run(found)
-        return _frame(out + engine.finish(), found["stream"].iat[0])
 
-    return frames.select(_names(INPUT)).groupBy("stream").applyInPandas(run, OUTPUT)
+def batch_frames(frames: DataFrame, options: FusionOptions | None = None, tracker: TrackerOptions | None = None, is_dealt: bool = False) -> DataFrame:
+    """The same over whole streams; all events end with their stream. A stream's frames pass in batches, none is gathered.
+
+    is_dealt: the frames come from by_stream, and their planes, if they are derived, needn't be shuffled.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine, own = None, None
+        for found in batches:
+            parts, streams = [], found["stream"].to_numpy(object)
+            cuts = np.flatnonzero(changes(streams))
+            for a, b in zip(cuts, np.append(cuts[1:], len(streams)), strict=True):
+                if engine is None or streams[a] != own:
+                    if engine is not None:
+                        parts.append((own, engine.finish()))
+                    engine, own = Engine(options, tracker), streams[a]
+                parts.append((own, engine.run(found.iloc[a:b])))
+            yield _frame([r for _, rows in parts for r in rows], np.repeat(np.array([s for s, _ in parts], object), [len(rows) for _, rows in parts]))
+        if engine is not None:
+            yield _frame(engine.finish(), own)
+
+    rows = frames.select(_names(INPUT))
+    return (rows if is_dealt else by_stream(rows)).mapInPandas(run, OUTPUT)
 
 
 def frame_rows(output: DataFrame) -> DataFrame:
