@@ -64,15 +64,19 @@ _END = "~"
 SLOWNESS, SURENESS = 53.718281828, 0.93718462539
 
 
-def frame_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of each user as a stream: sightings are detections of one box, the flow is the same all over a frame."""
-    rows = plans.frames(spark, sf_dir)
+def frame_source(spark: SparkSession, sf_dir: str, is_dealt: bool = False) -> DataFrame:
+    """Frames of each user as a stream: sightings are detections of one box, the flow is the same all over a frame.
+
+    is_dealt: by stream and in order, before planes are drawn, so that only the events' few bytes are shuffled.
+    """
+    rows = plans.frames(spark, sf_dir).select(F.col("user_id").cast("string").alias("stream"), F.col("frame").alias("frame_index"), "*")
+    rows = frames.by_stream(rows) if is_dealt else rows
     left, top = F.col("user_id") % 3, F.col("user_id") % 2
     seen = lambda *values: F.when(F.col("observed"), F.array(*values))
     down = F.col("area") / SLOWNESS * F.when(F.col("event_id") % 3 != 0, -1.0).otherwise(1.0)
     plane = lambda value: F.when(F.col("frame") > 1, F.array_repeat(value.cast("double"), WIDTH * HEIGHT))
     return rows.select(
-        F.col("user_id").cast("string").alias("stream"), F.col("frame").alias("frame_index"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame")).alias("at"), (F.col("frame") / 25).alias("seconds"),
+        "stream", "frame_index", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame")).alias("at"), (F.col("frame") / 25).alias("seconds"),
         F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), seen(*(x.cast("double") for x in (left, top, left + 4, top + 3))).alias("boxes"), seen((F.col("user_id") % 2).cast("int")).alias("classes"),
         seen("label").alias("labels"), seen(F.col("confidence") * SURENESS).alias("confidences"), plane(F.lit(0)).alias("u"), plane(down).alias("v"), plane(F.col("event_id") % 2).alias("foreground"),
     )
@@ -90,11 +94,11 @@ def _event_columns(found: DataFrame) -> DataFrame:
 
 def fused_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence of every track in every frame."""
-    return _frame_columns(frames.batch_frames(frame_source(spark, sf_dir)))
+    return _frame_columns(frames.batch_frames(frame_source(spark, sf_dir, True), is_dealt=True))
 
 
 def fused_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _event_columns(frames.batch_frames(frame_source(spark, sf_dir)))
+    return _event_columns(frames.batch_frames(frame_source(spark, sf_dir, True), is_dealt=True))
 
 
 def run_frames(spark: SparkSession, source: DataFrame) -> DataFrame:

@@ -2,10 +2,9 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tessera.operators import tracking
-from tessera.plans import features
+from tessera.plans import features, streams
 
 RNG = np.random.default_rng(11)
 
@@ -44,3 +43,18 @@ def test_sort_tracker_takes_no_call_for_each_stream(spark, sf):
     rows = features.sort_tracker(spark, sf)
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert "FlatMapGroupsInPandas" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["fused_frames"])
+def test_fused_streams_over_batches_of_any_size(spark, sf, name):
+    rows, found = getattr(streams, name)(spark, sf), []
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert not any("array" in line.lower() for line in plan.split("\n") if "Exchange" in line)  # planes are drawn after the shuffle
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found.append(sorted(map(repr, getattr(streams, name)(spark, sf).collect())))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and found[0]
