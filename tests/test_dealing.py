@@ -45,7 +45,7 @@ def test_sort_tracker_takes_no_call_for_each_stream(spark, sf):
     assert "FlatMapGroupsInPandas" not in rows._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["fused_frames"])
+@pytest.mark.parametrize("name", ["fused_frames", "fused_events"])
 def test_fused_streams_over_batches_of_any_size(spark, sf, name):
     rows, found = getattr(streams, name)(spark, sf), []
     plan = rows._jdf.queryExecution().executedPlan().toString()
