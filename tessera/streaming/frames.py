@@ -220,11 +220,17 @@ class Engine:
         self.memory[number] = Memory(label, votes or "", smoothed, area, Event(*event) if event[0] is not None else None)
 
 
+_PLACES = {c: i for i, c in enumerate(_names(OUTPUT))}
+
+
 def _frame(rows: list[dict], stream: str | np.ndarray) -> pd.DataFrame:
-    """stream: the rows' stream, or one for each row."""
-    out = pd.DataFrame(rows, columns=_names(OUTPUT)).assign(stream=stream)
-    kinds = dict(c.split() for c in OUTPUT.split(", "))
-    return out.astype({c: {"long": "Int64", "int": "Int32", "double": "float64", "string": object}[k] for c, k in kinds.items()})
+    """stream: the rows' stream, or one for each row. Values stay objects: a stream's few rows aren't worth 34 typed columns."""
+    out = np.full((len(rows), len(_PLACES)), None, object)
+    for values, row in zip(out, rows, strict=True):
+        for name, value in row.items():
+            values[_PLACES[name]] = value
+    out[:, _PLACES["stream"]] = stream
+    return pd.DataFrame(out, columns=list(_PLACES))
 
 
 class FrameProcessor(StatefulProcessor):
