@@ -82,7 +82,7 @@ def perceptual_hash(data: pd.Series, height: pd.Series, width: pd.Series) -> pd.
     return _filled(data, height, width, lambda images: np.packbits(low_cosines(images), axis=-1).view(">i8")[:, 0].tolist())
 
 
-def _counts(codes: np.ndarray, kinds: int) -> np.ndarray:
+def counts(codes: np.ndarray, kinds: int) -> np.ndarray:
     """How often each code below `kinds` stands in each row."""
     return np.bincount((codes + np.arange(len(codes))[:, None] * kinds).ravel(), minlength=len(codes) * kinds).reshape(len(codes), kinds)
 
@@ -98,7 +98,7 @@ def uniform_lbp(image: np.ndarray) -> np.ndarray:
         bright += bits[k]
         changes += bits[k] != bits[k - 1]
     code = np.where(changes <= 2, bright, 9).reshape(-1, h * w)
-    return (_counts(code, 10) / max(h * w, 1)).reshape(*image.shape[:-2], 10)
+    return (counts(code, 10) / max(h * w, 1)).reshape(*image.shape[:-2], 10)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -124,7 +124,7 @@ def _cooccurrences(grey: np.ndarray, distances, angles, levels: int) -> np.ndarr
             dy, dx = {0: (0, d), 45: (-d, d), 90: (-d, 0), 135: (-d, -d)}[angle]
             a = grey[:, max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)]
             b = grey[:, max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
-            p = _counts((a * levels + b).reshape(n, -1), levels * levels).reshape(n, levels, levels).astype(float)
+            p = counts((a * levels + b).reshape(n, -1), levels * levels).reshape(n, levels, levels).astype(float)
             p = (p + p.transpose(0, 2, 1)).reshape(n, -1)
             p /= np.maximum(p.sum(1, keepdims=True), 1)
             di, dj = (x - (x * p).sum(1, keepdims=True) for x in (i, j))

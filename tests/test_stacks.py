@@ -42,3 +42,18 @@ def test_regions_of_a_stack_are_those_of_its_images():
 @pytest.mark.parametrize("name", ["texture_features", "phash_udf", "lbp_hist", "morph_open"])
 def test_a_single_small_file_is_dealt_to_all_cores(spark, sf, name):
     assert getattr(features, name)(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_patches_of_a_stack_equal_single_ones():
+    from tessera.functions import patches
+
+    some = [RNG.integers(0, 256, (h, w, 3)).astype(np.uint8) for h, w in [(40, 16), (3, 16), (90, 50), (7, 7)]] + [np.full((20, 20, 3), 9, np.uint8)]
+    ring = np.zeros((40, 40, 3), np.uint8)
+    ring[8:30, 8:30], ring[14:24, 14:24] = 250, 0
+    some += [ring, ring[::-1, ::-1]]
+    options = patches.PatchFeatures(side=32, levels=16)
+    assert np.array_equal(patches.patches_features(some, options), np.stack([patches.patch_features(i, options) for i in some]))
+    masks = RNG.random((30, 12, 9)) < 0.5
+    assert np.array_equal(patches.filled(masks), np.stack([patches.filled(m) for m in masks]))
+    grey = RNG.integers(0, 256, (5, 20, 20)).astype(np.uint8)
+    assert np.array_equal(patches.edges(grey), np.stack([patches.edges(g) for g in grey]))
