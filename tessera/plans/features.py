@@ -143,7 +143,8 @@ def morph_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as patches: their bytes are the colours of rows of 16 pixels, the last row filled up with zeros."""
-    raw = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("raw"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(3 * spark.sparkContext.defaultParallelism, "doc_id")  # as files may be one split
+    raw = texts.select("doc_id", F.encode("text", "utf-8").alias("raw"))
     height = F.ceil(F.octet_length("raw") / 48).cast("int")
     return raw.select("doc_id", F.rpad("raw", height * 48, F.lit(b"\x00")).alias("data"), height.alias("height"), F.lit(16).alias("width"))
 

@@ -39,7 +39,7 @@ def test_regions_of_a_stack_are_those_of_its_images():
     assert got.isna().all(axis=1).tolist() == [i is None for i in IMAGES] and got.component_count[4] == 0
 
 
-@pytest.mark.parametrize("name", ["texture_features", "phash_udf", "lbp_hist", "morph_open"])
+@pytest.mark.parametrize("name", ["texture_features", "phash_udf", "lbp_hist", "morph_open", "patch_vectors"])
 def test_a_single_small_file_is_dealt_to_all_cores(spark, sf, name):
     assert getattr(features, name)(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
