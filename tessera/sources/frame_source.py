@@ -20,14 +20,18 @@ from __future__ import annotations
 import io
 import json
 import math
+import os
 import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import batched
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from tessera.streaming.frames import INPUT
@@ -226,15 +230,50 @@ def register(spark: SparkSession) -> None:
 
 
 def write_label_tree(samples: DataFrame, path: str, overwrite: bool = False) -> None:
-    """samples: split, name (unique within a split) and text; one file each."""
-    register(samples.sparkSession)
-    samples.select("split", "name", "text").write.format("label_tree").option("path", path).mode("overwrite" if overwrite else "append").save()
+    """samples: split, name (unique within a split) and text; one file each, dealt to all cores, as small tables are one split."""
+    spark = samples.sparkSession
+    register(spark)
+    dealt = samples.select("split", "name", "text").repartition(3 * spark.sparkContext.defaultParallelism, "split", "name")
+    dealt.write.format("label_tree").option("path", path).mode("overwrite" if overwrite else "append").save()
 
 
-def read_label_tree(spark: SparkSession, path: str) -> DataFrame:
-    """(split, name, text) of a tree, read by Spark alone."""
-    from pyspark.sql import functions as F
+#: Bytes of texts (one text at least) and the most names that a batch holds.
+BATCH_BYTES, BATCH_NAMES = 4 << 20, 10_000
+
+
+def _label_files(system: fs.FileSystem, folder: str) -> Iterator[str]:
+    """Names of a folder's label files; on a machine's own disk they are never held at once."""
+    if not isinstance(system, fs.LocalFileSystem):
+        found = ((f.base_name, f.type == fs.FileType.File) for f in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)))
+    else:
+        found = ((e.name, e.is_file()) for e in os.scandir(folder)) if os.path.isdir(folder) else iter(())
+    return (name[:-4] for name, is_file in found if is_file and name.endswith(".txt") and not name.startswith("."))
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    place = F.split("path", "/")
-    return files.select(F.url_decode(F.element_at(place, -3)).alias("split"), F.url_decode(F.regexp_replace(F.element_at(place, -1), r"\.txt$", "")).alias("name"), F.col("content").cast("string").alias("text"))
+
+def read_label_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(split, name, text) of a tree. A task lists a split's names; they are dealt to all cores, which read the files."""
+    system, root = _opened(path.rstrip("/"))
+    splits = [f.base_name for f in system.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory and not f.base_name.startswith(".")]
+    uri = path.rstrip("/")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _opened(uri)
+        for split in (s for batch in batches for s in batch.column(0).to_pylist()):
+            for names in batched(_label_files(system, f"{root}/{split}/labels"), BATCH_NAMES):
+                yield pa.RecordBatch.from_arrays([pa.array([split] * len(names), pa.string()), pa.array(names, pa.string())], ["split", "name"])
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = _opened(uri)
+        for batch in batches:
+            begin, held, size = 0, [], 0
+            for n, (split, name) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                with system.open_input_file(f"{root}/{split}/labels/{name}.txt") as f:
+                    held.append(f.readall())
+                size += len(held[-1])
+                if size >= BATCH_BYTES or n == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(begin, len(held)).columns, pa.array(held, pa.binary())], ["split", "name", "content"])
+                    begin, held, size = n + 1, [], 0
+
+    folders = spark.createDataFrame([(s,) for s in splits], "split string").repartition(max(1, len(splits)), "split")
+    files = folders.mapInArrow(listed, "split string, name string").repartition(3 * spark.sparkContext.defaultParallelism, "split", "name")
+    return files.mapInArrow(texts, "split string, name string, content binary").select("split", "name", F.col("content").cast("string").alias("text"))

@@ -166,3 +166,18 @@ def test_label_trees_are_whole_or_absent(spark, tmp_path):
     assert [r for r in shown() if r[2]] == want and [p.name for p in tmp_path.iterdir()] == ["tree"]
     frame_source.write_label_tree(rows.filter("split = 'val'"), path, overwrite=True)
     assert shown() == [("val", "a", "é")] and [p.name for p in tmp_path.iterdir()] == ["tree"]
+
+
+def test_label_trees_are_written_and_read_by_all_cores(spark, tmp_path, monkeypatch):
+    """Files of one split are dealt out, in the writer and in the reader; names are read as they stand, texts in batches."""
+    monkeypatch.setattr(frame_source, "BATCH_BYTES", 30)
+    rows = [(s, n, f"{s} {n} é\n" * (i % 9)) for s in ("train", "val") for i, n in enumerate([*map(str, range(200)), "a+b", "50%25", "_x", "d.txt"])]
+    path = str(tmp_path / "tree")
+    frame_source.write_label_tree(spark.createDataFrame(rows, "split string, name string, text string").coalesce(1), path)
+    tree = frame_source.read_label_tree(spark, path)
+    assert sorted(map(tuple, tree.collect())) == sorted(rows)
+    sizes = [len(part) for part in tree.rdd.glom().collect()]
+    assert sum(n > 0 for n in sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < len(rows) / 2
+    assert "binaryFile" not in tree._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "none").mkdir()
+    assert frame_source.read_label_tree(spark, str(tmp_path / "none")).collect() == []
