@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.boxes import hash_order
 from tessera.operators.lineage import cut
 from tessera.operators.ranking import with_rank
 
@@ -16,12 +22,49 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+#: Texts and words whose votes are counted at once, and rows of fingerprints with their keys that a task of the join takes.
+TEXTS, VOTES, JOINED = 4096, 1 << 16, 1 << 18
+
+
+def _votes(texts: pa.StringArray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: its different words, and for each bit how many more of them set it than not. Every word is hashed once."""
+    words = pc.ascii_split_whitespace(texts)
+    owner = np.repeat(np.arange(len(texts)), words.value_lengths().fill_null(0).to_numpy())
+    flat = words.flatten()
+    there = pc.not_equal(flat, "")
+    named = flat.filter(there).dictionary_encode()
+    # A text's words, each once and text by text: the owner in the upper half of a number, the word in the lower.
+    owned = pd.unique(owner[there.to_numpy(zero_copy_only=False)] << 32 | named.indices.to_numpy())
+    owner, codes = owned >> 32, owned & 0xFFFFFFFF
+    digests = b"".join(md5(w, usedforsecurity=False).digest()[:8] for w in named.dictionary.cast(pa.binary()).to_pylist())
+    order = np.frombuffer(digests, ">u8").astype(np.uint64) >> np.uint64(4)  # as boxes.hash_order
+    ones = np.unpackbits(order.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits]  # on machines of little end
+    signs = ones.astype(np.int8) * 2 - 1
+    out = np.zeros((len(texts), bits), np.int64)
+    for at in range(0, len(codes), VOTES):
+        own = owner[at : at + VOTES]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[starts]] += np.add.reduceat(signs[codes[at : at + VOTES]], starts, axis=0, dtype=np.int64)
+    return np.bincount(owner, minlength=len(texts)), out
+
+
 def simhash(df: DataFrame, key: str, text: str, bits: int = 60) -> DataFrame:
-    """(key, fingerprint): the bits that most of a text's different words set. No words: null."""
-    words = df.select(key, F.explode_outer(F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))).alias("_word"))
-    words = words.withColumn("_k", hash_order(F.col("_word")))
-    votes = [F.sum(F.shiftright("_k", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"_v{i}") for i in range(bits)]
-    counted = words.groupBy(key).agg(F.count("_word").alias("_n"), *votes)
+    """(key, fingerprint): the bits that most of a text's different words set. No words: null.
+
+    Votes are counted in batches of texts, so that no row is made for a word; only the counts are shuffled.
+    """
+    names = [f"_v{i}" for i in range(bits)]
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                n, votes = _votes(part.column(1), bits)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), *map(pa.array, np.ascontiguousarray(votes.T))], [key, "_n", *names])
+
+    schema = T.StructType([df.schema[key], *(T.StructField(c, T.LongType()) for c in ("_n", *names))])
+    votes = df.select(key, F.lower(F.col(text)).alias("_text")).mapInArrow(voted, schema)
+    counted = votes.groupBy(key).agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in names])
     # Halves keep the generated code of each expression small.
     value = None
     for i in range(bits):
@@ -36,11 +79,13 @@ def hamming_pairs(df: DataFrame, fingerprint: str, most: int, bits: int = 64, bl
     The bits are cut into blocks; two such fingerprints agree in all but `most` of them, so an equi-join on each choice of
     blocks - most blocks finds all. A pair is kept only in the first choice in which it agrees, so no distinct is needed.
     Equal fingerprints count once. More blocks make longer keys and more choices; unless given, there are as many as it
-    takes for a key to hold about one fingerprint if they were spread evenly, from the count of fingerprints.
+    takes for a key to hold about one fingerprint if they were spread evenly, from the count of fingerprints. Both sides are
+    dealt to tasks by that count, as adaptive plans judge by bytes, and so few of them would be joined by one task.
     """
-    hashes = df.select(F.col(fingerprint).alias("h")).filter("h IS NOT NULL").distinct()
+    hashes = cut(df.select(F.col(fingerprint).alias("h")).filter("h IS NOT NULL").distinct())
+    n = hashes.count()
     if blocks is None:
-        n, blocks = hashes.count(), most + 1
+        blocks = most + 1
         while blocks < min(bits, most + 4) and n >> (bits * (blocks - most) // blocks):
             blocks += 1
     cuts = [bits * i // blocks for i in range(blocks + 1)]
@@ -48,7 +93,8 @@ def hamming_pairs(df: DataFrame, fingerprint: str, most: int, bits: int = 64, bl
     masks = [sum((1 << cuts[i + 1]) - (1 << cuts[i]) for i in own) for own in choices]
     masks = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "value")
-    held = hashes.select("h", keys)
+    parts = max(3 * df.sparkSession.sparkContext.defaultParallelism, n * len(masks) // JOINED)
+    held = hashes.select("h", keys).repartition(parts, "choice", "value")
     a, b = held.select(F.col("h").alias("hash_a"), "choice", "value"), held.select(F.col("h").alias("hash_b"), "choice", "value")
     off = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
     first = F.coalesce(*[F.when(off.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(masks)])

@@ -1,6 +1,7 @@
 """Operators against brute force and against the reference scenarios."""
 
 import itertools
+import re
 from fractions import Fraction
 import random
 
@@ -321,3 +322,25 @@ def test_published_confusions(spark):
         cells = spark.createDataFrame([(t, p, n) for t, own in enumerate(matrix) for p, n in enumerate(own)], "truth long, predicted long, n long")
         found = metrics.summary(cells).first()
         assert (round(found.accuracy, 4), round(found.macro_f1, 4)) == PUBLISHED[name]
+
+
+def test_fingerprints_without_a_row_for_each_word(spark, monkeypatch):
+    """Votes of texts in parts of any size equal those by hand; nothing is exploded, and the join is dealt to all cores."""
+    from hashlib import md5
+
+    texts = ["a b  a\tC", " É é\x0bÉ\u00a0x ", "", None, " \n", "one", "x y z " * 50, "w\u2003v u\x1ct"]
+    rows = [(i if i else None, t) for i, t in enumerate(texts)] + [(6, "y q"), (None, "a")]
+    want = {}
+    for k in {r[0] for r in rows}:
+        words = [w for i, t in rows if i == k for w in set(re.split("[ \t\n\x0b\f\r]+", (t or "").lower())) - {""}]
+        order = [int(md5(w.encode()).hexdigest()[:15], 16) for w in words]
+        want[k] = sum((sum(1 if o >> i & 1 else -1 for o in order) > 0) << i for i in range(60)) if words else None
+    df = spark.createDataFrame(rows, "k int, t string").coalesce(1)
+    for most, part in ((4096, 1 << 16), (3, 2)):
+        monkeypatch.setattr(nearness, "TEXTS", most)
+        monkeypatch.setattr(nearness, "VOTES", part)
+        found = nearness.simhash(df, "k", "t")
+        assert dict(map(tuple, found.collect())) == want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    pairs = nearness.hamming_pairs(spark.range(500).select(F.col("id").alias("h")), "h", 1)
+    assert pairs.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
