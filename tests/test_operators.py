@@ -344,3 +344,12 @@ def test_fingerprints_without_a_row_for_each_word(spark, monkeypatch):
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
     pairs = nearness.hamming_pairs(spark.range(500).select(F.col("id").alias("h")), "h", 1)
     assert pairs.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name, scans", [("neardup_pairs", 0), ("duplicate_audit_union", 1)])
+def test_near_pairs_read_texts_once(spark, sf, name, scans):
+    """Fingerprints are written before they are counted and joined, so a side of the join reads no text again."""
+    from tessera.plans import curation
+
+    plan = getattr(curation, name)(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= scans and "Generate explode" not in plan
