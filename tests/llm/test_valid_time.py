@@ -167,3 +167,27 @@ def test_layout_and_empty_tables(spark, monkeypatch):
     assert v._staged(spark, sales.limit(0), changes.limit(0), plan)[0].count() == 16 * 11
     micros_of = spark.createDataFrame([(dt.datetime(2024, 3, 31, 2, 30, 1, 5),), (dt.datetime(1969, 12, 31, 23, 0),), (None,)], "t timestamp_ntz").select(v._micros("t")).collect()
     assert [r[0] for r in micros_of] == [micros(dt.datetime(2024, 3, 31, 2, 30, 1, 5)), -3_600_000_000, v.NONE]
+
+
+def test_a_start_opens_one_store_for_a_partition_and_reads_few_files(spark, tmp_path):
+    """Spark keeps native memory for every store that was opened, so the gate and the versions share one."""
+    sales, changes = (spark.createDataFrame(rows, schema) for rows, schema in zip(case(), ("sale_id long, client_id long, sold_at timestamp_ntz, arrived_at timestamp_ntz", CHANGES), strict=True))
+    plan, own = v.Layout(3, 4, {7: (2, 3)}), spark.newSession()
+    for name, value in {**v.SETTINGS, "spark.sql.shuffle.partitions": "5"}.items():
+        own.conf.set(name, value)
+    v._stage(spark, sales.repartition(40), changes.repartition(40), plan, f"{tmp_path}/in")
+    assert all(len([*(tmp_path / "in" / name / "batch=0").glob("*.parquet")]) <= max(10, spark.sparkContext.defaultParallelism) for name in ("sales", "changes"))
+    v._start(own, str(tmp_path), plan, 0, v.NONE, v.NONE, v.NONE)
+    assert [p.name for p in (tmp_path / "state" / "state").iterdir() if p.is_dir()] == ["0"]
+
+
+def test_a_cell_is_its_gate_and_its_versions():
+    ask = dict.fromkeys(v._names(v._ROWS), v.NONE) | {"op": None, "first": True, "key": 0}
+    rows = [ask | {"kind": v.CHANGE, "id": 5, "client": 1, "at": 10, "seq": 2**62 + 1, "cents": 7, "op": "U"}, *(ask | {"kind": v.SALE, "uid": n, "id": n, "client": 1, "at": at} for n, at in enumerate((12, 40, v.NONE)))]
+    handle, found = Handle(), []
+    for horizon, came in ((20, rows), (50, [ask | {"kind": v.TICK}])):
+        cell = v.Cell(v.Gate(horizon), v.Versions(0, v.NONE, horizon, v.NONE))
+        cell.init(handle)
+        found.append(pd.concat([*cell.handleInputRows((0,), iter([pd.DataFrame(came)]), None)]))
+    assert [f["uid"].tolist() for f in found] == [[0, 2], [1]]
+    assert found[0]["new_seq"].tolist() == [2**62 + 1, v.NONE] and found[1]["new_cents"].tolist() == [7] and found[1]["new_op"].tolist() == ["U"]
