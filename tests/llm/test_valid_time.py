@@ -2,6 +2,7 @@ import datetime as dt
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -191,3 +192,48 @@ def test_a_cell_is_its_gate_and_its_versions():
         found.append(pd.concat([*cell.handleInputRows((0,), iter([pd.DataFrame(came)]), None)]))
     assert [f["uid"].tolist() for f in found] == [[0, 2], [1]]
     assert found[0]["new_seq"].tolist() == [2**62 + 1, v.NONE] and found[1]["new_cents"].tolist() == [7] and found[1]["new_op"].tolist() == ["U"]
+
+
+@pytest.mark.parametrize("heap_rows, kind", [(v.HEAP_ROWS, "delta"), (0, "changelog")])
+def test_only_large_state_opens_native_stores(spark, monkeypatch, heap_rows, kind):
+    """Spark keeps native memory for every RocksDB that was opened; both stores hold the same rows."""
+    monkeypatch.setattr(v, "HEAP_ROWS", heap_rows)
+    sales, changes = case(5, 200)
+    folder = Path(v.shared_dir(spark).removeprefix("file://"))
+    before = {*folder.glob("valid-time-*")}
+    rows = v.enrich(spark.createDataFrame([(*s, "x") for s in sales], SALES), spark.createDataFrame(changes, CHANGES)).collect()
+    (root,) = {*folder.glob("valid-time-*")} - before
+    assert shown(rows) == brute(sales, changes)
+    assert {f.suffix[1:] for f in (root / "state" / "state").rglob("[0-9]*.*")} & {"delta", "changelog", "zip"} == {kind}
+
+
+def test_layout_counts_the_rows_that_grids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(v, "BUCKET_ROWS", 100)
+    sales, changes = (spark.createDataFrame([(*r, *[None] * n) for r in rows], schema) for rows, n, schema in (([(i, 7 if i < 50 else None) for i in range(100)], 3, SALES), ([(i, i) for i in range(20)], 4, CHANGES)))
+    assert v.layout(sales, changes, 72).hot == {7: (3, 3)} and v.layout(sales, changes, 72).rows == 120 + 60 * 2
+
+
+class State:
+    exists, removed = False, False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.exists, self.removed = False, True
+
+
+def test_fields_of_a_bucket_are_one_row():
+    state = State()
+    for waiting, versions in ((None, None), (pd.DataFrame({"a": [2**62 + 1]}), None), (None, pd.DataFrame({"b": ["x", None]}))):
+        fields = v._Fields(state)
+        for name, frame in zip(v._Fields.NAMES, (waiting, versions), strict=True):
+            v._Kept(fields, name).put(pd.DataFrame() if frame is None else frame)
+        fields.save()
+        again = v._Fields(state)
+        found = [v._Kept(again, name).frames() for name in v._Fields.NAMES]
+        assert [[f.to_dict("list") for f in fs] for fs in found] == [[] if f is None else [f.to_dict("list")] for f in (waiting, versions)]
+        assert state.exists == (waiting is not None or versions is not None)
+    v._Kept(again, "versions").put(pd.DataFrame())
+    again.save()
+    assert state.removed and not state.exists
